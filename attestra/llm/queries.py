@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import chat, mixing, packing
 from .common import read_table
 
 
@@ -19,6 +19,19 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path(packing.TOKENIZER))
+
+
+def op3_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.digest(chat.format_trees(chat.linear(told.unionByName(extra))))
+
+
 OP1_SQL = r"""
 WITH sizes AS (
   SELECT doc_id, source, md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS place,
