@@ -76,7 +76,7 @@ def paths(messages: DataFrame, best: int = 1) -> DataFrame:
 
 
 def escape(text):
-    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\\\|")
+    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\|")
 
 
 def unescape(text: str) -> str:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing
+from . import chat, langid, mixing, packing, pii, quality, secrets
 from .common import read_table
 
 
@@ -32,6 +32,25 @@ def op3_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_trees(chat.linear(told.unionByName(extra))))
 
 
+def op4_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = langid.fit(docs, ~langid.held_out())
+    held = docs.withColumn("held_out", langid.held_out())
+    return langid.identify(held, model, "held_out")
+
+
+def op6_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(read_table(spark, sf_dir, "documents")))
+
+
+def op8_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(read_table(spark, sf_dir, "documents")))
+
+
+def op10_rate_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 OP1_SQL = r"""
 WITH sizes AS (
   SELECT doc_id, source, md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS place,
