@@ -38,9 +38,11 @@ SEPARATOR = 0
 TOKENIZER = "byte_bpe_50k.json"
 #: Rounds of multiplicative weights; with the capacity it bounds the number of columns.
 ROUNDS = 24
-#: Words whose ids a Python worker remembers.
-REMEMBERED = 600_000
-LETTERS = regex.compile(r" ?\p{L}+")
+#: Words, and parts of words, whose ids a Python worker remembers.
+WORDS, PARTS = 300_000, 800_000
+#: The last letter up to which all Unicode tables agree on what is a letter; characters that not all call white space.
+LATIN = "\u024f"
+ODD = re.compile("[\x1c-\x1f\x85\u180e]")
 SPACED = re.compile(r" (?:\s|$)")
 
 
@@ -48,36 +50,52 @@ class Encoder:
     """Token ids of whole texts, from the parts that the tokenizer never joins.
 
     It never joins what stands before a space to what follows it, if that is no
-    white space, nor a run of letters to what follows the run.  Such parts
-    repeat, so their ids are remembered.
+    white space, nor two matches of its own splitting pattern.  Such parts
+    repeat, so their ids are remembered; new ones are encoded together, set
+    apart by line feeds.  Texts and words for which Unicode tables might differ
+    go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
+        from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
-
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def _learn(self, words: list[str]) -> None:
-        """Remember words, each with its leading space if it has one."""
-        ends = [m.end() if (m := LETTERS.match(w)) else 0 for w in words]
-        parts = list({p for w, k in zip(words, ends) for p in (w[:k], w[k:]) if p and p not in self.runs})
-        self.runs.update(zip(parts, self._encode(parts)))
-        for w, k in zip(words, ends):
-            self.words[w] = self.runs[w[:k]] + self.runs[w[k:]] if 0 < k < len(w) else self.runs[w]
+        self.split = regex.compile(PATTERN).findall
+        self.words: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {}
+        self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        split = [[w] if max(w) > LATIN else self.split(w) for w in words]
+        new = list({p for parts in split for p in parts if p not in self.parts})
+        known = {p: self._encode(p).tobytes() for p in new if "\n" in p or p.isspace() or max(p) > LATIN}
+        joined = [p for p in new if p not in known]
+        if joined:
+            ids = self._encode("\n".join(joined))
+            ends = [*np.flatnonzero(ids == self.line_feed), len(ids)]
+            at, raw = 0, ids.tobytes()
+            for p, end in zip(joined, ends, strict=True):
+                known[p] = raw[4 * at : 4 * end]
+                at = end + 1
+        if len(self.parts) < PARTS:
+            self.parts.update(known)
+        find = lambda p: known[p] if p in known else self.parts[p]
+        out = {w: b"".join(map(find, parts)) for w, parts in zip(words, split)}
+        if len(self.words) < WORDS:
+            self.words.update(out)
+        return out
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         out = []
         for text in texts:
-            for known in (self.words, self.runs):
-                if len(known) > REMEMBERED:
-                    known.clear()
+            if "<|endoftext|>" in text or ODD.search(text):
+                out.append(self._encode(text).tobytes())
+                continue
             words = text.split(" ")
             words[1:] = map(" ".__add__, words[1:])
             # A part that is empty or begins with white space belongs to what stands before it.
@@ -85,9 +103,8 @@ class Encoder:
                 words = _joined(words)
             ids = list(map(self.words.get, words))
             if None in ids:
-                self._learn([w for w in dict.fromkeys(words) if w and w not in self.words])
-                self.words[""] = b""
-                ids = map(self.words.get, words)
+                new = self._learn([w for w in dict.fromkeys(words) if w not in self.words])
+                ids = [new[w] if i is None else i for w, i in zip(words, ids)]
             out.append(b"".join(ids))
         return out
 
