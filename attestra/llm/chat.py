@@ -71,7 +71,7 @@ def paths(messages: DataFrame, best: int = 1) -> DataFrame:
     for i, link in enumerate(links[:-1]):
         hop = link.select("tree_id", "message_id", "up").filter("up IS NOT NULL")
         more = path.join(hop, ["tree_id", "message_id"]).select("tree_id", "leaf_id", "branch_rank", (F.col("depth") - 2**i).alias("depth"), F.col("up").alias("message_id"))
-        path = path.unionByName(more)
+        path = keep(path.unionByName(more), f"chat-paths-{i}")  # else the plan would double too
     return path
 
 
