@@ -120,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column) -> dict[str, np.n
         return pd.DataFrame({"name": list(model), "value": [a.astype(np.float32).tobytes() for a in model.values()]})
 
     prepared = texts.mapInPandas(prepare, "doc_id long, label int, x binary")
-    found = prepared.groupBy(F.lit(1)).applyInPandas(train, "name string, value binary").collect()  # one model
+    found = prepared.withColumn("all", F.lit("")).groupBy("all").applyInPandas(train, "name string, value binary").collect()  # one model
     if not found:
         return {"w0": np.zeros(1), "w": np.zeros(WIDTH), "v": np.zeros((WIDTH, RANK)), "mean": np.zeros(WIDTH), "scale": np.ones(WIDTH)}
     model = {r["name"]: np.frombuffer(r["value"], dtype=np.float32) for r in found}
