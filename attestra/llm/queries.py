@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, neardup, packing, pii, quality, secrets
+from . import chat, hamming, langid, mixing, neardup, packing, pii, quality, secrets
 from .common import read_table
 
 
@@ -47,6 +47,12 @@ def op6_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(read_table(spark, sf_dir, "documents")))
 
 
+def op7_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries are the rows whose id is divisible by 20, against all rows."""
+    codes = hamming.coded(read_table(spark, sf_dir, "embeddings"))
+    return hamming.top_k(codes, codes.filter("vec_id % 20 = 0"))
+
+
 def op8_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(read_table(spark, sf_dir, "documents")))
 
@@ -89,7 +95,8 @@ FROM cum
 
 OP5_SQL = r"""
 WITH RECURSIVE words AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w
   FROM documents),
 sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
@@ -113,9 +120,22 @@ FROM sets s JOIN comp c USING (doc_id)
 """
 
 
+OP7_SQL = """
+WITH codes AS (
+  SELECT vec_id, list_sum(list_transform(range(0, 32), lambda i:
+    CASE WHEN embedding[2 * i + 1]::DOUBLE + embedding[2 * i + 2]::DOUBLE > 0 THEN (1::BIGINT << i::INT) ELSE 0 END))::BIGINT AS code
+  FROM embeddings),
+near AS (
+  SELECT q.vec_id AS query_id, c.vec_id, bit_count(xor(q.code, c.code))::INT AS distance
+  FROM codes q JOIN codes c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INT AS rank FROM near)
+SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op5_near_duplicates": OP5_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op5_near_duplicates": OP5_SQL, "op7_hamming_top_k": OP7_SQL}
