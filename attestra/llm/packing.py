@@ -39,10 +39,12 @@ TOKENIZER = "byte_bpe_50k.json"
 #: Rounds of multiplicative weights; with the capacity it bounds the number of columns.
 ROUNDS = 24
 #: Words, and parts of words, whose ids a Python worker remembers.
-WORDS, PARTS = 300_000, 800_000
+WORDS, PARTS = 500_000, 900_000
+#: Texts whose new words are encoded together.
+TOGETHER = 250
 #: The last letter up to which all Unicode tables agree on what is a letter; characters that not all call white space.
 LATIN = "\u024f"
-ODD = re.compile("[\x1c-\x1f\x85\u180e]")
+ODD = re.compile("[\x00\x1c-\x1f\x85\u180e]")
 SPACED = re.compile(r" (?:\s|$)")
 
 
@@ -67,12 +69,12 @@ class Encoder:
         self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
 
     def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        split = [[w] if max(w) > LATIN else self.split(w) for w in words]
+        split = [[w] if "<|endoftext|>" in w or not w.isascii() and max(w) > LATIN or ODD.search(w) else self.split(w) for w in words]
         new = list({p for parts in split for p in parts if p not in self.parts})
-        known = {p: self._encode(p).tobytes() for p in new if "\n" in p or p.isspace() or max(p) > LATIN}
+        known = {p: self._encode(p).tobytes() for p in new if "\n" in p or p.isspace() or "<|endoftext|>" in p or not p.isascii() and max(p) > LATIN}
         joined = [p for p in new if p not in known]
         if joined:
             ids = self._encode("\n".join(joined))
@@ -83,31 +85,35 @@ class Encoder:
                 at = end + 1
         if len(self.parts) < PARTS:
             self.parts.update(known)
-        find = lambda p: known[p] if p in known else self.parts[p]
-        out = {w: b"".join(map(find, parts)) for w, parts in zip(words, split)}
+        known.update((p, i) for parts in split for p in parts if (i := self.parts.get(p)) is not None)
+        out = {w: b"".join([known[p] for p in parts]) for w, parts in zip(words, split)}
         if len(self.words) < WORDS:
             self.words.update(out)
         return out
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        out = []
-        for text in texts:
-            if "<|endoftext|>" in text or ODD.search(text):
-                out.append(self._encode(text).tobytes())
-                continue
-            words = text.split(" ")
-            words[1:] = map(" ".__add__, words[1:])
-            # A part that is empty or begins with white space belongs to what stands before it.
-            if SPACED.search(text):
-                words = _joined(words)
-            ids = list(map(self.words.get, words))
-            if None in ids:
-                new = self._learn([w for w in dict.fromkeys(words) if w not in self.words])
-                ids = [new[w] if i is None else i for w, i in zip(words, ids)]
-            out.append(b"".join(ids))
+        out: list[bytes] = []
+        for at in range(0, len(texts), TOGETHER):
+            split = list(map(self._words, texts[at : at + TOGETHER]))
+            known = self.words
+            new = {w for words in split for w in words if w not in known}
+            learnt = self._learn(list(new)) if new else {}
+            if new and len(known) >= WORDS:
+                get = known.get
+                out += [b"".join([get(w) or learnt[w] if w else b"" for w in words]) for words in split]
+            else:
+                out += [b"".join([known[w] for w in words]) for words in split]
         return out
 
+    def _words(self, text: str) -> list[str]:
+        """Parts of the text, each word with the space before it, that can be encoded one by one."""
+        if "<|endoftext|>" in text or "\0" in text or ODD.search(text):
+            return [text]
+        words = text.replace(" ", "\0 ").split("\0")
+        # A part that is empty or begins with white space belongs to what stands before it.
+        return _joined(words) if SPACED.search(text) else words
+
 
 def _joined(words: list[str]) -> list[str]:
     parts = words[:1]
