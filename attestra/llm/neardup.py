@@ -13,8 +13,9 @@ many documents hold rarely fills a run alone.  No list is ever expanded into its
 1. every class meets, of the smallest ids of its lists, the one it shares most lists
    with; what is confirmed forms components;
 2. lists that still span components are compared inside one task, by matrix products of
-   their sketches, and give each class its most similar few of every other component;
-3. the same without the limit, for what is still apart, less what was compared before.
+   their sketches, and tell which classes may link to which larger component;
+3. such a class meets all members of that component on full sets: pair by pair where
+   they are few, else block against block, again by matrix products.
 
 A pair is first estimated from the union of its sketches, then confirmed on full sets.
 Lists longer than ``HOT`` leave out classes that share few of their runs with such lists:
@@ -46,8 +47,8 @@ PERCENT = 80
 SLACK = 5.0
 #: Length of a list from which classes need at least ``LEAST_HOT`` such lists to stay in them.
 HOT, LEAST_HOT = 256, 4
-#: Candidates of another component that a class tries before all of them.
-FEW = 8
+#: Members up to which a component is compared pair by pair; classes in a block of a larger one.
+FEW, BLOCK = 8, 1000
 
 _words: dict[bytes, int] = {}
 _U = np.uint64
@@ -139,32 +140,27 @@ def _likely(shared: np.ndarray, union: np.ndarray, whole: np.ndarray) -> np.ndar
     return shared >= (p - margin) * union
 
 
-def _across(limit: int | None):
-    """Pairs of classes of different components of a list that their sketches don't rule out."""
+def _across():
+    """(rep, comp): classes that their sketches let link to a class of a larger component of a list."""
 
-    def pairs(group: dict[str, np.ndarray]) -> pd.DataFrame | None:
-        comp, n, rep = group["comp"], group["n"], group["rep"]
-        names, comp, size = np.unique(comp, return_inverse=True, return_counts=True)
+    def asks(group: dict[str, np.ndarray]) -> pd.DataFrame | None:
+        named, n, rep = group["comp"], group["n"], group["rep"]
+        names, comp, size = np.unique(named, return_inverse=True, return_counts=True)
         if len(names) < 2:
             return None
         sketches = [np.frombuffer(s, dtype=np.uint64) for s in group["sketch"]]
+        # by the whole component's size where it is known, so that all lists agree on the direction
+        order = group["size"] * 2.0**40 + comp
         out = []
         for at in range(0, len(rep), 1024):
             rows = np.arange(at, min(at + 1024, len(rep)))
             shared, union = _estimates(sketches, n, rows)
             a, b = n[rows][:, None], n[None, :]
-            whole = (a <= SKETCH) & (b <= SKETCH)
-            # from the smaller component to the larger one
-            order = size * (len(names) + 1) + np.arange(len(names))
-            ok = (order[comp[rows]][:, None] < order[comp][None, :]) & (100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b))
-            i, j = np.nonzero(ok & _likely(shared, union, whole))
-            found = pd.DataFrame({"i": rows[i], "j": j, "to": comp[j], "est": shared[i, j] / union[i, j]})
-            if limit is not None and len(found):
-                found = found.sort_values(["est", "j"], ascending=[False, True]).groupby(["i", "to"], sort=False).head(limit)
-            out.append(found)
-        found = pd.concat(out)
-        x, y = rep[found["i"].to_numpy()], rep[found["j"].to_numpy()]
-        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}) if len(found) else None
+            ok = (comp[rows][:, None] != comp[None, :]) & (order[rows][:, None] < order[None, :]) & (100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b))
+            i, j = np.nonzero(ok & _likely(shared, union, (a <= SKETCH) & (b <= SKETCH)))
+            out.append(np.unique(np.stack([rows[i], comp[j]]), axis=1))
+        i, c = np.concatenate(out, axis=1)
+        return pd.DataFrame({"rep": rep[i], "comp": names[c]}) if len(i) else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Lists arrive in order of their key, and may go on in the next batch."""
@@ -176,10 +172,10 @@ def _across(limit: int | None):
             keys = rows["key"].to_numpy()
             ends = np.flatnonzero(keys[1:] != keys[:-1]) + 1
             stop = len(keys) if batch is None else (ends[-1] if len(ends) else 0)
-            columns = {c: rows[c].to_numpy() for c in ("rep", "comp", "n", "sketch")}
+            columns = {c: rows[c].to_numpy() for c in ("rep", "comp", "size", "n", "sketch")}
             bounds = [0, *ends[ends < stop], stop]
             for s, e in zip(bounds, bounds[1:]):
-                if e - s > 1 and (found := pairs({c: v[s:e] for c, v in columns.items()})) is not None:
+                if e - s > 1 and (found := asks({c: v[s:e] for c, v in columns.items()})) is not None:
                     yield found
             rest = rows.iloc[stop:]
 
@@ -214,6 +210,38 @@ def _links(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def _shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many values each of x has in common with each of y, some thousand values at a time."""
+    flat = np.concatenate([*x, *y])
+    row = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in [*x, *y]])
+    _, at, n = np.unique(flat, return_inverse=True, return_counts=True)
+    twice = n[at] > 1
+    values, at = np.unique(at[twice], return_inverse=True)
+    row, out = row[twice], np.zeros((len(x), len(y)), dtype=np.float32)
+    order = np.argsort(at, kind="stable")
+    at, row = at[order], row[order]
+    for low in range(0, len(values), 4096):
+        s, e = np.searchsorted(at, [low, low + 4096])
+        has = np.zeros((len(x) + len(y), 4096), dtype=np.float32)
+        has[row[s:e], at[s:e] - low] = 1
+        out += has[: len(x)] @ has[len(x) :].T
+    return out
+
+
+def _block(group: pd.DataFrame) -> pd.DataFrame:
+    """Exact links of the asking classes to a block of a component's members: one for each that has any."""
+    asking, members = group[group["asks"]], group[~group["asks"]]
+    if not len(asking) or not len(members):
+        return pd.DataFrame({"a": [], "b": []}).astype("int64")
+    x, y = ([np.frombuffer(s, dtype=np.uint64) for s in part["set"]] for part in (asking, members))
+    n, m = np.array([len(s) for s in x])[:, None], np.array([len(s) for s in y])[None, :]
+    shared = _shared(x, y)
+    linked = 100 * shared >= PERCENT * (n + m - shared)
+    i = np.flatnonzero(linked.any(axis=1))
+    own, other = asking["rep"].to_numpy()[i], members["rep"].to_numpy()[linked[i].argmax(axis=1)]
+    return pd.DataFrame({"a": np.minimum(own, other), "b": np.maximum(own, other)})
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, comp (the smallest node reachable) for the nodes of ``links`` (a, b): least labels and pointer jumping."""
     edges = keep(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-edges")
@@ -265,19 +293,29 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     lists = lists.withColumn("hot", F.sum((F.col("length") > HOT).cast("int")).over(hot)).join(sketches.select("rep", "n"), "rep")
     lists = lists.filter((F.col("length") <= HOT) | (F.col("hot") >= LEAST_HOT) | (F.col("n") <= SKETCH)).select("key", "rep", "n")
     lists = keep(lists, "near-open")
-    tried = None
-    for limit in (FEW, None):
-        named = lists.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        spans = named.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most").select("key")
-        apart = named.join(spans, "key", "left_semi").join(sketches.select("rep", "sketch"), "rep").select("key", "rep", "comp", "n", "sketch")
-        pairs = apart.repartition("key").sortWithinPartitions("key").mapInPandas(_across(limit), "a long, b long").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        tried = keep(pairs, "near-pairs")
-        more = keep(confirmed(tried), "near-links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = components(links)
+    comps = sketches.select("rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp"))
+    sizes = comps.groupBy("comp").agg(F.count("*").alias("size"))
+    comps = keep(comps.join(sizes, "comp"), "near-comps")
+    named = lists.join(comps, "rep")
+    spans = named.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most").select("key")
+    apart = named.join(spans, "key", "left_semi").join(sketches.select("rep", "sketch"), "rep").select("key", "rep", "comp", "size", "n", "sketch")
+    asks = apart.repartition("key").sortWithinPartitions("key").mapInPandas(_across(), "rep long, comp long").distinct()
+    asks = keep(asks.join(comps.select("comp", "size").distinct(), "comp"), "near-asks")
+    members = comps.join(asks.select("comp").distinct(), "comp", "left_semi")
+    # Small components: pairs, each confirmed alone.
+    few = asks.filter(F.col("size") <= FEW).select("comp", F.col("rep").alias("y")).join(members.select("comp", F.col("rep").alias("x")), "comp")
+    few = confirmed(few.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    # Large ones: blocks of members against blocks of those that ask, on full sets.
+    many = asks.filter(F.col("size") > FEW)
+    shape = many.groupBy("comp").agg(F.ceil(F.max("size") / BLOCK).alias("rows"), F.ceil(F.count("*") / BLOCK).alias("columns"))
+    part = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = many.select("comp", "rep").join(shape, "comp").select("comp", "rep", F.lit(True).alias("asks"), part("columns").alias("y"), all_of("rows").alias("x"))
+    right = members.select("comp", "rep").join(shape, "comp").select("comp", "rep", F.lit(False).alias("asks"), part("rows").alias("x"), all_of("columns").alias("y"))
+    meet = left.unionByName(right).join(full.select(F.col("doc_id").alias("rep"), "set"), "rep")
+    more = keep(few.unionByName(meet.groupBy("comp", "x", "y").applyInPandas(_block, "a long, b long")), "near-links")
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
     named = classes.select("class", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("class", F.coalesce("comp", "rep").alias("comp"))
     out = sets.select("doc_id", "n_shingles", "class").join(named, "class", "left")
     component = F.coalesce("comp", "doc_id")
