@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, hamming, langid, mixing, neardup, packing, pii, quality, secrets
+from . import chat, chroma, hamming, langid, mixing, neardup, packing, pii, quality, secrets
 from .common import read_table
 
 
@@ -57,6 +57,13 @@ def op8_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(read_table(spark, sf_dir, "documents")))
 
 
+def op9_align_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's bytes are the samples of its recording; the rows whose id is divisible by 20 are the queries."""
+    docs = read_table(spark, sf_dir, "documents")
+    sound = docs.select(F.col("doc_id").alias("rec_id"), F.encode("text", "UTF-8").alias("sound"))
+    return chroma.align(sound, F.col("rec_id") % 20 == 0).withColumnsRenamed({"query_id": "query_doc_id", "rec_id": "doc_id"})
+
+
 def op10_rate_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from attestra.llm import chat, hamming, langid, mixing, neardup, packing, pii, quality, secrets
+from attestra.llm import chat, chroma, hamming, langid, mixing, neardup, packing, pii, quality, secrets
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, block string"
@@ -253,7 +253,7 @@ def test_near_duplicates(spark, words, nothing):
 def test_repeated_rows(spark):
     table = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "a b c"), (None, "a b c"), (None, None)], "doc_id long, text string")
     got = sorted(((str(r.doc_id), r.component_id, r.kept) for r in neardup.near_duplicates(table).collect()), key=str)
-    assert got == [("1", 1, True), ("1", 1, True), ("2", 1, False), ("None", None, True), ("None", 1, False)]
+    assert got == [("1", 1, True), ("1", 1, True), ("2", 1, False), ("None", 1, False), ("None", None, True)]
 
 
 # --- secrets and personal data -----------------------------------------------------------------
@@ -329,3 +329,30 @@ def test_top_k(spark, bits, segments):
     own = hamming.coded(few)
     assert [(r.query_id, r.vec_id) for r in hamming.top_k(own, own).orderBy("query_id").collect()] == [(1, 2), (2, 1)]
     assert hamming.top_k(own.limit(0), own.limit(0)).count() == 0
+
+
+# --- media ------------------------------------------------------------------------------------------
+
+
+def test_align(spark):
+    rng = np.random.default_rng(5)
+    t = np.arange(12000) / chroma.RATE
+    notes = np.repeat(2 ** (rng.integers(0, 24, 60) / 12) * 220, 200)
+    song = 60 * np.sin(2 * np.pi * notes * t)
+    other = 60 * np.sin(2 * np.pi * np.repeat(2 ** (rng.integers(0, 24, 60) / 12) * 220, 200) * t)
+    sound = lambda x: bytes(np.clip(x + 128, 0, 255).astype(np.uint8))
+    noisy = song[64 * 20 :] + rng.normal(0, 2, len(song) - 64 * 20)
+    rows = [(20, sound(song)), (1, sound(noisy)), (2, sound(song)), (3, sound(other)), (4, b"short"), (5, None), (None, sound(song)), (40, b"")]
+    table = spark.createDataFrame(rows, "rec_id long, sound binary")
+    got = chroma.align(table, F.col("rec_id") % 20 == 0).orderBy("rank").collect()
+    assert [(r.query_id, r.rec_id, r.offset) for r in got] == [(20, 2, 0), (20, 1, -20)]
+    assert got[0].bit_error == 0 and got[1].bit_error < 0.2
+    assert chroma.align(table.limit(0), F.col("rec_id") % 20 == 0).count() == 0
+
+
+def test_areas():
+    rng = np.random.default_rng(2)
+    samples = rng.normal(0, 40, 4000)
+    image = chroma.chroma(samples)
+    assert image.shape == ((4000 - 256) // 64 + 1, 12) and np.linalg.norm(image, axis=1) == pytest.approx(1)
+    assert len(chroma.fingerprint(samples)) == len(image) - chroma.LONGEST + 1
