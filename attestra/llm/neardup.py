@@ -280,7 +280,9 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     def confirmed(pairs: DataFrame) -> DataFrame:
         x = sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
         y = sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
-        likely = pairs.join(x, "a").join(y, "b").filter(_may_link("sa", "sb", "na", "nb")).select("a", "b")
+        return exact(pairs.join(x, "a").join(y, "b").filter(_may_link("sa", "sb", "na", "nb")).select("a", "b"))
+
+    def exact(likely: DataFrame) -> DataFrame:
         x, y = full.select(F.col("doc_id").alias("a"), F.col("set").alias("ta")), full.select(F.col("doc_id").alias("b"), F.col("set").alias("tb"))
         return likely.join(x, "a").join(y, "b").filter(_links("ta", "tb")).select("a", "b")
 
@@ -304,7 +306,7 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     members = comps.join(asks.select("comp").distinct(), "comp", "left_semi")
     # Small components: pairs, each confirmed alone.
     few = asks.filter(F.col("size") <= FEW).select("comp", F.col("rep").alias("y")).join(members.select("comp", F.col("rep").alias("x")), "comp")
-    few = confirmed(few.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    few = exact(few.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     # Large ones: blocks of members against blocks of those that ask, on full sets.
     many = asks.filter(F.col("size") > FEW)
     shape = many.groupBy("comp").agg(F.ceil(F.max("size") / BLOCK).alias("rows"), F.ceil(F.count("*") / BLOCK).alias("columns"))
