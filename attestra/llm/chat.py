@@ -51,18 +51,15 @@ def paths(messages: DataFrame, best: int = 1) -> DataFrame:
     nodes = nodes.join(known, ["tree_id", "parent_id"], "left")
     nodes = nodes.select("tree_id", "message_id", F.when(F.col("known"), F.col("parent_id")).alias("up"), "score", F.lit(1).cast("long").alias("depth"))
     links = [keep(nodes, "chat-links-0")]
+    rooted, going = links[0].filter("up IS NULL"), links[0].filter("up IS NOT NULL")
     # After round i a link leads 2**i messages up; depth and score cover what it passes.
-    while not (last := links[-1]).filter("up IS NOT NULL").isEmpty():
-        above = last.select("tree_id", F.col("message_id").alias("up"), F.col("up").alias("up2"), F.col("score").alias("s2"), F.col("depth").alias("d2"))
-        step = last.join(above, ["tree_id", "up"], "left").select(
-            "tree_id", "message_id", F.col("up2").alias("up"),
-            (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score"),
-            (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"),
-        )
+    # Only messages whose links have not reached a root go on.
+    while not going.isEmpty() and len(links) <= 40:  # only a cycle is deeper than 2**40
+        all_ = rooted.unionByName(going)
+        above = all_.select("tree_id", F.col("message_id").alias("up"), F.col("up").alias("up2"), F.col("score").alias("s2"), F.col("depth").alias("d2"))
+        step = going.join(above, ["tree_id", "up"]).select("tree_id", "message_id", F.col("up2").alias("up"), (F.col("score") + F.col("s2")).alias("score"), (F.col("depth") + F.col("d2")).alias("depth"))
         links.append(keep(step, f"chat-links-{len(links)}"))
-        if len(links) > 40:  # only a cycle is deeper than 2**40
-            break
-    rooted = links[-1].filter("up IS NULL")
+        rooted, going = rooted.unionByName(links[-1].filter("up IS NULL")), links[-1].filter("up IS NOT NULL")
     inner = links[0].select("tree_id", F.col("up").alias("message_id")).filter("message_id IS NOT NULL")
     leaves = rooted.join(inner, ["tree_id", "message_id"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc("score"), "message_id"))
