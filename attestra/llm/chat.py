@@ -54,7 +54,8 @@ def paths(messages: DataFrame, best: int = 1) -> DataFrame:
     rooted, going = links[0].filter("up IS NULL"), links[0].filter("up IS NOT NULL")
     # After round i a link leads 2**i messages up; depth and score cover what it passes.
     # Only messages whose links have not reached a root go on.
-    while not going.isEmpty() and len(links) <= 40:  # only a cycle is deeper than 2**40
+    largest = links[0].groupBy("tree_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    while len(links) <= largest.bit_length() and not going.isEmpty():  # only a cycle goes on for longer
         all_ = rooted.unionByName(going)
         above = all_.select("tree_id", F.col("message_id").alias("up"), F.col("up").alias("up2"), F.col("score").alias("s2"), F.col("depth").alias("d2"))
         step = going.join(above, ["tree_id", "up"]).select("tree_id", "message_id", F.col("up2").alias("up"), (F.col("score") + F.col("s2")).alias("score"), (F.col("depth") + F.col("d2")).alias("depth"))
