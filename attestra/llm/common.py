@@ -7,13 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.tables import keep, shared_dir
 
-__all__ = ["DOCUMENT_COLUMNS", "WORD", "fold", "keep", "read_table", "shared_dir"]
+__all__ = ["WORD", "fold", "keep", "read_table", "shared_dir"]
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
 
 def fold(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; a null id counts as the empty text."""

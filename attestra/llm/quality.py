@@ -19,7 +19,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -34,15 +33,23 @@ from .common import fold
 BUCKETS, RANK, SAMPLE = 1024, 8, 6000
 EPOCHS, BATCH, RATE, DECAY, SEED = 30, 256, 0.02, 1e-4, 11
 THRESHOLD = 0.3
-CLASSES = (re.compile(r"[^\W\d_]"), re.compile(r"\d"), re.compile(r"[^\w\s]"), re.compile(r"[|#$%&*=+<>{}\[\]\\/~^@_]"), re.compile(r"[!?]"))
 
 _bucket: dict[str, int] = {}
 
 
+def _capitals(text: str) -> int:
+    """How many characters change in lower case."""
+    low = text.lower()
+    if len(low) != len(text):
+        return sum(map(str.isupper, text))
+    a, b = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype="<u4") for t in (text, low))
+    return int(np.count_nonzero(a != b))
+
+
 def structure(text: str, n_chars: float | None, words: Counter) -> list[float]:
     n, total = max(len(text), 1), sum(words.values())
     lines = text.split("\n")
-    upper = sum(map(str.isupper, text)) if len(text) < 4096 else sum(map(str.isupper, text[::7])) * 7
+    upper = _capitals(text)
     letters = total and sum(len(w) * k for w, k in words.items())
     symbols = [sum(text.count(c) for c in group) / n for group in ("|", "#$%&*", "!?", ".,;:", "0123456789", "<>{}[]()/\\=+_@~^")]
     top = max(words.values(), default=0) / max(total, 1)
