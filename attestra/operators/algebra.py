@@ -122,12 +122,12 @@ def category_histogram(findings: DataFrame) -> DataFrame:
 
 
 def totals(findings: DataFrame) -> DataFrame:
-    """items, errors, warnings, has_drift, mean_confidence: one row, also of nothing."""
+    """items, errors, warnings, has_errors, mean_confidence: one row, also of nothing."""
     return findings.agg(
         F.count("*").alias("items"),
         F.count_if(F.col("severity") == "error").alias("errors"),
         F.count_if(F.col("severity") == "warning").alias("warnings"),
-        F.coalesce(F.bool_or(F.col("severity") == "error"), F.lit(False)).alias("has_drift"),
+        F.coalesce(F.bool_or(F.col("severity") == "error"), F.lit(False)).alias("has_errors"),
         F.avg("confidence").alias("mean_confidence"),
     )
 

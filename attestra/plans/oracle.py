@@ -54,7 +54,7 @@ def sql() -> dict[str, str]:
   SELECT *, row_number() OVER (PARTITION BY source_file, fact_name, claim_name, category ORDER BY seq) AS n FROM ev) WHERE n = 1""",
         "filtered_findings": _EV + "SELECT seq, category, severity, confidence FROM ev WHERE severity IN ('error', 'warning') AND confidence >= 0.25 AND lower(category) <> 'click'",
         "report_totals": _EV + """SELECT count(*)::BIGINT AS items, (count(*) FILTER (severity = 'error'))::BIGINT AS errors, (count(*) FILTER (severity = 'warning'))::BIGINT AS warnings,
-  coalesce(bool_or(severity = 'error'), false) AS has_drift, avg((seq % 4)::DOUBLE) AS mean_confidence FROM ev""",
+  coalesce(bool_or(severity = 'error'), false) AS has_errors, avg((seq % 4)::DOUBLE) AS mean_confidence FROM ev""",
         "rule_messages": _EV + "SELECT category, arg_min(message, seq) AS message, count(*)::BIGINT AS n FROM ev GROUP BY category",
         "near_changed_lines": """SELECT o_orderpriority AS path, o_orderkey AS line, o_custkey AS cust FROM orders o WHERE EXISTS (
   SELECT 1 FROM orders c WHERE c.o_orderkey % 977 = 0 AND c.o_orderpriority = o.o_orderpriority AND o.o_orderkey BETWEEN c.o_orderkey - 5 AND c.o_orderkey + 5)""",

@@ -24,6 +24,7 @@ from ..plans.schema import FILES
 SUFFIXES = (".py", ".md", ".yaml", ".yml", ".toml")
 JS_SUFFIXES = (".js", ".ts", ".jsx", ".tsx")
 WATCHED = (".py", ".md", ".rst", ".toml", ".yaml", ".yml")
+# Fixed value: the file of ignore rules, part of the input format.
 IGNORE_FILE = ".driftignore"
 BATCH_BYTES = 8 << 20
 

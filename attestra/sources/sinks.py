@@ -58,7 +58,7 @@ def _rows(findings: DataFrame, row: Column) -> Iterator[str]:
 
 def json_report(findings: DataFrame, scanned: str, facts: int, claims: int) -> Iterator[str]:
     t = algebra.totals(findings).first()
-    head = {"scanned_path": scanned, "summary": {"facts": facts, "claims": claims, "drift_items": t["items"], "errors": t.errors, "warnings": t.warnings}, "has_drift": t.has_drift}
+    head = {"scanned_path": scanned, "summary": {"facts": facts, "claims": claims, "drift_items": t["items"], "errors": t.errors, "warnings": t.warnings}, "has_drift": t.has_errors}
     yield json.dumps(head)[:-1] + ', "drift_items": ['
     for i, row in enumerate(_rows(findings, F.to_json(F.struct(*findings.columns)))):
         yield ("," if i else "") + row
