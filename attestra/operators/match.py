@@ -87,9 +87,9 @@ def _signals(name: float, overlap: Column, types: float) -> Column:
 
 
 # Fixed values below: the texts of messages and suggestions.
-def _param_findings(fact: Column, claim: Column, overlap: Column, name: Column) -> Column:
-    f, c = last_param(fact["parameters"], name), last_param(claim["parameters"], name)
-    quoted, owner = F.concat(F.lit("'"), name, F.lit("'")), fact["name"]
+def _param_findings(owner: Column, overlap: Column, pair: Column) -> Column:
+    name, f, c = pair["name"], pair["f"], pair["c"]
+    quoted = F.concat(F.lit("'"), name, F.lit("'"))
     missing = _finding("missing_param", "error", F.concat(F.lit("Parameter "), quoted, F.lit(" in "), owner, F.lit(" is not documented")), F.concat(F.lit("Add "), quoted, F.lit(" to docs for "), owner), F.lit(1.0), subject=name)
     extra = _finding("extra_param", "error", F.concat(F.lit("Parameter "), quoted, F.lit(" is documented for "), owner, F.lit(" but not in code")), F.concat(F.lit("Remove "), quoted, F.lit(" from docs or update implementation")), F.lit(1.0), subject=name)
     default = _finding("wrong_default", "warning", F.concat(F.lit("Parameter "), quoted, F.lit(" default differs: "), py_repr(c["default"]), F.lit(" (docs) vs "), py_repr(f["default"]), F.lit(" (code)")), F.concat(F.lit("Update docs for "), quoted, F.lit(" to default="), py_repr(f["default"])), F.lit(1.0), _signals(1.0, overlap, 0.0), name)
@@ -109,7 +109,10 @@ def differences(hits: DataFrame) -> DataFrame:
     a, b = names_of("fact.parameters"), names_of("claim.parameters")
     rows = hits.filter("compare").withColumn("overlap", jaccard(a, b)).withColumn("names", F.array_union(a, b))
     returns = _finding("wrong_return_type", "warning", F.concat(F.lit("Return type differs: "), py_repr(claim["return_type"]), F.lit(" (docs) vs "), py_repr(fact["return_type"]), F.lit(" (code)")), F.concat(F.lit("Update return type to "), py_repr(fact["return_type"])), F.lit(1.0), _signals(1.0, F.col("overlap"), 0.0))
-    params = F.flatten(F.transform("names", lambda n: _param_findings(fact, claim, F.col("overlap"), n)))
+    # Both sides of each name first, so that the findings look at them and not for them.
+    pairs = F.transform("names", lambda n: F.struct(n.alias("name"), last_param(fact["parameters"], n).alias("f"), last_param(claim["parameters"], n).alias("c")))
+    rows = rows.withColumn("pairs", pairs)
+    params = F.flatten(F.transform("pairs", lambda p: _param_findings(fact["name"], F.col("overlap"), p)))
     found = F.concat(params, F.array(F.when(~fact["return_type"].eqNullSafe(claim["return_type"]), returns)))
     return rows.select("fact", "claim", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("f")).select("fact", "claim", "f.*")
 
