@@ -18,8 +18,6 @@ many documents hold rarely fills a run alone.  No list is ever expanded into its
    they are few, else block against block, again by matrix products.
 
 A pair is first estimated from the union of its sketches, then confirmed on full sets.
-Lists longer than ``HOT`` leave out classes that share few of their runs with such lists:
-a partner shares more runs than that, so it meets them in another list.
 
 Defined results: null and empty texts have no shingles and are their own component; a
 null doc_id is never a component's id unless it is alone; repeated rows of a document
@@ -45,8 +43,6 @@ SKETCH, RUN = 48, 3
 PERCENT = 80
 #: Standard deviations by which an estimate may miss.
 SLACK = 5.0
-#: Length of a list from which classes need at least ``LEAST_HOT`` such lists to stay in them.
-HOT, LEAST_HOT = 256, 4
 #: Members up to which a component is compared pair by pair; classes in a block of a larger one.
 FEW, BLOCK = 8, 1000
 
@@ -99,20 +95,21 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_shingles long, class binary, sketch binary")
 
 
+def _keys(s: np.ndarray, n: int) -> np.ndarray:
+    """The keys of a sketch's lists: hashes of its runs."""
+    keys = [np.zeros(0, dtype=np.uint64)]
+    for r in (RUN,) if n > 5 else (2, RUN):
+        if len(s) >= r:
+            k = np.full(len(s) - r + 1, r, dtype=np.uint64)
+            for i in range(r):
+                k = _mix(k * _U(0x9E3779B97F4A7C15) + s[i : len(s) - r + 1 + i])
+            keys.append(k)
+    return np.concatenate(keys).view(np.int64)
+
+
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def _runs(sketches: pd.Series, sizes: pd.Series) -> pd.Series:
-    out = []
-    for raw, n in zip(sketches, sizes):
-        s = np.frombuffer(raw, dtype=np.uint64)
-        keys = [np.zeros(0, dtype=np.uint64)]
-        for r in (RUN,) if n > 5 else (2, RUN):
-            if len(s) >= r:
-                k = np.full(len(s) - r + 1, r, dtype=np.uint64)
-                for i in range(r):
-                    k = _mix(k * _U(0x9E3779B97F4A7C15) + s[i : len(s) - r + 1 + i])
-                keys.append(k)
-        out.append(np.concatenate(keys).view(np.int64))
-    return pd.Series(out)
+    return pd.Series([_keys(np.frombuffer(raw, dtype=np.uint64), n) for raw, n in zip(sketches, sizes)])
 
 
 def _estimates(sketches: list[np.ndarray], sizes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +140,7 @@ def _likely(shared: np.ndarray, union: np.ndarray, whole: np.ndarray) -> np.ndar
 def _across():
     """(rep, comp): classes that their sketches let link to a class of a larger component of a list."""
 
-    def asks(group: dict[str, np.ndarray]) -> pd.DataFrame | None:
+    def asks(key: int, group: dict[str, np.ndarray]) -> pd.DataFrame | None:
         named, n, rep = group["comp"], group["n"], group["rep"]
         names, comp, size = np.unique(named, return_inverse=True, return_counts=True)
         if len(names) < 2:
@@ -151,13 +148,18 @@ def _across():
         sketches = [np.frombuffer(s, dtype=np.uint64) for s in group["sketch"]]
         # by the whole component's size where it is known, so that all lists agree on the direction
         order = group["size"] * 2.0**40 + comp
+        # A pair is told by the first list that both are in.
+        earlier = [np.unique(k[k < key]) for k in map(_keys, sketches, n)]
         out = []
         for at in range(0, len(rep), 1024):
             rows = np.arange(at, min(at + 1024, len(rep)))
             shared, union = _estimates(sketches, n, rows)
             a, b = n[rows][:, None], n[None, :]
             ok = (comp[rows][:, None] != comp[None, :]) & (order[rows][:, None] < order[None, :]) & (100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b))
-            i, j = np.nonzero(ok & _likely(shared, union, (a <= SKETCH) & (b <= SKETCH)))
+            ok &= _likely(shared, union, (a <= SKETCH) & (b <= SKETCH))
+            if ok.any():
+                ok &= _shared([earlier[r] for r in rows], earlier) == 0
+            i, j = np.nonzero(ok)
             out.append(np.unique(np.stack([rows[i], comp[j]]), axis=1))
         i, c = np.concatenate(out, axis=1)
         return pd.DataFrame({"rep": rep[i], "comp": names[c]}) if len(i) else None
@@ -175,7 +177,7 @@ def _across():
             columns = {c: rows[c].to_numpy() for c in ("rep", "comp", "size", "n", "sketch")}
             bounds = [0, *ends[ends < stop], stop]
             for s, e in zip(bounds, bounds[1:]):
-                if e - s > 1 and (found := asks({c: v[s:e] for c, v in columns.items()})) is not None:
+                if e - s > 1 and (found := asks(int(keys[s]), {c: v[s:e] for c, v in columns.items()})) is not None:
                     yield found
             rest = rows.iloc[stop:]
 
@@ -290,11 +292,7 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     best = meets.groupBy("rep").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot"))
     links = keep(confirmed(best.select(F.col("pivot").alias("a"), F.col("rep").alias("b"))), "near-links")
     labels = components(links)
-    # A class in few hot lists meets its partners in others.
-    hot = Window.partitionBy("rep")
-    lists = lists.withColumn("hot", F.sum((F.col("length") > HOT).cast("int")).over(hot)).join(sketches.select("rep", "n"), "rep")
-    lists = lists.filter((F.col("length") <= HOT) | (F.col("hot") >= LEAST_HOT) | (F.col("n") <= SKETCH)).select("key", "rep", "n")
-    lists = keep(lists, "near-open")
+    lists = lists.join(sketches.select("rep", "n"), "rep").select("key", "rep", "n")
     comps = sketches.select("rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp"))
     sizes = comps.groupBy("comp").agg(F.count("*").alias("size"))
     comps = keep(comps.join(sizes, "comp"), "near-comps")
