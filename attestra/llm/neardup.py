@@ -6,7 +6,7 @@ empty set, linked with nothing.  Documents with equal sets form a class at once.
 sketch keeps the ``SKETCH`` smallest shingle hashes.
 
 Inverted lists map runs of three consecutive retained values to the classes that have
-them.  Two sets with similarity 0.8 share such a run but for a chance of about 1e-8
+them.  Two sets with similarity 0.8 share such a run but for a chance of about 5e-8
 (of the smallest sets, two-value runs make it certain), while a line or passage that
 many documents hold rarely fills a run alone.  No list is ever expanded into its pairs:
 
