@@ -4,10 +4,12 @@ A recording is raw 8-bit mono sound.  Frames of its spectrum are folded into twe
 pitch classes; over this image, by its integral image, sixteen filters compare the sums
 of rectangles, and their values in two bits each make one packed integer a frame.
 Alignment takes landmarks, the frames whose hash is the least of their neighbourhood;
-equal landmarks of two recordings vote for an offset; the offset with the most votes is
-confirmed by the share of bits that differ over the whole overlap.
+equal landmarks of two recordings vote for an offset; every offset with enough votes is
+tested by the share of bits that differ over the whole overlap.
 
-Recordings with equal fingerprints form a class that is searched once.  A landmark that
+Recordings with equal fingerprints form a class that is searched once.  The result is
+all confirmed pairs of a query's class and a class, and who is in which class, so that
+copies are not multiplied; ``align`` joins the two.  A landmark that
 is common to many recordings meets only the queries' landmarks, counted per (query,
 class, offset) before anything is shuffled on.
 
@@ -34,7 +36,7 @@ RATE, FRAME, HOP, PITCHES = 8000, 256, 64, 12
 FILTERS, LONGEST = 16, 16
 #: Frames on each side within which a landmark has the least hash.
 AROUND = 6
-VOTES, ERROR, BEST = 3, 0.2, 5
+VOTES, ERROR = 3, 0.2
 
 
 def chroma(samples: np.ndarray) -> np.ndarray:
@@ -118,35 +120,65 @@ def _landmarks(frames: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf(T.DoubleType())
-def _bit_error(a: pd.Series, b: pd.Series, offsets: pd.Series) -> pd.Series:
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("bit_error", T.DoubleType()), T.StructField("votes", T.LongType()), T.StructField("offset", T.LongType())])))
+def _confirmed(a: pd.Series, b: pd.Series, votes: pd.Series) -> pd.Series:
+    """Of the offsets voted for, those with few enough differing bits."""
     out = []
-    for x, y, k in zip(a, b, offsets):
+    for x, y, tried in zip(a, b, votes):
         x, y = np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)
-        start, stop = max(0, -k), min(len(x), len(y) - k)
-        n = stop - start
-        out.append(float(np.bitwise_count(x[start:stop] ^ y[start + k : stop + k]).sum()) / (32 * n) if n > 0 else 1.0)
+        found = []
+        for v in tried:
+            k = v["offset"]
+            start, stop = max(0, -k), min(len(x), len(y) - k)
+            error = float(np.bitwise_count(x[start:stop] ^ y[start + k : stop + k]).sum()) / (32 * (stop - start))
+            if error <= ERROR:
+                found.append({"bit_error": error, "votes": v["votes"], "offset": k})
+        out.append(found)
     return pd.Series(out)
 
 
-def align(recordings: DataFrame, is_query: Column, best: int = BEST) -> DataFrame:
-    """query_id, rec_id, offset (frames), votes, bit_error: the best aligned other recordings of each query."""
-    own = keep(prints(recordings).join(recordings.filter(is_query).select("rec_id", F.lit(True).alias("asks")).distinct(), "rec_id", "left"), "chroma-prints")
-    classes = own.groupBy("class").agg(F.first("frames").alias("frames"), F.max("asks").alias("asks"))
+def classed(recordings: DataFrame, is_query: Column) -> DataFrame:
+    """The prints of ``prints``, with whether the recording asks (true or null)."""
+    return keep(prints(recordings).join(recordings.filter(is_query).select("rec_id", F.lit(True).alias("asks")).distinct(), "rec_id", "left"), "chroma-prints")
+
+
+def members(own: DataFrame) -> DataFrame:
+    """rec_id, class, asks: who is in which class."""
+    return own.groupBy("rec_id", "class").agg(F.coalesce(F.max("asks"), F.lit(False)).alias("asks"))
+
+
+def pairs(own: DataFrame) -> DataFrame:
+    """query_class, class, offset (frames), votes, bit_error, offsets: every class with a query against every class that aligns.
+
+    ``offsets`` holds all confirmed offsets, the first three columns the one of the least
+    error.  A class of several recordings aligns with itself.
+    """
+    classes = own.groupBy("class").agg(F.first("frames").alias("frames"), F.max("asks").alias("asks"), (F.min("rec_id") < F.max("rec_id")).alias("several"))
     marks = keep(classes.select("class", "asks", F.explode(_landmarks("frames")).alias("m")).select("class", "asks", "m.value", "m.at"), "chroma-marks")
     q = marks.filter("asks").select("value", F.col("class").alias("q"), F.col("at").alias("q_at"))
     met = marks.join(q, "value").filter(F.col("class") != F.col("q"))
     votes = met.groupBy("q", "class", (F.col("at") - F.col("q_at")).alias("offset")).agg(F.count("*").alias("votes")).filter(F.col("votes") >= VOTES)
-    top = votes.groupBy("q", "class").agg(F.max(F.struct("votes", -F.abs("offset"), "offset")).alias("v")).select("q", "class", "v.votes", "v.offset")
+    tried = votes.groupBy("q", "class").agg(F.collect_list(F.struct("offset", "votes")).alias("tried"))
     frames = classes.select("class", "frames")
-    pairs = top.join(frames, "class").join(frames.select(F.col("class").alias("q"), F.col("frames").alias("q_frames")), "q")
-    pairs = pairs.withColumn("bit_error", _bit_error("q_frames", "frames", "offset")).filter(F.col("bit_error") <= ERROR).select("q", "class", "offset", "votes", "bit_error")
-    same = classes.filter("asks").select(F.col("class").alias("q"), "class", F.lit(0).cast("long").alias("offset"), (F.length("frames") / 4).cast("long").alias("votes"), F.lit(0.0).alias("bit_error"))
-    # Of a class only its first few members, and one more, can be among a query's best.
-    first = Window.partitionBy("class").orderBy("rec_id")
-    members = own.select("class", "rec_id").distinct().withColumn("n", F.row_number().over(first)).filter(F.col("n") <= best + 1).select("class", "rec_id")
-    asked = own.filter("asks").select(F.col("class").alias("q"), F.col("rec_id").alias("query_id")).distinct()
-    near = Window.partitionBy("q").orderBy("bit_error", F.desc("votes"), "class")
-    hits = pairs.unionByName(same).withColumn("n", F.row_number().over(near)).filter(F.col("n") <= best + 1).drop("n").join(members, "class")
+    found = tried.join(frames, "class").join(frames.select(F.col("class").alias("q"), F.col("frames").alias("q_frames")), "q")
+    found = found.select("q", "class", _confirmed("q_frames", "frames", "tried").alias("offsets"))
+    same = classes.filter("asks AND several").select(F.col("class").alias("q"), "class", F.array(F.struct(F.lit(0.0).alias("bit_error"), (F.length("frames") / 4).cast("long").alias("votes"), F.lit(0).cast("long").alias("offset"))).alias("offsets"))
+    best = F.array_min(F.transform("offsets", lambda o: F.struct(o["bit_error"].alias("bit_error"), (-o["votes"]).alias("less"), F.abs(o["offset"]).alias("far"), o["offset"].alias("offset"))))
+    rows = found.filter(F.size("offsets") > 0).unionByName(same).withColumn("best", best)
+    return rows.select(F.col("q").alias("query_class"), "class", "best.offset", (-F.col("best.less")).alias("votes"), "best.bit_error", F.array_sort("offsets").alias("offsets"))
+
+
+def align(recordings: DataFrame, is_query: Column) -> DataFrame:
+    """query_id, rank, rec_id, offset (frames), votes, bit_error: all aligned other recordings of each query, the best first."""
+    own = classed(recordings, is_query)
+    who = members(own)
+    asked = who.filter("asks").select(F.col("class").alias("query_class"), F.col("rec_id").alias("query_id"))
+    hits = asked.join(pairs(own), "query_class").join(who.select("class", "rec_id"), "class").filter("rec_id <> query_id")
     rank = Window.partitionBy("query_id").orderBy("bit_error", F.desc("votes"), "rec_id")
-    return asked.join(hits, "q").filter("rec_id <> query_id").withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= best).select("query_id", "rank", "rec_id", "offset", "votes", "bit_error")
+    return hits.withColumn("rank", F.row_number().over(rank)).select("query_id", "rank", "rec_id", "offset", "votes", "bit_error")
+
+
+def aligned(recordings: DataFrame, is_query: Column) -> DataFrame:
+    """All of ``members`` (rec_id, class, asks) and all of ``pairs`` (query_class, class, ...) in one table; what a row lacks is null."""
+    own = classed(recordings, is_query)
+    return members(own).unionByName(pairs(own), allowMissingColumns=True)

@@ -58,10 +58,13 @@ def op8_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_align_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document's bytes are the samples of its recording; the rows whose id is divisible by 20 are the queries."""
+    """A document's bytes are the samples of its recording; the rows whose id is divisible by 20 are the queries.
+
+    Rows with a doc_id tell its class; rows with a query_class tell a class that aligns with it.
+    """
     docs = read_table(spark, sf_dir, "documents")
     sound = docs.select(F.col("doc_id").alias("rec_id"), F.encode("text", "UTF-8").alias("sound"))
-    return chroma.align(sound, F.col("rec_id") % 20 == 0).withColumnsRenamed({"query_id": "query_doc_id", "rec_id": "doc_id"})
+    return chroma.aligned(sound, F.col("rec_id") % 20 == 0).withColumnRenamed("rec_id", "doc_id")
 
 
 def op10_rate_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -350,6 +350,32 @@ def test_align(spark):
     assert chroma.align(table.limit(0), F.col("rec_id") % 20 == 0).count() == 0
 
 
+def song(seed, n=12000):
+    rng = np.random.default_rng(seed)
+    notes = np.repeat(2 ** (rng.integers(0, 24, n // 200 + 1) / 12) * 220, 200)[:n]
+    return bytes(np.clip(60 * np.sin(2 * np.pi * notes * np.arange(n) / chroma.RATE) + 128, 0, 255).astype(np.uint8))
+
+
+def test_align_all_copies(spark):
+    a, b = song(1), song(2)
+    rows = [(i, a) for i in range(0, 30)] + [(100 + i, a[64 * 10 :]) for i in range(12)] + [(200, b)]
+    table = spark.createDataFrame(rows, "rec_id long, sound binary")
+    asks = F.col("rec_id") % 20 == 0
+    got = {(r.query_id, r.rec_id): r.offset for r in chroma.align(table, asks).collect()}
+    part = {**{i: 0 for i in range(30)}, **{100 + i: 1 for i in range(12)}}
+    assert got == {(q, r): 10 * (part[q] - part[r]) for q in part if q % 20 == 0 for r in part if r != q}
+    out = chroma.aligned(table, asks).collect()
+    assert sum(r.rec_id is not None for r in out) == len(rows) and sum(r.query_class is not None for r in out) == 4
+
+
+def test_align_tries_every_offset(spark):
+    votes = [{"offset": 0, "votes": 9}, {"offset": -20, "votes": 3}]
+    prints = chroma.fingerprint(np.frombuffer(song(1), dtype=np.uint8).astype(float) - 128)
+    table = spark.createDataFrame([(prints.tobytes(), prints[20:].tobytes(), votes)], "a binary, b binary, v array<struct<offset:long,votes:long>>")
+    found = table.select(chroma._confirmed("a", "b", "v")).first()[0]
+    assert [(f.offset, f.votes, f.bit_error) for f in found] == [(-20, 3, 0.0)]
+
+
 def test_areas():
     rng = np.random.default_rng(2)
     samples = rng.normal(0, 40, 4000)
