@@ -7,14 +7,20 @@ Alignment takes landmarks, the frames whose hash is the least of their neighbour
 equal landmarks of two recordings vote for an offset; every offset with enough votes is
 tested by the share of bits that differ over the whole overlap.
 
+How dense the landmarks are follows the recording's length, down to every frame.  They
+are nested: the sparser landmarks of a longer recording are among the denser ones that
+the same frames give in a shorter one.  An overlap counts from LEAST frames on, or the
+whole of a shorter recording; that many frames hold three landmarks at full distance.
+A sound that is shorter than the filters forms a class with its equals.
+
 Recordings with equal fingerprints form a class that is searched once.  The result is
 all confirmed pairs of a query's class and a class, and who is in which class, so that
 copies are not multiplied; ``align`` joins the two.  A landmark that
 is common to many recordings meets only the queries' landmarks, counted per (query,
 class, offset) before anything is shuffled on.
 
-Defined results: null and short sound (less than one fingerprint) has no frames and
-aligns with nothing; a null id is left out; repeated rows of an id count as one where
+Defined results: null and empty sound aligns with nothing; short sound (less than one
+fingerprint) has no frames and aligns with its equals only, with no votes; a null id is left out; repeated rows of an id count as one where
 their sound is the same; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -34,8 +40,10 @@ from .common import keep
 
 RATE, FRAME, HOP, PITCHES = 8000, 256, 64, 12
 FILTERS, LONGEST = 16, 16
-#: Frames on each side within which a landmark has the least hash.
-AROUND = 6
+#: Frames on each side within which a landmark has the least hash, at most; and landmarks that a recording is to have.
+AROUND, LANDMARKS = 6, 36
+#: Frames of the least overlap.
+LEAST = 2 * (AROUND + 1) + 1
 VOTES, ERROR = 3, 0.2
 
 
@@ -88,27 +96,34 @@ def fingerprint(samples: np.ndarray) -> np.ndarray:
     return out
 
 
+def around(frames: int) -> int:
+    """Frames on each side of a landmark in a recording of so many."""
+    return min(AROUND, max(0, (frames // LANDMARKS - 1) // 2))
+
+
 def landmarks(prints: np.ndarray) -> np.ndarray:
-    """Places whose hash is the least within AROUND places, the first of equals."""
+    """Places whose hash is the least within ``around`` places, the first of equals."""
     if not len(prints):
         return np.zeros(0, dtype=np.int64)
     h = prints.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
-    padded = np.pad(h, AROUND, constant_values=np.iinfo(np.uint64).max)
-    least = np.lib.stride_tricks.sliding_window_view(padded, 2 * AROUND + 1)
-    return np.flatnonzero(least.argmin(axis=1) == AROUND)
+    side = around(len(prints))
+    padded = np.pad(h, side, constant_values=np.iinfo(np.uint64).max)
+    least = np.lib.stride_tricks.sliding_window_view(padded, 2 * side + 1)
+    return np.flatnonzero(least.argmin(axis=1) == side)
 
 
 def prints(recordings: DataFrame) -> DataFrame:
-    """rec_id, class (digest of the fingerprint), frames (packed integers); recordings without frames are left out."""
+    """rec_id, class (digest of the fingerprint, or of a sound too short for one), frames (packed integers)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [fingerprint(np.frombuffer(s, dtype=np.uint8).astype(float) - 128) for s in batch["sound"]]
-            yield pd.DataFrame({"rec_id": batch["rec_id"], "class": [hashlib.blake2b(f.tobytes(), digest_size=16).digest() for f in found], "frames": [f.tobytes() for f in found]})
+            told = [hashlib.blake2b(f.tobytes() or bytes(s), digest_size=16, person=b"frames" if len(f) else b"sound").digest() for f, s in zip(found, batch["sound"])]
+            yield pd.DataFrame({"rec_id": batch["rec_id"], "class": told, "frames": [f.tobytes() for f in found]})
 
-    known = recordings.filter(F.col("rec_id").isNotNull() & F.col("sound").isNotNull())
-    return known.select("rec_id", "sound").mapInPandas(run, "rec_id long, class binary, frames binary").filter(F.length("frames") > 0)
+    known = recordings.filter(F.col("rec_id").isNotNull() & (F.length("sound") > 0))
+    return known.select("rec_id", "sound").mapInPandas(run, "rec_id long, class binary, frames binary")
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("value", T.LongType()), T.StructField("at", T.LongType())])))
@@ -154,10 +169,15 @@ def pairs(own: DataFrame) -> DataFrame:
     error.  A class of several recordings aligns with itself.
     """
     classes = own.groupBy("class").agg(F.first("frames").alias("frames"), F.max("asks").alias("asks"), (F.min("rec_id") < F.max("rec_id")).alias("several"))
-    marks = keep(classes.select("class", "asks", F.explode(_landmarks("frames")).alias("m")).select("class", "asks", "m.value", "m.at"), "chroma-marks")
-    q = marks.filter("asks").select("value", F.col("class").alias("q"), F.col("at").alias("q_at"))
-    met = marks.join(q, "value").filter(F.col("class") != F.col("q"))
-    votes = met.groupBy("q", "class", (F.col("at") - F.col("q_at")).alias("offset")).agg(F.count("*").alias("votes")).filter(F.col("votes") >= VOTES)
+    n = (F.length("frames") / 4).cast("long").alias("n")
+    marks = keep(classes.select("class", "asks", n, F.explode(_landmarks("frames")).alias("m")).select("class", "asks", "n", "m.value", "m.at"), "chroma-marks")
+    q = marks.filter("asks").select("value", F.col("class").alias("q"), F.col("at").alias("q_at"), F.col("n").alias("q_n"))
+    offset = F.col("at") - F.col("q_at")
+    shorter = F.least("n", "q_n")
+    overlap = F.least("q_n", F.col("n") - offset) - F.greatest(F.lit(0), -offset)
+    met = marks.join(q, "value").filter((F.col("class") != F.col("q")) & (overlap >= F.least(F.lit(LEAST), shorter)))
+    enough = F.when(shorter < VOTES * (2 * AROUND + 1), 1).otherwise(VOTES)
+    votes = met.groupBy("q", "class", offset.alias("offset")).agg(F.count("*").alias("votes"), F.min(enough).alias("enough")).filter("votes >= enough")
     tried = votes.groupBy("q", "class").agg(F.collect_list(F.struct("offset", "votes")).alias("tried"))
     frames = classes.select("class", "frames")
     found = tried.join(frames, "class").join(frames.select(F.col("class").alias("q"), F.col("frames").alias("q_frames")), "q")

@@ -376,6 +376,19 @@ def test_align_tries_every_offset(spark):
     assert [(f.offset, f.votes, f.bit_error) for f in found] == [(-20, 3, 0.0)]
 
 
+def test_align_short(spark):
+    a = song(3, 1216 + 64 * 19)  # twenty frames
+    near = a[: 64 * 24] + song(4, 1216 + 64 * 19)[64 * 24 :]
+    rows = [(20, b"short"), (1, b"short"), (2, b"other"), (40, a), (3, near), (60, a[:1216]), (4, a[: 1216 + 63]), (80, b"")]
+    table = spark.createDataFrame(rows + [(81, b"")], "rec_id long, sound binary")
+    prints = {i: chroma.fingerprint(np.frombuffer(s, dtype=np.uint8).astype(float) - 128) for i, s in rows}
+    same = prints[40] == prints[3]
+    assert len(same) == 20 and np.bitwise_count(prints[40] ^ prints[3]).sum() <= 0.2 * 32 * 20 and same.any()
+    got = {(r.query_id, r.rec_id, r.offset) for r in chroma.align(table, F.col("rec_id") % 20 == 0).collect()}
+    assert {(20, 1, 0), (40, 3, 0), (60, 4, 0), (60, 40, 0), (40, 60, 0)} <= got
+    assert not any(x[:2] in ((20, 2), (80, 81)) for x in got)
+
+
 def test_areas():
     rng = np.random.default_rng(2)
     samples = rng.normal(0, 40, 4000)
