@@ -5,15 +5,19 @@ A pattern's matches and their places come from ``regexp_extract_all`` and
 run begins or the last match ended and never give characters back, so that long
 runs cost no more than their length.
 
-The method adds spans.  Two high-recall generators propose overlapping
-candidates: strings around an at sign (or its spelled forms), and groups of
-digits.  Each has format and context features in a few bins.  Those that a base
-span covers are the positive cases of the boosted trees, the rest the negative
-ones; all cases are counted per combination of bins, at most a few thousand
-rows, and the trees are fitted on these counts.  The trees then become one
-column expression.  Per generator, the threshold is the lowest score from which
-at least ``PRECISION`` of the counted cases are positive; candidates above it
-that no base span covers are added.
+The method adds spans.  Two high-recall generators propose candidates: strings around an
+at sign (or its spelled forms), and groups of digits.  Each has format and context
+features in a few bins, counted with the marks that decide a base format masked: the
+spelled at is read as the sign, and a plus with its country code is taken away.  Base
+addresses and grouped base phone numbers, so masked, are the positive cases of the
+boosted trees; other candidates whose form tells that they are none (an at sign without
+a host, cards, addresses of machines, plain runs of digits) are the negative ones.
+Spelled addresses and grouped numbers without a plus are not labelled: they are what the
+trees judge.  A few written cases (``POSITIVE``, ``NEGATIVE``) count besides, so that
+small inputs have cases of both kinds.  All cases are counted per combination of bins, at
+most a few thousand rows; the trees fitted on these counts become one column expression.
+Per generator, the threshold is the lowest score from which at least ``PRECISION`` of the
+labelled cases are positive; what is not labelled and scores above it is added.
 
 Defined results: null text is the empty text, with no spans; repeated rows give
 repeated rows; an empty table gives no rows; extra columns are ignored.
@@ -46,7 +50,17 @@ GENERATOR_NEEDS = {"address": r"@|[\[(]at[\])]", "number": r"[0-9](?:[\x20().-]{
 #: Characters on each side of a candidate in which context words count.
 CONTEXT = 24
 CONTEXT_WORD = r"(?i)mail|contact|phone|tel|call|mobile|fax|card|visa|account|iban|ssn|passport|address|name"
-ROUNDS, RATE, PRECISION, LEAST = 12, 0.5, 0.98, 50
+ROUNDS, RATE, PRECISION = 12, 0.5, 0.98
+#: Written cases, each counted WEIGHT times: what candidates without a base format look like when they are personal data, and when not.
+WEIGHT = 20
+POSITIVE = {
+    "address": ("write to jane@example.com now", "(max.muster@mail.example.org)", "a.b@x.example.net, or"),
+    "number": ("call (555) 555-0100 now", "tel. 555-555-0100.", "phone 030 5550 1001", "reach us at 555 555 0100, or", "at (0555) 555-0100."),
+}
+NEGATIVE = {
+    "address": ("run user@host now", "a@b", "x1@y2, then", "name@localhost"),
+    "number": ("on 2024-01-02 it", "at 01.02.2024, then", "2024-01-02 10 20", "of 1 000 000 000 or", "ISBN 978-3-16-148410-0", "a 10.1.2.3.4 b", "up to 3.14159265 of", "in 1990-1999 and", "12345678", "id 5693240340017844 was", "1 2 3 4 5 6 7 8 9 10"),
+}
 
 
 def _matches(text: Column, pattern: str, needs: str) -> Column:
@@ -89,24 +103,32 @@ def _valid(kind: str, own: Column) -> Column:
     return F.lit(True)
 
 
+def _masked(own: Column, kind: str) -> Column:
+    """Without what decides a base format: a spelled at becomes the sign, a plus goes with its country code."""
+    if kind == "address":
+        return F.regexp_replace(own, r"\x20?[\[(]at[\])]\x20?", "@")
+    return F.regexp_replace(own, r"^\+[0-9]{1,3}[\x20.-]?", "")
+
+
 def _features(own: Column, before: Column, after: Column, kind: str) -> dict[str, Column]:
-    """Binned features; none tells whether a base format holds."""
+    """Binned features of the masked candidate; none tells whether a base format holds."""
+    own = _masked(own, kind)
     digits = F.length(_digits(own))
     return {
         "kind": F.lit(list(GENERATORS).index(kind)),
         "digits": F.least(F.lit(6), F.floor(digits / 3)).cast("int"),
         "length": F.least(F.lit(5), F.floor(F.length(own) / 6)).cast("int"),
-        "plus": own.startswith("+").cast("int"),
+        "paren": own.startswith("(").cast("int"),
+        "dots": own.contains(".").cast("int"),
         "groups": F.least(F.lit(3), F.length(F.regexp_replace(own, r"[^\x20.()-]", ""))).cast("int"),
-        "at": F.when(own.contains("@"), 1).otherwise(0),
-        "dot_after_at": own.rlike(r"(?:@|at[\])]).+\..").cast("int"),
+        "dot_after_at": own.rlike(r"@.+\..").cast("int"),
         "left_open": before.rlike(r"(?:^|[\s(\[<:,;])$").cast("int"),
         "right_open": after.rlike(r"^(?:$|[\s)\]>:,;.!?])").cast("int"),
         "context": F.concat_ws(" ", before, after).rlike(CONTEXT_WORD).cast("int"),
     }
 
 
-FEATURES = ("kind", "digits", "length", "plus", "groups", "at", "dot_after_at", "left_open", "right_open", "context")
+FEATURES = ("kind", "digits", "length", "paren", "dots", "groups", "dot_after_at", "left_open", "right_open", "context")
 
 
 def _base(kind: str) -> Column:
@@ -114,20 +136,28 @@ def _base(kind: str) -> Column:
     return F.transform(valid, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
 
 
+def _form(own: Column, generator: str) -> Column:
+    """grouped or plain, for numbers with a plus: plus_grouped or plus_plain; sign or spelled."""
+    if generator == "address":
+        return F.when(own.contains("@"), "sign").otherwise("spelled")
+    grouped = F.when(_masked(own, generator).rlike(r"[0-9)][\x20().-]+[0-9]"), "grouped").otherwise("plain")
+    return F.concat(F.when(own.startswith("+"), "plus_").otherwise(""), grouped)
+
+
 def _candidates(generator: str) -> Column:
     features = lambda m: _features(m["own"], m["before"], m["after"], generator)
     return F.transform(generator, lambda m: F.struct(
-        m["start"].alias("start"), m["end"].alias("end"), F.lit(generator).alias("generator"), *[c.alias(n) for n, c in features(m).items()]
+        m["start"].alias("start"), m["end"].alias("end"), F.lit(generator).alias("generator"), _form(m["own"], generator).alias("form"), *[c.alias(n) for n, c in features(m).items()]
     ))
 
 
 def _added(trees: list[tuple], generator: str, limit: float) -> Column:
-    chosen = F.filter("candidates", lambda c: (c["generator"] == generator) & (c["positive"] == 0) & (_score(trees, c) >= limit))
+    chosen = F.filter("candidates", lambda c: (c["generator"] == generator) & c["label"].isNull() & (_score(trees, c) >= limit))
     return F.transform(chosen, lambda c: F.struct(c["generator"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
 
 
 def _spans(docs: DataFrame, carry: bool) -> DataFrame:
-    """doc_id, base spans by kind and start, and candidates with their features and whether a base span covers them."""
+    """doc_id, base spans by kind and start, and candidates with their features and label (null: to be judged; -1: neither counted nor judged)."""
     text = F.coalesce("text", F.lit(""))
     own = [F.struct(*docs.columns).alias("row")] if carry else []
     found = docs.select(
@@ -140,11 +170,27 @@ def _spans(docs: DataFrame, carry: bool) -> DataFrame:
     candidates = F.concat(*map(_candidates, GENERATORS))
     kept = ["row"] * carry
     found = found.select(*kept, "doc_id", base.alias("base"), candidates.alias("candidates"))
-    covered = lambda c: F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    marked = F.transform("candidates", lambda c: c.withField("positive", covered(c).cast("int")))
+    covered = lambda c, *kinds: F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]) & b["kind"].isin(*kinds))
+    label = lambda c: (
+        F.when((c["generator"] == "address") & covered(c, "email"), 1)
+        .when((c["generator"] == "number") & covered(c, "phone"), F.when(c["form"] == "plus_grouped", 1).otherwise(-1))
+        .when(covered(c, *KINDS), 0)
+        .when(~c["form"].isin("spelled", "grouped"), 0)
+    )
+    marked = F.transform("candidates", lambda c: c.withField("label", label(c)))
     return keep(found.select(*kept, "doc_id", "base", marked.alias("candidates")), "pii-spans")
 
 
+def _written(docs: DataFrame) -> DataFrame:
+    """The features of the written cases, with n and pos."""
+    rows = [(g, text, label) for label, cases in ((1, POSITIVE), (0, NEGATIVE)) for g, texts in cases.items() for text in texts]
+    table = docs.sparkSession.createDataFrame(rows, "generator string, text string, label int")
+    own = [_matches(F.col("text"), GENERATORS[g], GENERATOR_NEEDS[g]).alias(g) for g in GENERATORS]
+    cases = table.select("generator", "label", *own).select("generator", "label", F.explode(F.concat(*map(_candidates, GENERATORS))).alias("c"))
+    cases = cases.filter("c.generator = generator")
+    return cases.groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES]).agg((F.count("*") * WEIGHT).alias("n"), (F.sum("label") * WEIGHT).alias("pos"))
+
+
 def fit(cube: list[dict], rounds: int = ROUNDS, rate: float = RATE) -> list[tuple]:
     """Depth-two trees, boosted on logistic loss over counted cases: (f, t, g, u, four leaves)."""
     score, trees = [0.0] * len(cube), []
@@ -201,7 +247,7 @@ def thresholds(trees: list[tuple], cube: list[dict], precision: float = PRECISIO
         out[generator] = math.inf
         for i, (s, m, p) in enumerate(rows):
             n, pos = n + m, pos + p
-            if (i + 1 == len(rows) or rows[i + 1][0] < s) and n >= LEAST and pos >= precision * n:
+            if (i + 1 == len(rows) or rows[i + 1][0] < s) and pos >= precision * n:
                 out[generator] = s
     return out
 
@@ -217,8 +263,9 @@ def _score(trees: list[tuple], c: Column) -> Column:
 def find(docs: DataFrame, carry: bool = False) -> DataFrame:
     """doc_id and its spans: array of (kind, start, end), base kinds as listed, then added ones; by start within a kind."""
     spans = _spans(docs, carry)
-    cases = spans.select(F.explode("candidates").alias("c")).groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES])
-    cube = [r.asDict() for r in cases.agg(F.count("*").alias("n"), F.sum("c.positive").alias("pos")).collect()]  # one row per combination of bins
+    cases = spans.select(F.explode("candidates").alias("c")).filter("c.label >= 0").groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES])
+    cases = cases.agg(F.count("*").alias("n"), F.sum("c.label").alias("pos")).unionByName(_written(docs))
+    cube = [r.asDict() for r in cases.groupBy(*FEATURES).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).collect()]  # one row per combination of bins
     cube.sort(key=lambda r: tuple(r[f] for f in FEATURES))
     trees = fit(cube)
     limit = thresholds(trees, cube)

@@ -310,6 +310,19 @@ def test_redact(docs, rows):
     assert got == want
 
 
+def test_redact_spelled(spark):
+    told = [
+        (1, "Ask jane [at] example.com or jane(at)mail.example.org today.", "Ask [ADDRESS] or [ADDRESS] today."),
+        (2, "Call (555) 123-4567 or 555-123-4567 now", "Call [NUMBER] or [NUMBER] now"),
+        (3, "On 2024-01-02 and 978-3-16-148410-0, 1 000 000 000, user@host, 5693240340017844", None),
+        (4, "Ask +1 (838) 555-7235, und.34@mail7.example.com", "Ask [PHONE], [EMAIL]"),
+        (5, None, None),
+    ]
+    table = spark.createDataFrame([(i, t, len(t or "")) for i, t, _ in told], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r.text for r in pii.redact(table).collect()}
+    assert got == {i: w or t for i, t, w in told}
+
+
 # --- exact search --------------------------------------------------------------------------------
 
 
