@@ -5,7 +5,9 @@ d // segments bits of some segment, so buckets of segment values find every neig
 round s probes all buckets whose value differs from the query's in exactly s bits.
 After it every code within segments * (s + 1) - 1 bits has been met and verified, and a
 query ends as soon as its k-th verified distance is no more than that.  Only the
-queries that have not ended probe on.
+queries that have not ended probe on.  Where the neighbours are too far for that, as
+with 64 random bits, the queries left after ``scan_after`` rounds are compared with all
+codes, block by block, which is exact as well.
 
 Equal codes share one entry that holds their k + 1 smallest ids, as no others can be in
 a result (ties go to the smaller id, a query does not find itself); so copies fill no
@@ -20,13 +22,18 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import keep
 
 BITS, SEGMENTS, K = 32, 2, 10
+#: Queries and codes that are compared at once in a scan.
+ASKED, SCANNED = 256, 8192
 
 
 def sign_code(vector: Column | str, bits: int = BITS, dimensions: int = 64) -> Column:
@@ -38,7 +45,7 @@ def sign_code(vector: Column | str, bits: int = BITS, dimensions: int = 64) -> C
         own = value(i * run)
         for j in range(1, run):
             own = own + value(i * run + j)
-        total = total.bitwiseOR(F.when(own > 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
+        total = total.bitwiseOR(F.when(own > 0, F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long"))
     return total
 
 
@@ -56,8 +63,33 @@ def _segments(code: str, bits: int, segments: int) -> Column:
     ])
 
 
-def top_k(codes: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS, segments: int = SEGMENTS) -> DataFrame:
-    """query_id, rank, vec_id, distance.  ``codes`` and ``queries`` hold vec_id and code."""
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("q", T.LongType()), T.StructField("code", T.LongType()), T.StructField("distance", T.IntegerType())])))
+def _nearest(asked: pd.Series, codes: pd.Series, k: pd.Series) -> pd.Series:
+    """Per query, the k + 1 nearest codes of the block and all that are as near as the last of them."""
+    out = []
+    for q, c, n in zip(asked, codes, k):
+        q, c = np.asarray(q, dtype=np.int64), np.asarray(c, dtype=np.int64)
+        distance = np.bitwise_count((q[:, None] ^ c[None, :]).view(np.uint64))
+        n = min(n, len(c) - 1)
+        rows, columns = np.nonzero(distance <= np.partition(distance, n, axis=1)[:, n : n + 1])
+        out.append([{"q": int(q[i]), "code": int(c[j]), "distance": int(distance[i, j])} for i, j in zip(rows, columns)])
+    return pd.Series(out)
+
+
+def _scan(entries: DataFrame, open_: DataFrame, k: int) -> DataFrame:
+    """q, code, distance: the nearest codes of each block for each query; those of the whole table are among them."""
+
+    def blocks(rows: DataFrame, name: str, size: int) -> tuple[DataFrame, int]:
+        n = -(-rows.count() // size) or 1
+        return rows.groupBy(F.pmod(F.xxhash64(name), F.lit(n)).alias(f"{name}_block")).agg(F.collect_list(name).alias(f"{name}_all")), n
+
+    (asked, n), (codes, m) = blocks(open_, "q", ASKED), blocks(entries.select("code"), "code", SCANNED)
+    pairs = asked.crossJoin(codes).repartition(min(n * m, 4096), "q_block", "code_block")
+    return pairs.select(F.explode(_nearest("q_all", "code_all", F.lit(k))).alias("h")).select("h.q", "h.code", "h.distance")
+
+
+def top_k(codes: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS, segments: int = SEGMENTS, scan_after: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id, distance.  ``codes`` and ``queries`` hold vec_id and code; without ``scan_after`` all rounds probe."""
     width = bits // segments
     first = Window.partitionBy("code").orderBy("vec_id")
     entries = codes.distinct().withColumn("place", F.row_number().over(first)).filter(F.col("place") <= k + 1)
@@ -87,6 +119,9 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS, se
         found = found.drop("size")
         if open_.isEmpty():
             break
+        if s == scan_after:
+            done.append(_scan(entries, open_, k))
+            break
     else:
         done.append(found.join(open_, "q", "left_semi"))
     all_found = done[0]

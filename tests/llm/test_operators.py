@@ -344,6 +344,21 @@ def test_top_k(spark, bits, segments):
     assert hamming.top_k(own.limit(0), own.limit(0)).count() == 0
 
 
+def test_top_k_of_64_bits(spark):
+    rng = np.random.default_rng(64)
+    vectors = rng.normal(size=(300, 64))
+    vectors[200:250] = vectors[:50] + 0.2 * rng.normal(size=(50, 64))
+    vectors[250:280] = vectors[0]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    codes = hamming.coded(table, bits=64)
+    got = sorted((r.query_id, r.rank, r.vec_id, r.distance) for r in hamming.top_k(codes, codes.filter("vec_id % 20 = 0"), 10, 64, 4, scan_after=0).collect())
+    signs, want = vectors > 0, []
+    for q in range(0, 300, 20):
+        best = sorted((int((signs[q] != signs[i]).sum()), i) for i in range(300) if i != q)[:10]
+        want += [(q, k + 1, i, d) for k, (d, i) in enumerate(best)]
+    assert got == want
+
+
 # --- media ------------------------------------------------------------------------------------------
 
 
