@@ -10,9 +10,16 @@ Every shard walks from the root to its own leaf, with one seed per node, so the
 tree needs no driver and reruns agree.  A shard then owns disjoint ranges of
 each source's permuted draws, and shuffles its documents locally.
 
-Defined results: null text has size 0 and is dealt like any other document;
-null source is a source of its own, after all others; repeated rows are dealt
-row by row; an empty table gives an empty mix; extra columns are ignored.
+Texts are read twice, once for their sizes and once to be dealt, and shuffled once, to
+their shards.  All planning is done on a kept table of sizes and on the table of blocks
+(about the square root of the rows), which is broadcast only up to ``BROADCAST`` rows.
+Sources meet in one task and their quotas go to every shard: a mix of up to some tens
+of thousands of sources.  More than that, as web hosts, are to be grouped first.
+
+Defined results: null text has size 0 and is dealt like any other document; null
+source is a source of its own, after all others; a null id has its place by its text;
+repeated rows are dealt row by row, but the last, partial pass takes rows of one id
+together or not at all; an empty table gives an empty mix; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +30,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -34,17 +41,24 @@ MAX_REPEAT = 3
 SEED = "mix-1"
 #: Words that one output shard should hold.
 SHARD_WORDS = 4_000_000
+#: Rows of the table of blocks up to which it is broadcast.
+BROADCAST = 400_000
 
 
-def word_sizes(docs: DataFrame, seed: str = SEED, carry: bool = False) -> DataFrame:
-    """doc_id, source, size in words (null text: 0) and the document's place in the seeded order."""
-    return docs.select(
-        *([F.struct(*docs.columns).alias("row")] if carry else []),
-        "doc_id",
-        "source",
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("place"),
-    )
+def place(seed: str = SEED) -> Column:
+    """A document's place in the seeded order: a digest of its id, or of its text where it has none."""
+    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.md5(F.coalesce("text", F.lit("")))))
+    return F.md5(F.concat(F.lit(f"{seed}:"), own))
+
+
+def word_sizes(docs: DataFrame, seed: str = SEED) -> DataFrame:
+    """doc_id, source, size in words (null text: 0) and the document's place."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select("doc_id", "source", size.alias("size"), place(seed).alias("place"))
+
+
+def _block(bits: int) -> Column:
+    return F.shiftright(F.conv(F.substring("place", 1, 8), 16, 10).cast("long"), 32 - bits)
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -111,7 +125,7 @@ def _deal(quotas: DataFrame, shards: int, seed: str) -> DataFrame:
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for shard in batch["id"]:
+            for shard in batch["id"] if names else ():
                 start, end = shard_ranges(int(shard), shards, counts, seed)
                 yield pd.DataFrame({"source": names, "shard": int(shard), "start": start, "end": end})
 
@@ -121,19 +135,17 @@ def _deal(quotas: DataFrame, shards: int, seed: str) -> DataFrame:
     return ranges.filter("end > start").select("source", "shard", draws)
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = SEED, shard_words: int = SHARD_WORDS, carry: bool = False) -> DataFrame:
-    """The mix's plan: one row per document row.
+def _plan(sizes: DataFrame, weights: Sequence[int], max_repeat: int, seed: str, shard_words: int) -> tuple[DataFrame, int]:
+    """What each block gives, and the bits of a place that tell its block.
 
-    doc_id, source, size, source_size, target (its source's), homes: one
-    (copy, shard) for each time the mix takes the document.  ``carry`` adds the
-    document itself as the struct ``row``.
+    source, block, source_size, target, passes, extra (it is in the last, partial pass),
+    cutoff (of its documents those up to this place; null: all) and homes, one (copy,
+    shard) for each time the block is drawn.
     """
     # Blocks per source and documents per block both grow with the square root of the rows.
-    bits = min(24, math.ceil(math.log2(max(docs.count(), 1)) / 2) + 1)
-    block = F.shiftright(F.conv(F.substring("place", 1, 8), 16, 10).cast("long"), 32 - bits)
-    sizes = word_sizes(docs, seed, carry).withColumn("block", block)
-    per_block = sizes.groupBy("source", "block").agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
-    per_block = keep(per_block, "mix-blocks")
+    bits = min(24, math.ceil(math.log2(max(sizes.count(), 1)) / 2) + 1)
+    sizes = sizes.withColumn("block", _block(bits))
+    per_block = keep(sizes.groupBy("source", "block").agg(F.sum("size").alias("words")), "mix-blocks")
     targets = source_targets(per_block.select("source", F.col("words").alias("size")), weights, max_repeat)
     in_order = Window.partitionBy("source").orderBy("block")
     so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
@@ -148,8 +160,16 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int = MAX
         .withColumn("before", F.sum("words").over(so_far) - F.col("words"))
         .withColumn("n_blocks", F.count("*").over(Window.partitionBy("source")))
         .withColumn("extra", F.col("before") < F.col("rest"))
+        .withColumn("ends", F.col("extra") & (F.col("before") + F.col("words") > F.col("rest")))
     )
     blocks = keep(blocks, "mix-quotas")
+    # Only the block in which the prefix ends, one for each source, needs the order of its documents.
+    ending = blocks.filter("ends").select(F.col("source").alias("s"), F.col("block").alias("b"), "before", "rest")
+    of_end = sizes.join(F.broadcast(ending), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
+    groups = of_end.groupBy("s", "b", "before", "rest", "place").agg(F.sum("size").alias("words"))
+    within = Window.partitionBy("s", "b").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    middle = F.col("before") + F.sum("words").over(within) - F.col("words") / 2
+    cutoffs = groups.withColumn("middle", middle).groupBy("s", "b").agg(F.max(F.when(F.col("middle") <= F.col("rest"), F.col("place"))).alias("cutoff"))
     quota = F.max("passes") * F.max("n_blocks") + F.sum(F.col("extra").cast("long"))
     quotas = blocks.groupBy("source").agg(quota.alias("quota"))
     words = blocks.groupBy("source").agg(F.max("target").alias("t")).agg(F.sum("t")).first()[0] or 0
@@ -165,25 +185,39 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int = MAX
         .agg(F.sort_array(F.collect_list(F.struct("copy", "shard"))).alias("homes"))
     )
     same = F.col("b.source").eqNullSafe(F.col("h.source")) & (F.col("b.block") == F.col("h.block"))
-    where = blocks.alias("b").join(homes.alias("h"), same, "left").select("b.*", "h.homes")
-    same = F.col("s.source").eqNullSafe(F.col("w.source")) & (F.col("s.block") == F.col("w.block"))
-    placed = sizes.alias("s").join(where.alias("w"), same).select(
-        "s.*", "source_size", "target", "passes", "rest", "before", "words", "extra", F.coalesce("homes", F.array()).alias("homes")
-    )
-    # Only the block in which the prefix ends needs the order of its documents.
-    ends = F.col("extra") & (F.col("before") + F.col("words") > F.col("rest"))
-    within = Window.partitionBy("source", "block").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, 0)
-    middle = F.col("before") + F.sum("size").over(within) - F.col("size") / 2
-    last = placed.filter(ends).withColumn("more", middle <= F.col("rest"))
-    plan = placed.filter(~ends).withColumn("more", F.col("extra")).unionByName(last)
-    taken = F.filter("homes", lambda h: (h["copy"] < F.col("passes")) | F.col("more"))
-    return plan.select("doc_id", "source", "size", "source_size", "target", taken.alias("homes"), *(["row"] if carry else []))
+    where = blocks.alias("b").join(homes.alias("h"), same, "left")
+    where = where.join(cutoffs.select("s", F.col("b").alias("end"), "cutoff"), F.col("b.source").eqNullSafe(F.col("s")) & (F.col("b.block") == F.col("end")), "left")
+    cutoff = F.when(F.col("ends"), F.coalesce("cutoff", F.lit("")))
+    where = where.select("b.source", "b.block", "source_size", "target", "passes", "extra", cutoff.alias("cutoff"), F.coalesce("h.homes", F.array()).alias("homes"))
+    return keep(where, "mix-plan"), bits
+
+
+def _dealt(rows: DataFrame, plan: DataFrame, bits: int) -> DataFrame:
+    """``rows`` (with source and place) with the source_size, target and homes of each."""
+    known = plan.select(F.struct(*plan.columns).alias("b"))
+    known = F.broadcast(known) if plan.count() <= BROADCAST else known
+    met = rows.join(known, rows["source"].eqNullSafe(F.col("b.source")) & (_block(bits) == F.col("b.block")))
+    more = F.col("b.extra") & (F.col("b.cutoff").isNull() | (F.col("place") <= F.col("b.cutoff")))
+    taken = F.filter("b.homes", lambda h: (h["copy"] < F.col("b.passes")) | more)
+    return met.select(*[rows[c] for c in rows.columns], F.col("b.source_size").alias("source_size"), F.col("b.target").alias("target"), taken.alias("homes"))
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = SEED, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """The mix's plan: one row per document row.
+
+    doc_id, source, size, source_size, target (its source's), homes: one (copy, shard)
+    for each time the mix takes the document.
+    """
+    sizes = keep(word_sizes(docs, seed), "mix-sizes")
+    return _dealt(sizes, *_plan(sizes, weights, max_repeat, seed, shard_words)).drop("place")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = SEED, shard_words: int = SHARD_WORDS) -> DataFrame:
     """The documents as the mix takes them: each shard together, in its own random order."""
-    seed = options.get("seed", SEED)
-    drawn = mix(docs, carry=True, **options).select("row", F.explode("homes").alias("home"))
-    toss = F.md5(F.concat_ws(":", F.lit(seed), "home.shard", "home.copy", F.coalesce(F.col("row.doc_id").cast("string"), F.lit(""))))
+    sizes = keep(word_sizes(docs, seed), "mix-sizes")
+    plan, bits = _plan(sizes, weights, max_repeat, seed, shard_words)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "source", place(seed).alias("place"))
+    drawn = _dealt(rows, plan, bits).select("row", "place", F.explode("homes").alias("home"))
+    toss = F.md5(F.concat_ws(":", F.lit(seed), "home.shard", "home.copy", "place"))
     drawn = drawn.select("row", F.col("home.shard").alias("shard"), toss.alias("toss"))
-    return drawn.repartition("shard").sortWithinPartitions("shard", "toss").select("row.*")
+    return drawn.repartition("shard").sortWithinPartitions("shard", "toss", F.xxhash64("row")).select("row.*")
