@@ -6,6 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def py_round(value: Column, digits: int) -> Column:
+    """A number from 0 to 2**40, rounded as Python rounds: by its exact binary value, halves to even.
+
+    ``round`` goes by the decimal that a number is shown as.  Here the number, times a power
+    of two that makes it an integer, is divided as an integer.
+    """
+    bits = 60 - F.ceil(F.log2(F.greatest(value, F.lit(1e-6)))).cast("int")
+    low, high = F.least(bits, F.lit(40)), F.greatest(bits - 40, F.lit(0))
+    whole = lambda b: F.pow(F.lit(2.0), b).cast("long").cast("decimal(20,0)")
+    unit = (whole(low) * whole(high)).cast("decimal(38,0)")
+    n = ((value * F.pow(F.lit(2.0), low) * F.pow(F.lit(2.0), high)).cast("long").cast("decimal(20,0)") * F.lit(10**digits).cast("decimal(10,0)")).cast("decimal(38,0)")
+    down = F.call_function("div", n, unit)
+    rest = (n - down.cast("decimal(38,0)") * unit) * F.lit(2).cast("decimal(1,0)")
+    up = F.when((rest > unit) | ((rest == unit) & (down % 2 == 1)), 1).otherwise(0)
+    return F.when(value <= 1e-6, 0.0).otherwise((down + up).cast("double") / F.lit(float(10**digits)))
+
+
 def last_segment(name: Column | str) -> Column:
     return F.substring_index(name, ".", -1)
 
@@ -57,11 +74,11 @@ WEIGHTS = (("name_similarity", 0.35), ("param_overlap", 0.30), ("type_match", 0.
 
 
 def weighted_confidence(signals: Column) -> Column:
-    """The weighted sum of the signals, held to [0, 1]; a null signal counts as 0."""
+    """The weighted sum of the signals, held to [0, 1], to three decimals; a null signal counts as 0."""
     total = F.lit(0.0)
     for name, weight in WEIGHTS:
         total = total + F.lit(weight) * F.coalesce(signals[name], F.lit(0.0))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))
+    return py_round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 3)
 
 
 def type_match(fact: Column, claim: Column) -> Column:
@@ -78,19 +95,19 @@ def directories(path: Column) -> Column:
 
 
 def location_proximity(a: Column, b: Column) -> Column:
-    """1.0 in one directory, else the common leading directories over the greater depth (0.0 for none)."""
+    """1.0 in one directory, else the common leading directories over the greater depth (0.0 for none), to three decimals."""
     x, y = directories(a), directories(b)
     pairs = F.arrays_zip(x.alias("x"), y.alias("y"))
     common = F.aggregate(pairs, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, p: F.struct(
         (s["n"] + (s["on"] & p["x"].eqNullSafe(p["y"])).cast("int")).alias("n"), (s["on"] & p["x"].eqNullSafe(p["y"])).alias("on")
     ), lambda s: s["n"])
-    return F.when(x == y, 1.0).otherwise(F.coalesce(F.try_divide(common.cast("double"), F.greatest(F.size(x), F.size(y)).cast("double")), F.lit(0.0)))
+    return F.when(x == y, 1.0).otherwise(py_round(F.coalesce(F.try_divide(common.cast("double"), F.greatest(F.size(x), F.size(y)).cast("double")), F.lit(0.0)), 3))
 
 
 def context_match(a: Column, b: Column) -> Column:
-    """Overlap of the directories as sets; 1.0 where both are empty."""
+    """Overlap of the directories as sets, to three decimals; 1.0 where both are empty."""
     x, y = F.array_distinct(directories(a)), F.array_distinct(directories(b))
-    return F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).otherwise(jaccard(x, y))
+    return F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).otherwise(py_round(jaccard(x, y), 3))
 
 
 def severity_rank(severity: Column) -> Column:

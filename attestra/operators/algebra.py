@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import severity_rank
+from ..functions.columns import py_round, severity_rank
 from ..plans.schema import CATEGORIES, SEVERITIES
 
 REACH = 5  # lines around a change that count as changed
@@ -79,7 +79,8 @@ def fixable(findings: DataFrame) -> DataFrame:
     return findings.filter((F.col("category") == "documented_but_missing") & F.col("claim.kind").isin(*kinds))
 
 
-PATCHABLE = ("missing_param", "extra_param", "wrong_type", "wrong_return_type")
+# What a patch of the document can mend.
+PATCHABLE = ("wrong_default", "wrong_type", "wrong_return_type", "documented_but_missing")
 
 
 def patchable(findings: DataFrame) -> DataFrame:
@@ -133,11 +134,12 @@ def totals(findings: DataFrame) -> DataFrame:
 
 
 def health(claims: DataFrame, findings: DataFrame) -> DataFrame:
-    """claims, matched, score: a claim is unmatched if its (name, kind) is among the missing; no claims score 100."""
+    """claims, matched, score: a claim is unmatched if its (name, kind) is among the missing; no claims score 100; to one decimal."""
     gone = findings.filter("category = 'documented_but_missing'").select("claim_name", F.col("claim_kind").alias("kind"))
     matched = _not_in(claims.select(F.col("name").alias("claim_name"), "kind"), gone, ("claim_name", "kind")).agg(F.count("*").alias("matched"))
     total = claims.agg(F.count("*").alias("claims"))
     score = F.when(F.col("claims") == 0, 100.0).otherwise(F.try_divide(F.col("matched").cast("double"), F.col("claims").cast("double")) * 100)
+    score = py_round(score, 1)
     return total.crossJoin(matched).select("claims", "matched", score.alias("score"))  # one row each
 
 

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Fixed value: the marker of suppressing comments, part of the input format.
-MARKER = "drift:ignore"
+#: The marker of suppressing comments, unless the caller names another.
+MARKER = "docs:ignore"
+# Fixed value: the tags of shell fences.
 SHELL_TAGS = ("bash", "shell", "sh", "zsh", "")
 
 
@@ -29,11 +30,12 @@ def _is_fence() -> Column:
     return F.ltrim("text").startswith("```")
 
 
-def fenced(rows: DataFrame) -> DataFrame:
+def fenced(rows: DataFrame, marker: str = MARKER) -> DataFrame:
     """The lines inside fences, with the fence's line, tag and what suppresses it (null: nothing; empty: everything)."""
     before = _in_file().rowsBetween(Window.unboundedPreceding, 0)
-    target = F.when(F.col("line") > 1, F.nullif(F.regexp_extract("text", rf"<!--\s*{MARKER}\s*(\S*?)\s*-->", 0), F.lit("")))
-    names = F.regexp_extract("text", rf"<!--\s*{MARKER}\s*(\S*?)\s*-->", 1)
+    comment = rf"<!--\s*\Q{marker}\E\s*(\S*?)\s*-->"
+    target = F.when(F.col("line") > 1, F.nullif(F.regexp_extract("text", comment, 0), F.lit("")))
+    names = F.regexp_extract("text", comment, 1)
     rows = (
         rows.withColumn("fence", _is_fence())
         .withColumn("count", F.sum(F.col("fence").cast("int")).over(before))
@@ -48,52 +50,150 @@ def fenced(rows: DataFrame) -> DataFrame:
 DEF = r"^def\s+(\w+)\s*\(([^)]*)\)(?:\s*->\s*([^:]+?))?\s*(?::|$)"
 
 
-def fenced_signatures(rows: DataFrame) -> DataFrame:
+def fenced_signatures(rows: DataFrame, marker: str = MARKER) -> DataFrame:
     """Signatures in fences: name, params (text), return_type (null if none), suppressed."""
-    found = fenced(rows).filter(F.col("text").rlike(DEF))
+    found = fenced(rows, marker).filter(F.col("text").rlike(DEF))
     group = lambda k: F.regexp_extract("text", DEF, k)
     suppressed = F.coalesce((F.col("suppress") == "") | (F.col("suppress") == group(1)), F.lit(False))
     return found.select("path", "line", F.lit("function_signature").alias("kind"), group(1).alias("name"), group(2).alias("params"), F.nullif(group(3), F.lit("")).alias("return_type"), suppressed.alias("suppressed"))
 
 
-def _each(rows: DataFrame, pattern: str, group: int, kind: str) -> DataFrame:
-    """One claim for each distinct match of a line."""
-    found = rows.filter(F.col("text").rlike(pattern))
-    names = F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(group)))
-    return found.select("path", "line", F.lit(kind).alias("kind"), F.explode(names).alias("name"))
+# --- references: every rule is an array of what it finds in a line ---------------------------
 
+REFERENCE = "array<struct<rule:int,kind:string,name:string,raw_text:string,params:string,default:string,args:string>>"
+FLAG = r"(?<![\w-])(--[A-Za-z][\w-]*|-[A-Za-z])(?![\w-])((?:[=:][^`\s]*)?)"
+TABLE_FLAG = r"^(-{1,2}[a-zA-Z0-9_-]+)(?:\s*=\s*(\S+))?$"
 
-def inline_code(rows: DataFrame) -> DataFrame:
-    """Names in backticks, with or without arguments, outside fences."""
-    outside = rows.join(fenced(rows).select("path", "line"), ["path", "line"], "left_anti").filter(~_is_fence())
-    return _each(outside, r"`([A-Za-z_][\w.]+)(?:\([^`)]*\))?`", 1, "code_example")
 
+def _found(rule: int, kind: str, name: Column, raw: Column | None = None, params: Column | None = None, default: Column | None = None, args: Column | None = None) -> Column:
+    text = lambda c: (F.lit(None) if c is None else c).cast("string")
+    return F.struct(
+        F.lit(rule).alias("rule"), F.lit(kind).alias("kind"), name.alias("name"), (name if raw is None else raw).alias("raw_text"),
+        text(params).alias("params"), text(default).alias("default"), text(args).alias("args"))
 
-def cli_usages(rows: DataFrame) -> DataFrame:
-    """Commands after a prompt, or with a usual subcommand, at the start of a line."""
-    pattern = r"^(?:\$\s+([A-Za-z][\w-]*)|([A-Za-z][\w-]*)\s+(?:scan|run|exec|check|version|help)\b)"
-    name = F.coalesce(F.nullif(F.regexp_extract("text", pattern, 1), F.lit("")), F.regexp_extract("text", pattern, 2))
-    return rows.filter(F.col("text").rlike(pattern)).select("path", "line", F.lit("cli_usage").alias("kind"), name.alias("name"))
 
+def _filled(value: Column) -> Column:
+    return F.nullif(value, F.lit(""))
 
-def cli_flags(rows: DataFrame) -> DataFrame:
-    """Flags on prompt lines and in shell fences.
 
-    Only fences whose tag is empty or a shell's toggle the state, so that the closing
+def _inline() -> Column:
+    """What stands in backticks: an identifier, or one with arguments; fences are read like any other line."""
+    call, name = r"^([a-zA-Z_][a-zA-Z0-9_]*)\s*\((.*)\)$", r"^[a-zA-Z_][a-zA-Z0-9_]*$"
+    texts = F.filter(F.array_distinct(F.regexp_extract_all("text", F.lit(r"`([^`]+)`"), F.lit(1))), lambda t: (F.length(t) >= 2) & (t.rlike(call) | t.rlike(name)))
+    return F.transform(texts, lambda t: _found(1, "code_example", F.regexp_extract(t, r"^(\w+)", 1), t, F.when(t.rlike(call), F.regexp_extract(t, call, 2))))
+
+
+def _usages() -> Column:
+    """A command after a prompt, or with a usual subcommand, at the start of a line."""
+    line = F.trim("text")
+    prompt, bare = r"^\$\s+([a-zA-Z_][a-zA-Z0-9_-]*)\s*(.*)$", r"^([a-zA-Z_][a-zA-Z0-9_-]*)\s+(?:scan|run|exec|check|version|help)\s*(.*)$"
+    one = lambda pattern: F.array(_found(2, "cli_usage", F.regexp_extract(line, pattern, 1), line, args=F.regexp_extract(line, pattern, 2)))
+    return F.when(line.rlike(prompt), one(prompt)).when(line.rlike(bare), one(bare)).otherwise(F.array().cast(REFERENCE))
+
+
+def _flags() -> Column:
+    """Flags on prompt lines and in shell fences, the first of a name, with what follows an equals sign or a colon."""
+    told = F.regexp_extract_all("text", F.lit(FLAG), F.lit(0))
+    found = F.transform(told, lambda t: _found(3, "cli_flag_ref", F.regexp_extract(t, r"^(-{1,2}[\w-]+)", 1), default=F.trim(_filled(F.regexp_extract(t, r"^[\w-]+[=:](.*)$", 1)), F.lit("\"'"))))
+    return F.when(F.col("in_shell"), _first_of(found)).otherwise(F.array().cast(REFERENCE))
+
+
+def _first_of(found: Column) -> Column:
+    """The first entry of each name."""
+    names = F.transform(found, lambda x: x["name"])
+    return F.filter(found, lambda x, i: F.array_position(names, x["name"]) == i + 1)
+
+
+def _variables() -> Column:
+    """``$VAR``, ``${VAR}`` and upper-case names in backticks."""
+    dollar = F.regexp_extract_all("text", F.lit(r"\$\{?((?<=\{)[A-Z_][A-Z0-9_]*(?=\})|(?<!\{)[A-Z_][A-Z0-9_]*)"), F.lit(1))
+    ticked = F.regexp_extract_all("text", F.lit(r"`([A-Z_][A-Z0-9_]*)`"), F.lit(1))
+    return F.transform(F.array_distinct(F.concat(dollar, ticked)), lambda n: _found(4, "config_ref", n))
+
+
+def _table_flags() -> Column:
+    """Flags in the cells of a table, by commas; their default may stand behind an equals sign or in the column that the document's first table row calls so."""
+    usual = F.filter(F.transform("header", lambda h, i: F.when(F.lower(h).contains("default") | F.lower(h).contains("dflt"), i)), lambda i: i.isNotNull())
+
+    def of(cell: Column, own: Column) -> Column:
+        elsewhere = F.get(F.filter(F.transform(usual, lambda i: F.when(i != own, _filled(F.get("cells", i)))), lambda d: d.isNotNull() & ~d.startswith("-")), F.lit(0))
+        parts = F.filter(F.transform(F.split(cell, ","), lambda p: F.trim(p)), lambda p: p.rlike(TABLE_FLAG))
+        return F.transform(parts, lambda p: _found(5, "cli_flag_ref", F.regexp_extract(p, TABLE_FLAG, 1), default=F.coalesce(_filled(F.regexp_extract(p, TABLE_FLAG, 2)), elsewhere)))
+
+    found = F.flatten(F.transform("cells", lambda c, i: F.when(c.startswith("-"), of(c, i)).otherwise(F.array().cast(REFERENCE))))
+    return F.when(F.col("is_row") & (F.col("line") > F.col("header_line")), _first_of(found)).otherwise(F.array().cast(REFERENCE))
+
+
+def _at(header: Column, words: tuple[str, ...]) -> Column:
+    """The first column whose heading holds one of the words."""
+    hits = F.transform(header, lambda h, i: F.when(F.lower(h).rlike("|".join(words)), i))
+    return F.get(F.filter(hits, lambda i: i.isNotNull()), F.lit(0))
+
+
+NAMED, DEFAULTED = ("variable", "env", "name", "key"), ("default", "dflt", "value")
+
+
+def _table_variables() -> Column:
+    """Names in the name column of a table whose heading has one: upper-case ones and dotted keys."""
+    name = F.get("cells", _at(F.col("heading"), NAMED))
+    told = ~name.startswith("-") & (name.rlike(r"^[A-Z_][A-Z0-9_]+$") | name.rlike(r"(?i)^[a-z_][a-z0-9_]*(\.[a-z_][a-z0-9_]*)+$"))
+    default = _filled(F.get("cells", _at(F.col("heading"), DEFAULTED)))
+    row = (F.col("line") > F.col("heading_line")) & ~F.trim("text").rlike(r"^\|[-:|\s]+\|$")
+    return F.when(row & told, F.array(_found(6, "config_ref", name, default=default))).otherwise(F.array().cast(REFERENCE))
+
+
+def _marked(rows: DataFrame) -> DataFrame:
+    """The lines with what earlier lines of the file mean for them.
+
+    Only shell fences (by tag, or without one) toggle ``in_shell``, so that the closing
     fence of another language's block opens it; documents rely on this.
     """
+    so_far = _in_file().rowsBetween(Window.unboundedPreceding, 0)
     tag = F.lower(F.regexp_extract(F.ltrim("text"), r"^```\s*([^\s`]*)", 1))
     toggles = _is_fence() & tag.isin(*SHELL_TAGS)
-    state = F.sum(toggles.cast("int")).over(_in_file().rowsBetween(Window.unboundedPreceding, 0))
-    told = rows.withColumn("state", state).filter(~_is_fence() & ((F.col("state") % 2 == 1) | F.col("text").rlike(r"^\s*[$>]")))
-    return _each(told.select("path", "line", "text"), r"(?<![\w-])(--[A-Za-z][\w-]*|-[A-Za-z])(?![\w-])", 1, "cli_flag_ref")
+    line = F.trim("text")
+    parts = F.split(line, r"\|")
+    cells = F.when(line.startswith("|"), F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda c: F.trim(c))).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn("cells", cells).withColumn("is_row", (F.size("cells") > 0) & ~line.rlike(r"^\|[\s|-]+\|[\s|-]+\|$"))
+    rows = rows.withColumn("state", F.sum(toggles.cast("int")).over(so_far)).withColumn("table", F.sum((~line.startswith("|")).cast("int")).over(so_far))
+    rows = rows.withColumn("in_shell", ~_is_fence() & ((F.col("state") % 2 == 1) | F.col("text").rlike(r"^\s*[$>]")))
+    top = F.first(F.when(F.col("is_row"), F.struct("line", "cells")), ignorenulls=True).over(so_far)
+    named = (F.size("cells") > 0) & _at(F.col("cells"), NAMED).isNotNull()
+    own = F.first(F.when(named, F.struct("line", "cells")), ignorenulls=True).over(Window.partitionBy("path", "table").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("top", top).withColumn("own", own)
+    return rows.select("path", "line", "text", "in_shell", "is_row", "cells", F.col("top.line").alias("header_line"), F.col("top.cells").alias("header"), F.col("own.line").alias("heading_line"), F.col("own.cells").alias("heading"))
+
+
+PLAIN, WINDOWED = {"inline": _inline, "usages": _usages, "variables": _variables}, {"flags": _flags, "table_flags": _table_flags, "table_variables": _table_variables}
+
+
+def references(rows: DataFrame, *only: str) -> DataFrame:
+    """path, line, rule, kind, name, raw_text, params (text; null without arguments), default, args: what the rules named find, or all.
+
+    A configuration name that a line's text holds is not taken from its table cell again.
+    """
+    chosen = only or (*PLAIN, *WINDOWED)
+    rows = _marked(rows) if set(chosen) & set(WINDOWED) else rows
+    found = F.concat(*[(PLAIN | WINDOWED)[n]().cast(REFERENCE) for n in chosen])
+    rows = rows.select("path", "line", found.alias("found"))
+    told = lambda x: F.exists("found", lambda y: (y["rule"] == 4) & (y["name"] == x["name"]))
+    return rows.select("path", "line", F.explode(F.filter("found", lambda x: (x["rule"] != 6) | ~told(x))).alias("r")).select("path", "line", "r.*")
+
+
+def inline_code(rows: DataFrame) -> DataFrame:
+    return references(rows, "inline")
+
+
+def cli_usages(rows: DataFrame) -> DataFrame:
+    return references(rows, "usages")
+
+
+def cli_flags(rows: DataFrame) -> DataFrame:
+    return references(rows, "flags", "table_flags")
 
 
 def variables(rows: DataFrame) -> DataFrame:
-    """``$VAR``, ``${VAR}`` and UPPER_SNAKE names in backticks."""
-    dollar = _each(rows, r"\$\{?([A-Z][A-Z0-9_]*)\}?", 1, "config_ref")
-    ticked = _each(rows, r"`([A-Z][A-Z0-9]*_[A-Z0-9_]*)`", 1, "config_ref")
-    return dollar.union(ticked).distinct()
+    return references(rows, "variables", "table_variables")
 
 
 # --- build and environment files ----------------------------------------------------------

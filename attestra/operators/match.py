@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import jaccard, last_param, last_segment, names_of, param_key, py_repr
+from ..functions.tables import keep
 from .renames import renames
 
 SIGNALS = "struct<name_similarity:double,param_overlap:double,type_match:double,location_proximity:double,context_match:double>"
@@ -104,7 +105,7 @@ def _param_findings(owner: Column, overlap: Column, pair: Column) -> Column:
 
 
 def differences(hits: DataFrame) -> DataFrame:
-    """fact, claim and their findings: parameters and return types that differ."""
+    """seq, fact, claim and their findings: parameters and return types that differ."""
     fact, claim = F.col("fact"), F.col("claim")
     a, b = names_of("fact.parameters"), names_of("claim.parameters")
     rows = hits.filter("compare").withColumn("overlap", jaccard(a, b)).withColumn("names", F.array_union(a, b))
@@ -114,14 +115,17 @@ def differences(hits: DataFrame) -> DataFrame:
     rows = rows.withColumn("pairs", pairs)
     params = F.flatten(F.transform("pairs", lambda p: _param_findings(fact["name"], F.col("overlap"), p)))
     found = F.concat(params, F.array(F.when(~fact["return_type"].eqNullSafe(claim["return_type"]), returns)))
-    return rows.select("fact", "claim", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("f")).select("fact", "claim", "f.*")
+    return rows.select("fact", "claim", F.posexplode(F.filter(found, lambda x: x.isNotNull())).alias("at", "f")).select((F.shiftleft(F.col("claim.seq"), 16) + F.col("at")).alias("seq"), "fact", "claim", "f.*")
 
 
 def match(facts: DataFrame, claims: DataFrame) -> DataFrame:
-    """All findings: fact, claim, category, severity, subject, message, suggestion, confidence, signals."""
+    """All findings: seq, fact, claim, category, severity, subject, message, suggestion, confidence, signals.
+
+    Their order: what differs, by claim; what nothing was found for, by claim; what is not
+    documented, by fact.
+    """
     facts, claims = fact_side(facts), claim_side(claims)
-    hits = lookup(facts, claims)
-    return findings(facts, hits)
+    return findings(facts, keep(lookup(facts, claims), "match-hits"))
 
 
 def findings(facts: DataFrame, hits: DataFrame) -> DataFrame:
@@ -130,7 +134,7 @@ def findings(facts: DataFrame, hits: DataFrame) -> DataFrame:
     residue = hits.filter(F.col("fact").isNull()).select("claim", param_key("claim.parameters").alias("key"))
     open_facts = facts.filter(F.col("fact.kind") != "cli_flag").select("fact", param_key("fact.parameters").alias("key"))
     moved = renames(open_facts, residue.filter(~F.col("claim.kind").isin("cli_flag_ref", "cli_usage")), first)
-    moved = residue.join(moved, F.col("claim.seq") == F.col("claim_seq"), "left").select("claim", "fact", "how", "ratio")
+    moved = keep(residue.join(moved, F.col("claim.seq") == F.col("claim_seq"), "left").select("claim", "fact", "how", "ratio"), "match-moved")
     doc, code = F.concat(F.lit("'"), F.col("claim.name"), F.lit("'")), F.concat(F.lit("'"), F.col("fact.name"), F.lit("'"))
     percent = F.format_string("%.1f", F.col("ratio") * 100)
     fuzzy = _finding("fuzzy_renamed", "warning", F.concat(doc, F.lit(" (docs) may match "), code, F.lit(" (code) — "), percent, F.lit("% confidence")), F.concat(F.lit("Consider renaming "), code, F.lit(" to "), doc, F.lit(" or update docs")), F.col("ratio"))
@@ -138,7 +142,7 @@ def findings(facts: DataFrame, hits: DataFrame) -> DataFrame:
     absent = _finding("documented_but_missing", "error", F.concat(doc, F.lit(" is documented but not found in code")), F.concat(F.lit("Add implementation for "), doc, F.lit(" or update docs")), F.lit(0.0), _signals(0.0, F.lit(0.0), 0.0))
     silent = (F.col("claim.kind") == "cli_usage") | ((F.col("claim.kind") == "cli_flag_ref") & F.col("claim.name").isin("--help", "--version"))
     left = F.when(F.col("how") == "fuzzy", fuzzy).when(F.col("how") == "renamed", renamed).when(~silent, absent)
-    leftover = moved.withColumn("f", left).filter("f IS NOT NULL").select("fact", "claim", "f.*")
+    leftover = moved.withColumn("f", left).filter("f IS NOT NULL").select((F.lit(1 << 61) + F.col("claim.seq")).alias("seq"), "fact", "claim", "f.*")
     names = exact.select(F.col("fact.name").alias("name")).union(moved.filter("fact IS NOT NULL").select("fact.name")).distinct()
     return differences(hits).unionByName(leftover).unionByName(undocumented(facts, names, hits))
 
@@ -149,4 +153,4 @@ def undocumented(facts: DataFrame, names: DataFrame, hits: DataFrame) -> DataFra
     code = F.concat(F.lit("'"), F.col("fact.name"), F.lit("'"))
     told = _finding("undocumented", "warning", F.concat(code, F.lit(" exists in code but is not documented")), F.concat(F.lit("Add documentation for "), F.col("fact.name")), F.lit(0.0))
     told = told.withField("severity", F.when(F.col("fact.kind") == "cli_flag", "error").otherwise("warning"))
-    return rest.select("fact", F.lit(None).cast(hits.schema["claim"].dataType).alias("claim"), told.alias("f")).select("fact", "claim", "f.*")
+    return rest.select("fact", F.lit(None).cast(hits.schema["claim"].dataType).alias("claim"), told.alias("f")).select((F.lit(1 << 62) + F.col("fact.seq")).alias("seq"), "fact", "claim", "f.*")

@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import algebra, match
+from ..operators import algebra, match, python_facts
 from ..operators import lines as L
+from ..sources.python_ast import python_nodes
+from .scan import params_of
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -232,7 +234,8 @@ def merged_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filtered_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = algebra.confident(algebra.at_least(_events(spark, sf_dir), "warning"), 0.25)
-    return e.filter(~F.lower("category").isin("click")).select("seq", "category", "severity", "confidence")
+    told = e.withColumn("told", F.col("category")).withColumn("category", F.when(F.col("told") == "click", "Missing_Param").otherwise(F.col("told")))
+    return algebra.without_categories(told, [" missing_PARAM "]).select("seq", F.col("told").alias("category"), "severity", "confidence")
 
 
 def report_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,10 +247,10 @@ def rule_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_changed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _read(spark, sf_dir, "orders")
-    rows = o.select(F.col("o_orderpriority").alias("path"), F.col("o_orderkey").alias("line"), F.col("o_custkey").alias("cust"))
-    changed = o.filter(F.col("o_orderkey") % 977 == 0).select(F.col("o_orderpriority").alias("path"), F.col("o_orderkey").alias("line"))
-    return algebra.near_changes(rows, changed, "path", "line").select("path", "line", "cust")
+    """Line items as lines of their status' file, near the lines that orders have changed."""
+    rows = _read(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("path"), F.col("l_orderkey").alias("line"), F.col("l_partkey").alias("part"), F.col("l_linenumber").alias("number"))
+    changed = _read(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("path"), (F.col("o_custkey") * 23).alias("line"))
+    return algebra.near_changes(rows, changed, "path", "line").select("path", "line", "part", "number")
 
 
 def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,7 +272,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     sig = C.signature(F.concat(F.lit("f"), key), F.col("parameters"), F.regexp_replace("return_type", "[^A-Za-z]", ""))
     text = F.concat_ws(
         "\n", F.concat(F.lit("# Order "), key),
-        F.when(key % 6 == 0, F.lit("<!-- drift:ignore -->")).when(key % 6 == 1, F.concat(F.lit("<!-- drift:ignore f"), key, F.lit(" -->"))).otherwise("text"),
+        F.when(key % 6 == 0, F.lit("<!-- docs:ignore -->")).when(key % 6 == 1, F.concat(F.lit("<!-- docs:ignore f"), key, F.lit(" -->"))).otherwise("text"),
         F.lit("```python"), F.concat(F.lit("def "), sig, F.lit(":")), F.lit("```"),
         F.concat(F.lit("Call `f"), key, F.lit("(a, b)` or `g"), key % 10, F.lit("`; set $VAR_"), key % 50, F.lit(" first.")),
         F.concat(F.lit("$ tool run --flag-"), key % 30, F.lit(" -v")),
@@ -285,10 +288,126 @@ def markdown_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def markdown_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each inline code, flag, variable and command is named."""
     lines = L.lines(_pages(spark, sf_dir))
-    refs = L.inline_code(lines).unionByName(L.cli_flags(lines)).unionByName(L.variables(lines)).unionByName(L.cli_usages(lines))
+    refs = L.references(lines)
     return refs.groupBy("kind", "name").agg(F.count("*").alias("n"))
 
 
+def _table_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part as a page with a table of flags and one of variables, calls and commands; what is in them differs by key."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    flag = F.when(k % 3 == 0, F.concat(F.lit("-s, --size-"), k)).when(k % 3 == 1, F.concat(F.lit("--size-"), k, F.lit("="), size)).otherwise(F.concat(F.lit("`--size-"), k, F.lit("`")))
+    text = F.concat_ws(
+        "\n", F.when(k % 2 == 0, F.lit("| Flag | Default |")).otherwise(F.lit("| Flag | Note |")), F.lit("|---|---|"), F.concat(F.lit("| "), flag, F.lit(" | "), size + 1, F.lit(" |")),
+        F.lit("Text."), F.when(k % 5 == 0, F.lit("| Meaning | Use |")).otherwise(F.lit("| Variable | Value |")), F.lit("|:--|--:|"),
+        F.concat(F.lit("| SIZE_"), k, F.lit(" | "), size, F.lit(" |")), F.concat(F.lit("| part.n"), k, F.lit(" |  |")), F.lit("| --no | 1 |"), F.lit(""),
+        F.concat(F.lit("Call `load_"), k, F.lit("(path, size: int = "), size, F.lit(")`, `part.n"), k, F.lit("` or `f`.")), F.concat(F.lit("$ tool run --mode="), size, F.lit(" -q")),
+    )
+    return _read(spark, sf_dir, "part").select(F.concat(F.lit("docs/"), k, F.lit(".md")).alias("path"), text.alias("text"))
+
+
+def markdown_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags and configuration names of tables, commands and their flags, with defaults and arguments."""
+    found = L.references(L.lines(_table_pages(spark, sf_dir)), "usages", "flags", "table_flags", "table_variables")
+    return found.select("path", F.col("line").cast("int").alias("line"), "kind", "name", "default", "args")
+
+
+def inline_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands in backticks, with the names, types and defaults of its parameters."""
+    found = L.references(L.lines(_table_pages(spark, sf_dir)), "inline").filter("line = 11")
+    shown = F.array_join(F.transform(params_of(F.col("params")), lambda p: F.concat_ws("|", p["name"], F.coalesce(p["type_annotation"], F.lit("-")), F.coalesce(p["default"], F.lit("-")))), ";")
+    return found.select("path", F.col("line").cast("int").alias("line"), "name", "raw_text", shown.alias("parameters"))
+
+
+MODULE = """import os
+MODE = os.environ["MODE_<k>"]
+PORT = os.getenv("PORT_<k>", "<s>")
+parser.add_argument("--opt-<k>", "-o", action="store_true", help="size <s>")
+parser.add_argument("file_<k>", type=int, default=<s>)
+
+def load_<k>(path: str, size: int = <s>, *rest) -> bool:
+    \"\"\"Load.
+
+    Args:
+        path: where
+        size: how much
+    \"\"\"
+
+def _hidden_<k>(): pass
+
+@dataclass
+class Part<k>:
+    name: str
+    size: int = <s>
+    kind: ClassVar[int] = 0
+
+    def grow(self, by): pass
+
+@app.route("/parts/<k>", methods=["GET", "POST"])
+@login_required
+@tools.cached(size=<s>)
+@own
+def view_<k>(): pass
+
+class Settings<k>(BaseSettings):
+    debug: bool = Field(False, env="DEBUG_<k>", description="d")
+
+class Row<k>(Base):
+    __tablename__ = "rows_<k>"
+    id = Column(Integer, primary_key=True)
+    other = Column(Integer, ForeignKey("others.id"), nullable=False)
+
+@deprecated("use load_<k>", version="<s>")
+def old_<k>(): pass
+
+@click.option("--level-<k>", "-l", required=True, help="x")
+def cli_<k>(level): pass
+
+class Closes<k>(Protocol):
+    def close(self) -> None: ...
+
+router = APIRouter(prefix="/api<s>")
+@router.get("/items/{item_id}", status_code=201)
+def item_<k>(item_id: int, q: str = "a") -> dict: pass
+
+pages = Blueprint("pages", __name__, url_prefix="/p<s>/")
+@pages.route("/x<k>")
+def page_<k>(): pass
+
+urlpatterns = [path("users/<int:pk>/<k>", views.user_<k>, name="user-<k>"), path("more/", include("more.urls"))]
+
+@app.command()
+def run_<k>(size: int = typer.Option(<s>, "--size-<k>", "-s", help="how"), name: str = typer.Argument(...)): pass
+"""
+
+
+def _modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part as a Python module."""
+    text = F.replace(F.replace(F.lit(MODULE), F.lit("<k>"), F.col("p_partkey").cast("string")), F.lit("<s>"), F.col("p_size").cast("string"))
+    return _read(spark, sf_dir, "part").select(F.concat(F.lit("src/m"), "p_partkey", F.lit(".py")).alias("path"), text.alias("text"))
+
+
+def _facts_of(rule: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = python_facts.RULES[rule](python_nodes(_modules(spark, sf_dir)))
+        shown = F.array_join(F.transform("parameters", lambda p: F.concat_ws("|", p["name"], F.coalesce(p["type_annotation"], F.lit("-")), F.coalesce(p["default"], F.lit("-")), p["kind"])), ";")
+        return found.select("source_file", "line_number", "name", "kind", shown.alias("parameters"), "return_type", "metadata")
+
+    return query
+
+
+def docstring_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = python_facts.docstring_claims(python_nodes(_modules(spark, sf_dir)))
+    return found.select("doc_file", "line_number", "name", "kind", F.array_join(F.transform("parameters", lambda p: p["name"]), ";").alias("parameters"))
+
+
+#: Queries that apply one rule to all modules.
+FACT_QUERIES = {
+    "facts_of_definitions": "PythonExtractor", "facts_of_argparse": "ArgparseExtractor", "facts_of_click": "ClickExtractor", "facts_of_typer": "TyperExtractor", "facts_of_dataclasses": "DataclassFieldsExtractor",
+    "facts_of_decorators": "DecoratorExtractor", "facts_of_deprecation": "DeprecatedExtractor", "facts_of_environment": "EnvVarExtractor", "facts_of_settings": "PydanticExtractor", "facts_of_fastapi": "FastAPIRoutesExtractor",
+    "facts_of_flask": "FlaskRoutesExtractor", "facts_of_django": "DjangoURLsExtractor", "facts_of_tables": "SQLAlchemyExtractor", "facts_of_protocols": "ProtocolExtractor",
+}
+
+
 def _recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each supplier as a Dockerfile, a Makefile and an environment file."""
     k = F.col("s_suppkey")
@@ -312,9 +431,9 @@ def build_file_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 NAMES = (
     parameter_diff, category_histogram, claim_lookup, last_fact_wins, only_fact_of_segment, undocumented_facts, all_findings, param_overlap, path_scores,
     health_score, signature_text, weighted_confidence, new_findings, resolved_findings, merged_reports, filtered_findings, report_totals, rule_messages,
-    near_changed_lines, changed_files, kept_paths, markdown_signatures, markdown_references, build_file_facts,
+    near_changed_lines, changed_files, kept_paths, markdown_signatures, markdown_references, markdown_tables, inline_calls, docstring_claims, build_file_facts,
 )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in NAMES}
+    return {f.__name__: f for f in NAMES} | {name: _facts_of(rule) for name, rule in FACT_QUERIES.items()}

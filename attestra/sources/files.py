@@ -24,14 +24,14 @@ from ..plans.schema import FILES
 SUFFIXES = (".py", ".md", ".yaml", ".yml", ".toml")
 JS_SUFFIXES = (".js", ".ts", ".jsx", ".tsx")
 WATCHED = (".py", ".md", ".rst", ".toml", ".yaml", ".yml")
-# Fixed value: the file of ignore rules, part of the input format.
-IGNORE_FILE = ".driftignore"
+#: The file of ignore rules, unless the caller names another.
+IGNORE_FILE = ".docsignore"
 BATCH_BYTES = 8 << 20
 
 
-def rules(root: str) -> list[str]:
+def rules(root: str, ignore_file: str = IGNORE_FILE) -> list[str]:
     try:
-        lines = Path(root, IGNORE_FILE).read_text().splitlines()
+        lines = Path(root, ignore_file).read_text().splitlines()
     except OSError:
         return []
     return [s for line in lines if (s := line.strip()) and not s.startswith("#")]
@@ -53,12 +53,12 @@ def ignored(rel: str, patterns: Sequence[str], globs: Sequence[str] = ()) -> boo
     return out
 
 
-def listing(root: str, suffixes: Sequence[str], globs: Sequence[str] = ()) -> list[tuple[str, str, int, float]]:
+def listing(root: str, suffixes: Sequence[str], globs: Sequence[str] = (), ignore_file: str = IGNORE_FILE) -> list[tuple[str, str, int, float]]:
     """(path, relative path, size, mtime) of the files of a scan, by path; of a single file, itself."""
     if os.path.isfile(root):
         s = os.stat(root)
         return [(root, os.path.basename(root), s.st_size, s.st_mtime)] if root.endswith(tuple(suffixes)) else []
-    patterns, out = rules(root), []
+    patterns, out = rules(root, ignore_file), []
     if set(Path(os.path.abspath(root)).parts) & set(EXCLUDED_DIRS):
         return []
     for folder, dirs, names in os.walk(root):
@@ -82,11 +82,12 @@ class _Reader(DataSourceReader):
         self.root = options["path"]
         self.suffixes = json.loads(options.get("suffixes", json.dumps(SUFFIXES)))
         self.globs = json.loads(options.get("ignore", "[]"))
+        self.ignore_file = options.get("ignore_file", IGNORE_FILE)
 
     def partitions(self) -> list[_Batch]:
         batches: list[_Batch] = []
         room = 0
-        for f in listing(self.root, self.suffixes, self.globs):
+        for f in listing(self.root, self.suffixes, self.globs, self.ignore_file):
             if room <= 0:
                 batches.append(_Batch([]))
                 room = BATCH_BYTES
@@ -136,6 +137,6 @@ class RepoFiles(DataSource):
         return _Changes(dict(self.options))
 
 
-def read_files(spark: SparkSession, root: str, suffixes: Sequence[str] = SUFFIXES, ignore: Sequence[str] = ()):
+def read_files(spark: SparkSession, root: str, suffixes: Sequence[str] = SUFFIXES, ignore: Sequence[str] = (), ignore_file: str = IGNORE_FILE):
     spark.dataSource.register(RepoFiles)
-    return spark.read.format("repo_files").option("suffixes", json.dumps(list(suffixes))).option("ignore", json.dumps(list(ignore))).load(root)
+    return spark.read.format("repo_files").option("suffixes", json.dumps(list(suffixes))).option("ignore", json.dumps(list(ignore))).option("ignore_file", ignore_file).load(root)

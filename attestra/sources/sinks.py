@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import last_param, signature
 from ..operators import algebra
 
 # The columns of the export, and the levels of the exchange format.
@@ -23,7 +24,7 @@ LEVELS = {"error": "error", "warning": "warning", "info": "note"}
 
 def flat(findings: DataFrame) -> DataFrame:
     return findings.select(
-        F.col("fact.name").alias("fact_name"), F.col("fact.kind").alias("fact_kind"), F.col("fact.source_file").alias("fact_file"), F.col("fact.line_number").alias("fact_line"),
+        "seq", F.col("fact.name").alias("fact_name"), F.col("fact.kind").alias("fact_kind"), F.col("fact.source_file").alias("fact_file"), F.col("fact.line_number").alias("fact_line"),
         F.col("claim.name").alias("claim_name"), F.col("claim.kind").alias("claim_kind"), F.col("claim.doc_file").alias("claim_file"), F.col("claim.line_number").alias("claim_line"),
         "severity", "category", "message", "suggestion", "confidence",
     )
@@ -58,14 +59,15 @@ def _rows(findings: DataFrame, row: Column) -> Iterator[str]:
 
 def json_report(findings: DataFrame, scanned: str, facts: int, claims: int) -> Iterator[str]:
     t = algebra.totals(findings).first()
-    head = {"scanned_path": scanned, "summary": {"facts": facts, "claims": claims, "drift_items": t["items"], "errors": t.errors, "warnings": t.warnings}, "has_drift": t.has_errors}
-    yield json.dumps(head)[:-1] + ', "drift_items": ['
+    head = {"scanned_path": scanned, "summary": {"facts": facts, "claims": claims, "findings": t["items"], "errors": t.errors, "warnings": t.warnings}, "has_errors": t.has_errors}
+    yield json.dumps(head)[:-1] + ', "findings": ['
     for i, row in enumerate(_rows(findings, F.to_json(F.struct(*findings.columns)))):
         yield ("," if i else "") + row
     yield "]}"
 
 
-def sarif(findings: DataFrame, order: str = "confidence") -> Iterator[str]:
+def sarif(findings: DataFrame, order: str = "seq") -> Iterator[str]:
+    """One rule per category, told by the message of its first finding."""
     f = flat(findings)
     found = [{"id": r.category, "shortDescription": {"text": r.message}} for r in algebra.rules(f, order).orderBy("category").collect()]  # one per category
     yield json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json"})[:-1]
@@ -106,9 +108,46 @@ def html_report(findings: DataFrame, title: str) -> Iterator[str]:
     yield "</table>"
 
 
-def patch_lines(findings: DataFrame, doc_lines: DataFrame, around: int = 3) -> DataFrame:
-    """Of patchable findings, the lines of the document around the claim: finding's file, line, message, and lines in order."""
-    f = flat(algebra.patchable(findings)).select("claim_file", "claim_line", "category", "message", "suggestion").filter("claim_line IS NOT NULL")
-    near = f.withColumn("line", F.explode(F.sequence(F.col("claim_line") - around, F.col("claim_line") + around)))
-    lines = doc_lines.select(F.col("path").alias("claim_file"), "line", "text")
-    return near.join(lines, ["claim_file", "line"]).groupBy("claim_file", "claim_line", "category", "message", "suggestion").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("lines"))
+def patches(findings: DataFrame, doc_lines: DataFrame, around: int = 3) -> DataFrame:
+    """claim_file, claim_line, category, patch: a unified patch of the document for each finding that one can mend.
+
+    What is documented but missing goes with its line; a default, type or return type that
+    is wrong is replaced by the code's.  Findings whose line a replacement would not change
+    have no row.  Return types and types are followed by one line less.
+    """
+    f = algebra.patchable(findings).filter("claim IS NOT NULL").withColumn("id", F.col("seq"))
+    after = F.when(F.col("category").isin("wrong_type", "wrong_return_type"), around - 1).otherwise(around)
+    f = f.select("id", "category", "fact", "claim", F.col("claim.doc_file").alias("claim_file"), F.col("claim.line_number").alias("claim_line"), after.alias("after"))
+    near = f.select("id", "claim_file", F.explode(F.sequence(F.col("claim_line") - around, F.col("claim_line") + F.col("after"))).alias("line"))
+    lines = doc_lines.select(F.col("path").alias("claim_file"), "line", F.rtrim("text").alias("text"))
+    hunks = near.join(lines, ["claim_file", "line"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("lines"))
+    f = f.join(hunks, "id").withColumn("old", F.get(F.filter("lines", lambda x: x["line"] == F.col("claim_line")), F.lit(0))["text"]).filter("old IS NOT NULL")
+
+    def swapped(line: Column, mark: str, old: Column, new: Column) -> Column:
+        return F.when(line.contains(F.concat(F.lit(mark), old)), F.replace(line, F.concat(F.lit(mark), old), F.concat(F.lit(mark), new))).when(line.contains(old), F.replace(line, old, new)).otherwise(line)
+
+    def params(field: str, mark: str) -> Column:
+        of = lambda p: last_param(F.col("claim.parameters"), p["name"])[field]
+        wrong = F.filter(F.transform("fact.parameters", lambda p: F.struct(of(p).alias("old"), p[field].alias("new"))), lambda x: (x["old"] != "") & (x["new"] != "") & (x["old"] != x["new"]))
+        return F.aggregate(wrong, F.col("old"), lambda line, x: swapped(line, mark, x["old"], x["new"]))
+
+    a, b = F.col("claim.return_type"), F.col("fact.return_type")
+    returned = F.when((a != "") & (b != "") & F.col("old").contains(F.concat(F.lit("-> "), a)), F.replace("old", F.concat(F.lit("-> "), a), F.concat(F.lit("-> "), b))).otherwise(F.col("old"))
+    new = F.when(F.col("category") == "wrong_default", params("default", "= ")).when(F.col("category") == "wrong_type", params("type_annotation", ": ")).when(F.col("category") == "wrong_return_type", returned)
+    f = f.withColumn("new", new).filter("new IS NULL OR new <> old")
+    side = lambda before: F.transform(F.filter("lines", lambda x: x["line"] < F.col("claim_line") if before else x["line"] > F.col("claim_line")), lambda x: F.concat(F.lit(" "), x["text"]))
+    own = F.when(F.col("new").isNull(), F.array(F.concat(F.lit("-"), "old"))).otherwise(F.array(F.concat(F.lit("-"), "old"), F.concat(F.lit("+"), "new")))
+    first, n = F.get("lines", F.lit(0))["line"].cast("string"), F.size("lines")
+    span = F.concat(F.lit("@@ -"), first, F.lit(","), n.cast("string"), F.lit(" +"), first, F.lit(","), (n - F.col("new").isNull().cast("int")).cast("string"), F.lit(" @@ ["), "category", F.lit("]"))
+    head = F.concat(F.lit("diff --git a/"), "claim_file", F.lit(" b/"), "claim_file", F.lit("\n--- a/"), "claim_file", F.lit("\n+++ b/"), "claim_file", F.lit("\n"), span, F.lit("\n"))
+    return f.select("claim_file", "claim_line", "category", F.concat(head, F.array_join(F.concat(side(True), own, side(False)), "\n"), F.lit("\n")).alias("patch"))
+
+
+def diff_view(findings: DataFrame) -> Iterator[str]:
+    """Each finding as what the document says (-) against what the code says (+)."""
+    def shown(side: str, mark: str) -> Column:
+        own = F.coalesce(F.col(f"{side}.return_type"), F.lit(""))
+        return F.when(F.col(f"{side}.name").isNotNull(), F.concat(F.lit(mark), signature(F.col(f"{side}.name"), F.col(f"{side}.parameters"), own), F.lit("\n"))).otherwise("")
+
+    where = F.concat_ws(":", F.coalesce("claim.doc_file", "fact.source_file"), F.coalesce("claim.line_number", "fact.line_number").cast("string"))
+    yield from _rows(findings.orderBy("seq"), F.concat(F.lit("["), "category", F.lit("] "), where, F.lit("\n"), shown("claim", "- "), shown("fact", "+ "), F.coalesce(F.concat(F.lit("  "), "suggestion", F.lit("\n")), F.lit("")), F.lit("\n")))

@@ -3,16 +3,39 @@ from attestra.sources.files import ignored, read_files
 
 
 def test_markdown(spark):
-    text = "# T\n<!-- drift:ignore g -->\n```python\ndef g(a):\ndef f(a, b=1) -> int:\n```\nUse `f(1)` and `MAX_SIZE` or ${HOME}.\n$ tool run --all -v\n"
+    text = "# T\n<!-- docs:ignore g -->\n```python\ndef g(a):\ndef f(a, b=1) -> int:\n```\nUse `f(1)` and `MAX_SIZE` or ${HOME}.\n$ tool run --all -v\n"
     rows = L.lines(spark.createDataFrame([("d.md", text)], "path string, text string"))
     sig = {r.name: (r.line, r.params, r.return_type, r.suppressed) for r in L.fenced_signatures(rows).collect()}
     assert sig == {"g": (4, "a", None, True), "f": (5, "a, b=1", "int", False)}
-    assert {(r.line, r.name) for r in L.inline_code(rows).collect()} == {(7, "MAX_SIZE")}
+    assert {(r.line, r.name, r.params) for r in L.inline_code(rows).collect()} == {(7, "f", "1"), (7, "MAX_SIZE", None)}
     assert {r.name for r in L.variables(rows).collect()} == {"HOME", "MAX_SIZE"}
     assert {r.name for r in L.cli_flags(rows).collect()} == {"--all", "-v"}
     assert [r.name for r in L.cli_usages(rows).collect()] == ["tool"]
 
 
+def test_markdown_tables(spark):
+    text = "\n".join([
+        "| Flag | Default | Note |", "|---|---|---|", "| -v, --verbose=2 | 5 | -x |", "| --port | 80 | `--no` |", "| `--ticked` | 1 | |", "prose", "",
+        "| Variable | Value |", "|:--|--:|", "| DB_URL | x |", "| db.pool.Size |  |", "| --flag | 3 |", "| lower | 4 |", "", "| A | B |", "| KEY | Z |", "| C_D | 7 |",
+    ])
+    rows = L.lines(spark.createDataFrame([("d.md", text)], "path string, text string"))
+    flags = {(r.line, r.name, r.default) for r in L.references(rows, "table_flags").collect()}
+    assert flags == {(3, "-v", "5"), (3, "--verbose", "2"), (3, "-x", "5"), (4, "--port", "80"), (12, "--flag", "3")}
+    names = {(r.line, r.name, r.default) for r in L.references(rows, "table_variables").collect()}
+    assert names == {(10, "DB_URL", "x"), (11, "db.pool.Size", None), (17, "C_D", None)}
+
+
+def test_references_of_a_line(spark):
+    text = "Call `load(path, mode)` or `a.b` or `x y`, twice `load(path, mode)`\n$ tool run --out=a.txt --out=b -v\nmake check all\n```python\nuse `fenced_name` and ${A} $B `C_D`\n```\n| $E_F | `E_F` |"
+    rows = L.lines(spark.createDataFrame([("d.md", text)], "path string, text string"))
+    got = {(r.line, r.kind, r.name, r.params, r.default, r.args) for r in L.references(rows).collect()}
+    assert got == {
+        (1, "code_example", "load", "path, mode", None, None), (2, "cli_usage", "tool", None, None, "run --out=a.txt --out=b -v"), (2, "cli_flag_ref", "--out", None, "a.txt", None), (2, "cli_flag_ref", "-v", None, None, None),
+        (3, "cli_usage", "make", None, None, "all"), (5, "code_example", "fenced_name", None, None, None), (5, "config_ref", "A", None, None, None), (5, "config_ref", "B", None, None, None), (5, "config_ref", "C_D", None, None, None),
+        (5, "code_example", "C_D", None, None, None), (7, "config_ref", "E_F", None, None, None), (7, "code_example", "E_F", None, None, None),
+    }
+
+
 def test_build_files(spark):
     files = spark.createDataFrame([("Dockerfile", 'FROM a:1 AS b\nENV X=1 Y="z"\n# c\nEXPOSE 80 \\\n 90\nCMD run')], "path string, text string")
     assert sorted((r.line, r.name, r.value) for r in L.dockerfile(files).collect()) == [

@@ -16,7 +16,7 @@ def tree(tmp_path_factory):
     (root / "docs.md").write_text("# Doc\n\n```python\ndef documented(a: int, b: str = 'x') -> bool:\ndef fake_function(a, b):\n```\n")
     (root / "conf.toml").write_text("[db]\nport = 5\n")
     (root / "skip.py").write_text("def skipped(): pass\n")
-    (root / ".driftignore").write_text("# none\nskip*.py\n")
+    (root / ".docsignore").write_text("# none\nskip*.py\n")
     (root / "node_modules").mkdir()
     (root / "node_modules" / "m.py").write_text("def never(): pass\n")
     return root
@@ -30,7 +30,7 @@ def test_scan_finds_the_rename(spark, tree):
     doc = json.loads("".join(sinks.sarif(report.findings)))
     assert {r["ruleId"] for r in doc["runs"][0]["results"]} == {"renamed", "undocumented"}
     whole = json.loads("".join(sinks.json_report(report.findings, "x", 1, 1)))
-    assert whole["summary"]["errors"] == 1 and whole["has_drift"]
+    assert whole["summary"]["errors"] == 1 and whole["has_errors"]
     assert algebra.fails(report.findings) and not algebra.fails(report.findings.limit(0))
     assert any("renamed: 1" in line for line in sinks.console(report.findings))
 
