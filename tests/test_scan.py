@@ -2,6 +2,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from attestra.operators import algebra, match
 from attestra.plans.scan import scan
@@ -104,3 +105,84 @@ def test_match_equals_the_sequential_rules(spark):
         key = lambda r: tuple(str(v) for v in r)
         got = sorted(((r.fact.name if r.fact else None, r.claim.name if r.claim else None, r.category, r.subject) for r in match.match(f, c).collect()), key=key)
         assert got == sorted(sequential(facts, claims), key=key)
+
+
+def test_several_paths_and_state(spark, tmp_path):
+    from attestra.plans.scan import scan_all
+
+    for name, body in (("a", "def f(x): pass\ndef g(): pass\n"), ("b", "def h(): pass\n")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "m.py").write_text(body)
+        (tmp_path / name / "d.md").write_text("Call `f(y)` and `gone()`.\n")
+    state = f"file://{tmp_path}/state"
+    report = scan_all(spark, [str(tmp_path / "a"), str(tmp_path / "b"), str(tmp_path / "a")], state=state)
+    found = sorted((r.category, r.fact.name if r.fact else None, r.claim.name if r.claim else None, r.subject) for r in report.findings.collect())
+    assert report.facts.count() == 5 and report.claims.count() == 6
+    # of equal findings one stays: both parameters of f lie under other categories
+    assert [x for x in found if x[0] in ("missing_param", "extra_param")] == [("extra_param", "f", "f", "y"), ("missing_param", "f", "f", "x")]
+    assert sum(x[:3] == ("documented_but_missing", None, "gone") for x in found) <= 1 and sum(x[0] == "undocumented" and x[1] == "g" for x in found) <= 1
+    (tmp_path / "b" / "m.py").write_text("def h2(): pass\n")
+    again = scan_all(spark, [str(tmp_path / "b")], state=state)
+    assert {r.name for r in again.facts.collect()} == {"h2"}
+
+
+def test_other_files_are_facts_and_claims(spark, tmp_path):
+    from attestra.plans.scan import scan
+
+    for name, text in {
+        "u.ts": "export interface User {\n  id: number;\n  name?: string;\n}\n/**\n * Hi.\n * @param {string} who - x\n * @returns {void} y\n */\nexport function greet(who) {}\n",
+        "s.graphql": "type Query {\n  users(first: Int): [User!]!\n}\n", "Dockerfile": "FROM a:1 AS b\nENV X=1\n", "Makefile": "build: dep\n\ttrue\n", ".env": "KEY=1\n", "m.tf": 'variable "region" {\n}\n',
+        "r.rst": ".. py:function:: greet(who)\n", "pyproject.toml": "[project]\nname = 'p'\n",
+    }.items():
+        (tmp_path / name).write_text(text)
+    report = scan(spark, str(tmp_path), full=True)
+    facts = {(r.name, r.kind, r.line_number) for r in report.facts.collect()}
+    assert {("User", "ts_interface", 1), ("users", "api_endpoint", 1), ("from.b", "config_key", 1), ("env.X", "config_key", 2), ("make:build", "config_key", 1), ("KEY", "config_key", 1), ("var.region", "config_key", 0), ("project.name", "config_key", 1)} <= facts
+    claims = {(r.name, r.kind, tuple(p.name for p in r.parameters), r.return_type) for r in report.claims.collect()}
+    assert {("greet", "function_signature", ("who",), "void"), ("greet", "function_signature", (), None)} <= claims
+    assert report.findings.count() > 0
+
+
+def test_patches(spark):
+    from attestra.operators import lines as L
+    from attestra.operators import match
+    from attestra.sources import sinks
+
+    p = lambda *x: [(n, t, d, "positional", False, False) for n, t, d in x]
+    facts = spark.createDataFrame([(0, "f", "function", "s.py", 1, p(("a", "int", "2")), "str", [], "", None, "{}")], FACTS)
+    claims = spark.createDataFrame([(0, "f", "function_signature", "d.md", 4, "f", p(("a", "float", "1")), "int", "{}"), (1, "zz", "config_ref", "d.md", 6, "ZZ_TOP", [], None, "{}")], CLAIMS)
+    found = match.match(facts, claims)
+    text = "one\ntwo\n```python\ndef f(a: float = 1) -> int:\n```\nset ZZ_TOP\nend\n"
+    out = {r.category: r.patch for r in sinks.patches(found, L.lines(spark.createDataFrame([("d.md", text)], "path string, text string"))).collect()}
+    head = "diff --git a/d.md b/d.md\n--- a/d.md\n+++ b/d.md\n"
+    assert out["wrong_default"] == head + "@@ -1,7 +1,7 @@ [wrong_default]\n one\n two\n ```python\n-def f(a: float = 1) -> int:\n+def f(a: float = 2) -> int:\n ```\n set ZZ_TOP\n end\n"
+    assert "+def f(a: int = 1) -> int:\n" in out["wrong_type"] and "@@ -1,6 +1,6 @@" in out["wrong_type"] and "+def f(a: float = 1) -> str:\n" in out["wrong_return_type"]
+    assert out["documented_but_missing"] == head + "@@ -3,6 +3,5 @@ [documented_but_missing]\n ```python\n def f(a: float = 1) -> int:\n ```\n-set ZZ_TOP\n end\n \n"
+    assert "".join(sinks.diff_view(found)).startswith("[wrong_default] d.md:4\n- f(a: float = 1) -> int\n+ f(a: int = 2) -> str\n")
+
+
+def test_settings(tmp_path):
+    from attestra.sources import settings
+
+    assert settings.load(start=str(tmp_path)) == settings.Settings()
+    (tmp_path / "in").mkdir()
+    assert settings.load(str(settings.init(str(tmp_path)))) == settings.Settings()
+    with pytest.raises(FileExistsError):
+        settings.init(str(tmp_path))
+    (tmp_path / settings.NAME).write_text('fail_on = "renamed"\n[scan]\nignore_patterns = ["*.txt"]\n[extractors]\nenabled = ["A"]\n')
+    got = settings.load(start=str(tmp_path / "in"))
+    assert (got.fail_on, got.ignore_patterns, got.enabled) == ("renamed", ["*.txt"], ["A"])
+    for bad in ("threshold = 2\n", 'output_format = "x"\n', "[scan\n", "[extractors]\nenabled = 3\n"):
+        (tmp_path / settings.NAME).write_text(bad)
+        with pytest.raises(ValueError):
+            settings.load(str(tmp_path / settings.NAME))
+
+
+def test_rounding(spark):
+    from attestra.functions.columns import py_round
+
+    values = [0.0005, 0.0015, 0.0025, 0.1235, 0.12345, 0.0625, 0.1875, 2.675, 0.35, 1 / 3, 2 / 3, 1.0, 0.0, 91.65, 99.95, 33.25, 1e-9, 0.3125]
+    table = spark.createDataFrame([(v,) for v in values], "x double")
+    for digits in (1, 3):
+        got = [r.y for r in table.select(py_round(F.col("x"), digits).alias("y")).collect()]
+        assert got == [round(v, digits) for v in values], digits
