@@ -7,9 +7,13 @@ exactly.  Claims therefore go in order, but only within a group of parameter set
 share fact names; groups are independent.
 
 Similar pairs come from an equi-join: a ratio of 0.7 needs common characters, so two
-names must share one of their first characters in a fixed order, rarest first, and no
-pair is lost.  The ordered step then sees only similar pairs, and of the facts those
-that can decide whether one is the only one left.
+names must share one of their first characters, the rarest in these names first, and no
+pair is lost.  The ordered step then sees similar pairs, and of a set's other facts only
+the two that stay free for the longest: while there are two, none is the only one left,
+and when one is left it is among them.  (Facts whose name other sets have too all go
+there.)  Claims without a similar fact, in a set of which two facts stay free for good,
+cannot be settled and do not go there, so that large sets - that of no parameters above
+all - bring few rows.
 """
 
 from __future__ import annotations
@@ -18,20 +22,27 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions.similarity import name_ratio, normalize_name, ratio
 from ..functions.tables import keep
 
 SIMILAR, RENAMED = 0.7, 0.35
-#: Fixed order for the prefix filter: common letters of names last.
-COMMON_LAST = "zqxjkvbywgpfmhuldcrsniotae "
+#: Characters that are ranked by how often names have them; rarer ones all come first.
+RANKED = 2000
 
 
-def _tokens(name: Column) -> Column:
-    """The first characters of a name in the fixed order, each with its count so far, as many as the filter needs."""
+def _rarest_first(names: DataFrame) -> str:
+    """The characters of ``x``, the rarest first; one row for each of them reaches the driver, at most RANKED."""
+    counts = names.select(F.explode(F.split("x", "")).alias("c")).filter("c <> ''").groupBy("c").agg(F.count("*").alias("n"))
+    return "".join(r.c for r in reversed(counts.orderBy(F.desc("n"), "c").limit(RANKED).collect()))
+
+
+def _tokens(name: Column, order: str) -> Column:
+    """The first characters of a name in this order, each with its count so far, as many as the filter needs."""
     chars = F.filter(F.split(name, ""), lambda c: c != "")
     marked = F.transform(chars, lambda c, i: F.struct(
-        F.instr(F.lit(COMMON_LAST), c).alias("common"), c.alias("char"), F.size(F.filter(F.slice(chars, 1, i + 1), lambda d: d == c)).alias("nth")
+        F.instr(F.lit(order), c).alias("common"), c.alias("char"), F.size(F.filter(F.slice(chars, 1, i + 1), lambda d: d == c)).alias("nth")
     ))
     keep = F.size(chars) - F.ceil(F.lit(SIMILAR / 2 * (1 + SIMILAR / (2 - SIMILAR)) - 1e-9) * F.size(chars)) + 1
     return F.transform(F.slice(F.array_sort(marked), 1, F.greatest(keep.cast("int"), F.lit(1))), lambda t: F.concat(t["char"], t["nth"]))
@@ -41,7 +52,9 @@ def similar_pairs(facts: DataFrame, claims: DataFrame) -> DataFrame:
     """claim_seq, fact_seq, ratio of all pairs with equal keys and a ratio of at least 0.7."""
     f = facts.select("key", F.col("fact.seq").alias("fact_seq"), normalize_name("fact.name").alias("x"))
     c = claims.select("key", F.col("claim.seq").alias("claim_seq"), normalize_name("claim.name").alias("y"))
-    f, c = f.withColumn("t", F.explode(_tokens(F.col("x")))), c.withColumn("t", F.explode(_tokens(F.col("y"))))
+    f, c = keep(f, "rename-facts"), keep(c, "rename-claims")
+    order = _rarest_first(f.select("x").union(c.select("y")))
+    f, c = f.withColumn("t", F.explode(_tokens(F.col("x"), order))), c.withColumn("t", F.explode(_tokens(F.col("y"), order)))
     pairs = f.join(c, ["key", "t"]).filter(
         F.least(F.length("x"), F.length("y")) * (2 - SIMILAR) >= F.greatest(F.length("x"), F.length("y")) * SIMILAR - 1e-9
     )
@@ -69,7 +82,7 @@ def groups(facts: DataFrame) -> DataFrame:
 
 def renames(facts: DataFrame, claims: DataFrame, first: DataFrame) -> DataFrame:
     """claim_seq, fact, how (fuzzy or renamed), ratio."""
-    edges = similar_pairs(facts, claims)
+    edges = keep(similar_pairs(facts, claims), "rename-edges")
     grp = groups(facts)
     best = edges.groupBy("claim_seq").agg(F.collect_list(F.struct("fact_seq", "ratio")).alias("near"))
     empty = F.array().cast("array<struct<fact_seq:long,ratio:double>>")
@@ -77,11 +90,19 @@ def renames(facts: DataFrame, claims: DataFrame, first: DataFrame) -> DataFrame:
         "grp", F.lit("claim").alias("what"), F.col("claim.seq").alias("seq"), F.col("claim.name").alias("name"), F.col("claim.kind").alias("kind"), "key",
         F.coalesce("near", empty).alias("near"), F.lit(None).cast("long").alias("since"),
     )
-    wanted = asks.select("grp").distinct()
-    has = facts.join(first, F.col("fact.name") == F.col("name"), "left").join(grp, "key").join(wanted, "grp", "left_semi").select(
+    named = facts.join(first, F.col("fact.name") == F.col("name"), "left").join(grp, "key").select(
         "grp", F.lit("fact").alias("what"), F.col("fact.seq").alias("seq"), F.col("fact.name").alias("name"), F.col("fact.kind").alias("kind"), "key", empty.alias("near"), "since"
     )
 
+    touched = edges.select(F.col("fact_seq").alias("seq"), F.lit(True).alias("touched")).distinct()
+    spread = facts.select("key", F.col("fact.name").alias("name")).distinct().groupBy("name").agg(F.count("*").alias("sets")).filter("sets > 1").select("name", F.lit(True).alias("spread"))
+    named = keep(named.join(touched, "seq", "left").join(spread, "name", "left").withColumn("own", F.col("touched").isNull() & F.col("spread").isNull()).drop("touched", "spread"), "rename-named")
+    longest = F.row_number().over(Window.partitionBy("key").orderBy(F.desc_nulls_first("since"), "seq"))
+    has = named.filter("NOT own").unionByName(named.filter("own").withColumn("place", longest).filter("place <= 2").drop("place")).drop("own")
+    full = named.filter("own AND since IS NULL").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", F.lit(True).alias("full"))
+    asks = asks.join(full, "key", "left").filter((F.size("near") > 0) | F.col("full").isNull()).drop("full")
+    has = has.join(asks.select("grp").distinct(), "grp", "left_semi")
+
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
         f, c = rows[rows["what"] == "fact"].sort_values("seq"), rows[rows["what"] == "claim"].sort_values("seq")
         by_seq = dict(zip(f["seq"], zip(f["name"], f["since"])))

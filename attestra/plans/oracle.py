@@ -97,6 +97,11 @@ def sql() -> dict[str, str]:
         "undocumented_facts": _WITH + """SELECT k, name, CASE WHEN kind = 'cli_flag' THEN 'error' ELSE 'warning' END AS severity,
   '''' || name || ''' exists in code but is not documented' AS message
   FROM facts WHERE name NOT IN (SELECT f.name FROM hits h JOIN facts f ON f.k = h.fk)""",
+        "rename_findings": f"""WITH k AS (SELECT p_partkey AS k, 'alpha' || p_partkey AS f, 5 + length(p_partkey::VARCHAR) AS n FROM part)
+  SELECT 'fuzzy_renamed' AS category, 'warning' AS severity, f AS fact_name, 'alphax' || k AS claim_name, round(2.0::DOUBLE * n / (2 * n + 1)::DOUBLE * 100, 1) / 100.0::DOUBLE AS confidence FROM k WHERE k % 4 = 1
+  UNION ALL SELECT 'renamed', 'error', f, 'alphawwwwwwwwww', 10.0::DOUBLE / (n + 15)::DOUBLE FROM k WHERE k % 4 = 2
+  UNION ALL SELECT 'documented_but_missing', 'error', NULL, 'omega' || k, 0.0::DOUBLE FROM k WHERE k % 4 = 3
+  UNION ALL SELECT 'undocumented', 'warning', f, NULL, 0.0::DOUBLE FROM k WHERE k % 4 = 3""",
         "param_overlap": _WITH + """, n AS (
   SELECT ck, pname, max(x) AS x, max(y) AS y, max(aty) AS aty, max(bty) AS bty FROM (
     SELECT m.ck, pname, 1 AS x, 0 AS y, t AS aty, NULL AS bty FROM compared m JOIN fp ON fp.k = m.fk

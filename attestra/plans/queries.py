@@ -190,6 +190,18 @@ def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("fact.name").alias("fact_name"), F.col("claim.name").alias("claim_name"), "category", "severity", "subject", "message", "suggestion", "confidence")
 
 
+def rename_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as functions with a parameter of their own, and claims that hit, resemble, replace or miss them."""
+    k = F.col("p_partkey")
+    param = lambda name: F.array(F.struct(name.alias("name"), F.lit(None).cast("string").alias("type_annotation"), F.lit(None).cast("string").alias("default"), F.lit("positional").alias("kind"), F.lit(False).alias("is_optional"), F.lit(False).alias("is_readonly")))
+    part, none = _read(spark, sf_dir, "part"), F.lit(None).cast("string")
+    f = part.select(k.alias("seq"), F.concat(F.lit("alpha"), k).alias("name"), F.lit("function").alias("kind"), F.lit("m.py").alias("source_file"), F.lit(1).alias("line_number"), param(F.concat(F.lit("p"), k)).alias("parameters"), none.alias("return_type"), F.lit("{}").alias("metadata"))
+    name = F.when(k % 4 == 0, F.concat(F.lit("alpha"), k)).when(k % 4 == 1, F.concat(F.lit("alphax"), k)).when(k % 4 == 2, F.lit("alphawwwwwwwwww")).otherwise(F.concat(F.lit("omega"), k))
+    c = part.select(k.alias("seq"), F.lit("").alias("raw_text"), F.lit("function_signature").alias("kind"), F.lit("d.md").alias("doc_file"), F.lit(1).alias("line_number"), name.alias("name"), param(F.concat(F.when(k % 4 == 3, "q").otherwise("p"), k)).alias("parameters"), none.alias("return_type"), F.lit("{}").alias("metadata"))
+    found = match.match(f, c)
+    return found.select("category", "severity", F.col("fact.name").alias("fact_name"), F.col("claim.name").alias("claim_name"), "confidence")
+
+
 def param_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = match.lookup(*_sides(spark, sf_dir)).filter("compare")
     a, b = C.names_of("fact.parameters"), C.names_of("claim.parameters")
@@ -429,7 +441,7 @@ def build_file_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NAMES = (
-    parameter_diff, category_histogram, claim_lookup, last_fact_wins, only_fact_of_segment, undocumented_facts, all_findings, param_overlap, path_scores,
+    parameter_diff, category_histogram, claim_lookup, last_fact_wins, only_fact_of_segment, undocumented_facts, all_findings, rename_findings, param_overlap, path_scores,
     health_score, signature_text, weighted_confidence, new_findings, resolved_findings, merged_reports, filtered_findings, report_totals, rule_messages,
     near_changed_lines, changed_files, kept_paths, markdown_signatures, markdown_references, markdown_tables, inline_calls, docstring_claims, build_file_facts,
 )
