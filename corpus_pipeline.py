@@ -2,6 +2,13 @@
 
 Each stage takes all documents that its predecessor kept and returns documents
 again, but for the last, which returns the pieces of the packed sequences.
+
+Defined results: a null text is scored as the empty one; texts without words are linked
+with nothing; of rows that repeat (id and text) one stays, so does one document of each
+group of near-duplicates, the one with the smallest id (null ids last); null texts stay
+null; the mix takes documents as often as their source's share asks for, so that rows may
+repeat from there on; a null text is packed as one separator; an empty table gives an
+empty one; columns besides those of documents are carried along, whatever their names.
 """
 
 from __future__ import annotations
