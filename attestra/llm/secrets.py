@@ -1,12 +1,16 @@
 """Secret scans: fixed formats, and novelty against a primed compressor.
 
-Base spans come from three formats.  The method adds spans: a candidate is a
-long unbroken string shortly after a sensitive word.  Its novelty is what it
-costs a zstandard compressor that already knows the identifier dictionary and
-the text around it: the compressed bytes of surroundings and candidate, less
-those of the surroundings alone.  Prose, paths and identifiers repeat what the
-compressor has seen; keys do not.  Candidates whose marginal bytes come close to
-their entropy limit are reported, unless a base span covers them.
+Base spans come from three formats.  The method adds spans: a candidate is a long
+unbroken string anywhere on a line with a sensitive word, or within a key block.  Its
+novelty is what it costs a zstandard compressor that already knows the identifier
+dictionary and the text around it: the compressed bytes of surroundings and candidate,
+less those of the surroundings alone.  Prose, paths and identifiers repeat what the
+compressor has seen; keys do not.  Candidates whose marginal bytes come close to their
+entropy limit are reported, unless a base span covers them.  Base spans are weighed
+alike, and stay whatever they weigh.
+
+The surroundings are ``AROUND`` characters on each side, which is part of the measure;
+so a candidate costs the same work in a text of any length.
 
 Defined results: null text is the empty text, with no spans; repeated rows give
 repeated rows; an empty table gives no rows; extra columns are ignored; texts of
@@ -15,9 +19,10 @@ any length are scanned whole.
 
 from __future__ import annotations
 
-import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,11 +35,13 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 SENSITIVE = re.compile(r"pass|secret|token|key|auth|cred|bearer|private|signature|login|pwd", re.IGNORECASE | re.ASCII)
 WORDS = ("password", "passwd", "secret", "token", "key")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
+BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]+-----(.*?)(?:-----END|\Z)", re.DOTALL)
 SHORTEST = 16
-#: Characters before a candidate that may hold a sensitive word; characters of surroundings that the compressor knows.
-REACH, AROUND = 32, 400
-#: Marginal bytes a character from which a candidate counts as novel: random base64 needs 0.75, random hexadecimal 0.5.
-NOVEL = 0.62
+#: Characters of surroundings on each side that the compressor knows.
+AROUND = 2048
+#: Share of its entropy limit from which a candidate counts as novel: 4 bits a character in hexadecimal, else 6.
+NOVEL = 0.82
+HEXADECIMAL = re.compile(r"[0-9a-fA-F-]+")
 #: Words of code and prose that surround secrets.
 DICTIONARY = (
     "password passwd secret token api_key apikey access_key private_key client_secret authorization bearer signature "
@@ -69,27 +76,45 @@ class Novelty:
 
     def __call__(self, text: str, start: int, end: int) -> int:
         around = (text[max(0, start - AROUND) : start] + text[end : end + AROUND]).encode("utf-8", "surrogatepass")
-        return len(self.compress(around + text[start:end].encode())) - len(self.compress(around))
+        return len(self.compress(around + text[start:end].encode("utf-8", "surrogatepass"))) - len(self.compress(around))
 
 
-def novel_spans(text: str, covered: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
-    found, seen = [], 0
+def places(text: str) -> Iterator[tuple[int, int]]:
+    """[start, end) of the lines with a sensitive word and of the key blocks, none twice, in order."""
+    found = [m.span(1) for m in BLOCK.finditer(text)] if "-----BEGIN " in text else []
+    end = 0
     for word in SENSITIVE.finditer(text):
-        for begin in RUN.finditer(text, max(word.end(), seen), word.end() + REACH):
-            m = RUN.match(text, begin.start())
-            seen, own = m.end(), m[0]
+        if word.start() >= end:
+            end = text.find("\n", word.end())
+            end = len(text) if end < 0 else end
+            found.append((text.rfind("\n", 0, word.start()) + 1, end))
+    at = 0
+    for start, end in sorted(found):
+        if end > max(at, start):
+            yield max(at, start), end
+            at = end
+
+
+def novel_spans(text: str, covered: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int, int]]:
+    """(start, kind, end, marginal bytes) of what is novel and overlaps none of ``covered``, which is sorted."""
+    found, ends = [], list(accumulate((e for _, _, e in covered), max))
+    for start, stop in places(text):
+        for m in RUN.finditer(text, start, stop):
+            own = m[0]
             # a run of letters in one case, as in prose, holds no key
             if len(own) < SHORTEST or own.isalpha() and (own[1:].islower() or own.isupper()):
                 continue
-            if any(s < m.end() and m.start() < e for s, _, e in covered):
+            before = bisect_left(covered, (m.end(),))
+            if before and ends[before - 1] > m.start():
                 continue
-            if novelty(text, m.start(), m.end()) >= NOVEL * len(own):
-                found.append((m.start(), 3, m.end()))
+            limit = (4 if HEXADECIMAL.fullmatch(own) else 6) / 8 * len(own)
+            if (cost := novelty(text, *m.span())) >= NOVEL * limit:
+                found.append((m.start(), 3, m.end(), cost))
     return found
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id and its spans: array of (kind, start, end), code points, by start and kind."""
+    """doc_id and its spans: array of (kind, start, end, novelty), code points, by start and kind; novelty is in marginal bytes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         novelty = Novelty()
@@ -97,20 +122,21 @@ def scan(docs: DataFrame) -> DataFrame:
             spans = []
             for text in batch["text"].fillna(""):
                 base = base_spans(text)
-                spans.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in sorted(base + novel_spans(text, base, novelty))])
+                weighed = [(s, k, e, novelty(text, s, e)) for s, k, e in base]
+                spans.append([{"kind": KINDS[k], "start": s, "end": e, "novelty": c} for s, k, e, c in sorted(weighed + novel_spans(text, base, novelty))])
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "spans": spans})
 
-    schema = "doc_id long, spans array<struct<kind:string,start:long,end:long>>"
+    schema = "doc_id long, spans array<struct<kind:string,start:long,end:long,novelty:long>>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema)
 
 
 def digest(scanned: DataFrame) -> DataFrame:
-    """Counts, the digest of the base spans, and all spans as text."""
+    """Counts, the digest of the base spans, all spans as text, and their novelty in the same order."""
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["kind"] != "novel")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     return scanned.select(
         "doc_id", *[count(k).alias(f"n_{k}") for k in KINDS[:3]],
         F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"),
-        count("novel").alias("n_novel"),
+        count("novel").alias("n_novel"), F.array_join(F.transform("spans", lambda s: s["novelty"].cast("string")), ",").alias("novelty"),
     )
