@@ -1,18 +1,22 @@
 """Language identification by the nearest of several centroids per language.
 
 A text becomes the counts of its letter n-grams (one to three characters, lower
-case, anything but letters taken as a space), hashed to ``DIMENSIONS`` buckets,
+case, a run of anything but letters taken as one space), hashed to ``DIMENSIONS`` buckets,
 with square-root term weights, inverse document frequencies and unit length.
 Document frequencies count all documents one may learn from.  Centroids are fitted
-on at most ``PER_LANGUAGE`` documents of each language, the first by a seeded hash:
-spherical k-means within the language.  The prediction is the language of the
+on at most ``PER_LANGUAGE`` different documents of each language, the first by a seeded
+hash: spherical k-means within the language.  A threshold on the hash, by the language's
+number of documents, leaves about twice as many before they are ranked.  The prediction is the language of the
 centroid with the highest cosine; a text that is farther from it than nearly all of
 that language's own learnt documents is marked as rejected.
 
+A letter is a character of a Unicode category L.
+
 Defined results: a null text, or one without letters, is ``und`` with score 0; where
 nothing can be learnt every text is ``und``; null lang is not learnt from; a null
-doc_id counts as the empty text for its fold; repeated rows give repeated rows;
-extra columns are ignored.
+doc_id counts as the empty text for its fold; repeated rows give repeated rows and are
+learnt from once (but counted by row in the frequencies); a text with several languages
+is learnt under each; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,15 +30,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fold
+from .common import fold, keep
 
 DIMENSIONS = 4096
 PER_LANGUAGE = 400
 CENTROIDS = 3
 STEPS = 12
+#: Languages up to which their sizes are broadcast; texts are not shuffled by language.
+LANGUAGES = 100_000
 #: Share of a language's learnt documents that may lie beyond its rejection distance.
 BEYOND = 0.005
-LETTER = re.compile(r"[^\W\d_]")
+PLAIN = re.compile("[A-Za-z]")
 UNDETERMINED = "und"
 
 _letters: list[np.ndarray] = []
@@ -42,14 +48,23 @@ _letters: list[np.ndarray] = []
 
 def _is_letter(codes: np.ndarray) -> np.ndarray:
     if not _letters:
-        _letters.append(np.array([chr(i).isalpha() for i in range(0x3100)]))
-    return _letters[0][np.minimum(codes, 0x30FF)] | (codes > 0x30FF)
+        _letters.append(np.array([chr(i).isalpha() for i in range(0x110000)]))
+    return _letters[0][codes]
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+
+
+def has_letter(text: str) -> bool:
+    return PLAIN.search(text) is not None or bool(_is_letter(_codes(text)).any())
 
 
 def counts(text: str) -> np.ndarray:
     """Hashed counts of the text's n-grams."""
-    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    c = _codes(text.lower())
     c = np.where(_is_letter(c), c, 32).astype(np.uint32)
+    c = c[np.append(True, (c[1:] != 32) | (c[:-1] != 32))[: len(c)]]
     shift, h = np.uint32(32 - (DIMENSIONS.bit_length() - 1)), np.zeros(len(c), dtype=np.uint32)
     total = np.zeros(DIMENSIONS)
     for n in range(min(3, len(c))):
@@ -116,14 +131,16 @@ def fit(docs: DataFrame, learnable: Column) -> Model | None:
     if not n:
         return None
     idf = np.log((1 + n) / (1 + seen)) + 1e-3
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id")
-    ids = known.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= PER_LANGUAGE)
-    # at most PER_LANGUAGE ids for each language
-    sample = known.select("doc_id", "text").join(F.broadcast(ids.select("doc_id", "lang")), "doc_id")
+    told = known.select("lang", "text", F.xxhash64("doc_id", "text", F.lit(7)).alias("h"))
+    sizes = told.groupBy("lang").agg((F.lit(2.0 * PER_LANGUAGE) / F.approx_count_distinct("h")).alias("share"))
+    sizes = keep(sizes, "lang-sizes")
+    few = told.join(F.broadcast(sizes) if sizes.count() <= LANGUAGES else sizes, "lang").filter(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    few = few.groupBy("lang", "h").agg(F.min("text").alias("text"))  # equal rows, before they are shuffled
+    order = Window.partitionBy("lang").orderBy("h")
+    sample = few.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= PER_LANGUAGE)
 
     def cluster(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc_id", "text"])
-        x = vectors(group["text"].tolist()[: 2 * PER_LANGUAGE], idf)
+        x = vectors(group.sort_values("h")["text"].tolist(), idf)
         c = centroids(x)
         floor = float(np.quantile((x @ c.T).max(axis=1), BEYOND))
         return pd.DataFrame({"lang": group["lang"].iloc[0], "centre": list(c.astype(np.float64)), "floor": floor})
@@ -141,7 +158,7 @@ def identify(docs: DataFrame, model: Model | None, *also: str) -> DataFrame:
     def predict(texts: pd.Series) -> pd.DataFrame:
         m = shared.value
         out = pd.DataFrame({"lang_pred": UNDETERMINED, "score": 0.0, "rejected": True}, index=texts.index)
-        told = [i for i, t in texts.items() if t is not None and LETTER.search(t)] if m else []
+        told = [i for i, t in texts.items() if t is not None and has_letter(t)] if m else []
         for at in range(0, len(told), 512):
             own = told[at : at + 512]
             langs, score, far = m.predict([texts[i] for i in own])

@@ -8,12 +8,14 @@ of kinds of characters); its recorded length in characters.  The score is
 
 which weighs every pair of features by the product of their factors and takes time
 linear in the features.  It is fitted by Adam on the logistic loss, on at most
-``SAMPLE`` labelled documents, the first by a seeded hash; scoring covers all.
+``SAMPLE`` labelled documents, the first by a seeded hash, of which a threshold by the
+number of labels leaves about twice as many before they are ranked; scoring covers all.
 
 Defined results: null text is the empty text, which is scored like any other; of
 several labels of a document the rounded mean counts; where nothing is labelled, or
-only one class, every score is the share of label 1 (0.5 where none is known); a null
-doc_id counts as the empty text for its fold; repeated rows give repeated rows; extra
+only one class, every score is the share of label 1 (0.5 where none is known); of the
+texts of a repeated labelled id the smallest is learnt; a negative length counts as 0; a
+null doc_id counts as the empty text for its fold; repeated rows give repeated rows; extra
 columns are ignored.
 """
 
@@ -54,7 +56,7 @@ def structure(text: str, n_chars: float | None, words: Counter) -> list[float]:
     symbols = [sum(text.count(c) for c in group) / n for group in ("|", "#$%&*", "!?", ".,;:", "0123456789", "<>{}[]()/\\=+_@~^")]
     top = max(words.values(), default=0) / max(total, 1)
     return [
-        np.log1p(len(text)) / 10, np.log1p(total) / 10, np.log1p(n_chars or 0) / 10,
+        np.log1p(len(text)) / 10, np.log1p(total) / 10, np.log1p(max(n_chars or 0, 0)) / 10,
         letters / max(total, 1) / 10, len(words) / max(total, 1), top, upper / n,
         len(set(lines)) / len(lines), np.log1p(len(lines)) / 10, min(1.0, max(map(len, lines)) / n),
         *[min(1.0, 5 * s) for s in symbols], float(not text),
@@ -113,8 +115,11 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column) -> dict[str, np.n
     """Learn ``quality`` from labelled rows of ``docs`` for which ``learnable`` holds."""
     known = labels.filter(learnable & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.round(F.avg("quality")).cast("int").alias("label"))
-    chosen = known.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(SAMPLE)
-    texts = docs.select("doc_id", "text", "n_chars").join(F.broadcast(chosen), "doc_id")  # at most SAMPLE ids
+    share = 2.0 * SAMPLE / max(1, known.agg(F.approx_count_distinct("doc_id")).first()[0])
+    place = F.xxhash64("doc_id", F.lit(SEED))
+    chosen = known.filter(F.pmod(place, F.lit(1 << 30)) < share * (1 << 30)).orderBy(place, "doc_id").limit(SAMPLE)
+    texts = docs.select("doc_id", "text", F.col("n_chars").cast("double").alias("n_chars")).join(F.broadcast(chosen), "doc_id")  # at most SAMPLE ids
+    texts = texts.groupBy("doc_id", "label").agg(F.min(F.struct("text", "n_chars")).alias("t")).select("doc_id", "label", "t.*")  # rows that repeat, before they are shuffled
 
     def prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -122,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column) -> dict[str, np.n
             yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "x": rows})
 
     def train(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("doc_id").sort_values("doc_id")
+        group = group.sort_values("doc_id")
         model = fit_machine(np.stack([np.frombuffer(x, dtype=np.float32) for x in group["x"]]), group["label"].to_numpy(dtype=np.float32))
         return pd.DataFrame({"name": list(model), "value": [a.astype(np.float32).tobytes() for a in model.values()]})
 
