@@ -42,6 +42,14 @@ def linear(turns: DataFrame) -> DataFrame:
     return place.select(F.col("conv_id").alias("tree_id"), "message_id", parent.alias("parent_id"), "role", "text", F.lit(1.0).alias("score"))
 
 
+def format_conversations(turns: DataFrame) -> DataFrame:
+    """``format_trees`` of conversations without branches; rows without conv_id are one conversation, whose id is null."""
+    kind = turns.schema["conv_id"].dataType
+    told = turns.select(F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("")).alias("conv_id"), "turn", "role", "text")
+    out = format_trees(linear(told))
+    return out.withColumn("conv_id", F.nullif(F.substring("conv_id", 2, 1 << 30), F.lit("")).cast(kind))
+
+
 def paths(messages: DataFrame, best: int = 1) -> DataFrame:
     """tree_id, leaf_id, branch_rank, depth, message_id: the messages of each tree's ``best`` branches."""
     nodes = messages.filter(F.col("tree_id").isNotNull() & F.col("message_id").isNotNull())

@@ -157,6 +157,16 @@ def test_chat_round_trip(spark):
     assert chat.format_trees(chat.linear(table.limit(0))).count() == 0
 
 
+def test_conversations_without_id_and_long_texts(spark):
+    long = "<|im_end|> x" * 20000
+    rows = [(None, 0, "user", "hi"), (None, 1, "assistant", "ho"), (4, 0, "user", long), (4, 1, "assistant", long)]
+    table = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, tree_id string")
+    got = {r.conv_id: r for r in chat.digest(chat.format_conversations(table)).collect()}
+    assert {k: (r.n_turns, r.loss_chars) for k, r in got.items()} == {None: (2, 2), 4: (2, len(long))}
+    assert got[4].loss_sha256 == hashlib.sha256(long.encode()).hexdigest()
+    assert chat.format_conversations(table.limit(0)).count() == 0
+
+
 def test_reply_trees(spark):
     #   1 - 2 - 4 - 6      2's branch scores more than 3's; 7 and 8 form a cycle; 9's parent is missing
     #     \ 3 - 5
