@@ -6,28 +6,39 @@ empty set, linked with nothing.  Documents with equal sets form a class at once.
 sketch keeps the ``SKETCH`` smallest shingle hashes.
 
 Inverted lists map runs of three consecutive retained values to the classes that have
-them.  Two sets with similarity 0.8 share such a run but for a chance of about 5e-8
-(of the smallest sets, two-value runs make it certain), while a line or passage that
-many documents hold rarely fills a run alone.  No list is ever expanded into its pairs:
-
-1. every class meets, of the smallest ids of its lists, the one it shares most lists
-   with; what is confirmed forms components;
-2. lists that still span components are compared inside one task, by matrix products of
-   their sketches, and tell which classes may link to which larger component;
+them, while a line or passage that many documents hold rarely fills a run alone.  No
+list is ever expanded into its pairs:
+
+1. every class meets, of the classes with the smallest document id of its lists, the one
+   it shares most lists with; what is confirmed forms components.  What others were
+   copied from tends to have the smallest id, so that few components are left;
+2. lists that still span components are compared inside tasks, by matrix products of
+   their sketches, and tell which classes may link to which larger component; a list of
+   more than ``LIST`` classes is dealt out as blocks against blocks;
 3. such a class meets all members of that component on full sets: pair by pair where
    they are few, else block against block, again by matrix products.
 
 A pair is first estimated from the union of its sketches, then confirmed on full sets.
-
-Defined results: null and empty texts have no shingles and are their own component; a
-null doc_id is never a component's id unless it is alone; repeated rows of a document
-fall into one class; an empty table gives no rows; extra columns are ignored.
+What may be missed, of pairs at the threshold: those that share no list, about 5e-8 of
+them (of the smallest sets, two-value runs make it certain), and those whose estimate is
+too low, at most ``MISS`` by the exact binomial sum.  Nothing else is left out.
+
+A node is one class; it is told by the number of a row, so that rows of one id with
+different texts are different nodes.
+
+Defined results: null and empty texts have no shingles and are their own component;
+a component's id is its smallest doc_id, null only if none of its rows has one; rows
+of an id with different texts may lie in different components; repeated rows of a
+document fall into one class, and ``deduplicated`` keeps one of them; an empty table
+gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -41,10 +52,12 @@ from .common import keep
 SKETCH, RUN = 48, 3
 #: Similarity in hundredths.
 PERCENT = 80
-#: Standard deviations by which an estimate may miss.
-SLACK = 5.0
+#: Chance that a pair's estimate is too low to be confirmed, though its similarity is not.
+MISS = 1e-6
 #: Members up to which a component is compared pair by pair; classes in a block of a larger one.
 FEW, BLOCK = 8, 1000
+#: Classes of a list up to which it is compared in one task; longer ones go in blocks of half as many.
+LIST = 4000
 
 _words: dict[bytes, int] = {}
 _U = np.uint64
@@ -79,7 +92,7 @@ def shingles(text: str | None, words: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, class (a digest of the set; null for the empty one), sketch."""
+    """row (a number), doc_id, told (digest of the text), n_shingles, class (a digest of the set; null for the empty one), sketch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -90,9 +103,16 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
                 rows.append((len(s), own, s[:SKETCH].tobytes()))
             out = pd.DataFrame(rows, columns=["n_shingles", "class", "sketch"])
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
+            out.insert(1, "told", batch["told"])
+            out.insert(2, "row", batch["row"])
             yield out.astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_shingles long, class binary, sketch binary")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), *_named())
+    return rows.mapInPandas(run, "doc_id long, told string, row long, n_shingles long, class binary, sketch binary")
+
+
+def _named() -> list:
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("told"), "text"]
 
 
 def _keys(s: np.ndarray, n: int) -> np.ndarray:
@@ -112,74 +132,89 @@ def _runs(sketches: pd.Series, sizes: pd.Series) -> pd.Series:
     return pd.Series([_keys(np.frombuffer(raw, dtype=np.uint64), n) for raw, n in zip(sketches, sizes)])
 
 
-def _estimates(sketches: list[np.ndarray], sizes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(shared, union): of the retained values of rows x all, up to where both sketches reach."""
+def _estimates(sketches: list[np.ndarray], sizes: np.ndarray, rows: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """How many retained values of the union of rows x all are known, up to where both sketches reach."""
     lengths = np.array([len(s) for s in sketches])
-    flat = np.concatenate(sketches)
-    owner = np.repeat(np.arange(len(sketches)), lengths)
-    _, at, n = np.unique(flat, return_inverse=True, return_counts=True)
-    twice = n[at] > 1
-    _, column = np.unique(at[twice], return_inverse=True)
-    has = np.zeros((len(sketches), max(1, column.max(initial=0) + 1)), dtype=np.float32)
-    has[owner[twice], column] = 1
-    shared = has[rows] @ has.T
     # a set that is retained whole reaches everywhere
     top = np.array([s[-1] if len(s) < n else np.iinfo(np.uint64).max for s, n in zip(sketches, sizes)], dtype=np.uint64)
-    upto = np.array([np.searchsorted(s, top, side="right") for s in sketches])  # values of i up to the reach of j
+    theirs = np.array([np.searchsorted(s, top[rows], side="right") for s in sketches]).T  # values of all up to the reach of rows
+    ours = np.array([np.searchsorted(sketches[r], top, side="right") for r in rows])
     first = top[rows][:, None] <= top[None, :]
-    union = np.where(first, lengths[rows][:, None] + upto[:, rows].T, lengths[None, :] + upto[rows]) - shared
-    return shared, union
+    return np.where(first, lengths[rows][:, None] + theirs, lengths[None, :] + ours) - shared
+
+
+@cache
+def _least() -> np.ndarray:
+    """Per size of a union's sample, the fewest shared values that a pair at the threshold has, but for MISS of them."""
+    out, p = [], PERCENT / 100
+    for n in range(2 * SKETCH + 1):
+        total, k = 0.0, 0
+        while k < n:
+            total += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+            if total > MISS:
+                break
+            k += 1
+        out.append(k)
+    return np.array(out)
 
 
 def _likely(shared: np.ndarray, union: np.ndarray, whole: np.ndarray) -> np.ndarray:
-    p = PERCENT / 100
-    margin = np.where(whole, 1e-6, SLACK * np.sqrt(p * (1 - p) / np.maximum(union, 1)))
-    return shared >= (p - margin) * union
+    return shared >= np.where(whole, PERCENT / 100 * union - 1e-6, _least()[union.astype(np.int64)])
 
 
 def _across():
     """(rep, comp): classes that their sketches let link to a class of a larger component of a list."""
 
     def asks(key: int, group: dict[str, np.ndarray]) -> pd.DataFrame | None:
-        named, n, rep = group["comp"], group["n"], group["rep"]
-        names, comp, size = np.unique(named, return_inverse=True, return_counts=True)
-        if len(names) < 2:
+        named, n, rep, size = group["comp"], group["n"], group["rep"], group["size"]
+        if (named == named[0]).all():
             return None
         sketches = [np.frombuffer(s, dtype=np.uint64) for s in group["sketch"]]
-        # by the whole component's size where it is known, so that all lists agree on the direction
-        order = group["size"] * 2.0**40 + comp
+        # in blocks x and y of a long list, only pairs of the two are compared
+        x, y = (np.flatnonzero(group["side"] == k) for k in (0, 1))
+        pairs = [(x, y), (y, x)] if len(y) else [(x, x)]
         # A pair is told by the first list that both are in.
         earlier = [np.unique(k[k < key]) for k in map(_keys, sketches, n)]
         out = []
-        for at in range(0, len(rep), 1024):
-            rows = np.arange(at, min(at + 1024, len(rep)))
-            shared, union = _estimates(sketches, n, rows)
-            a, b = n[rows][:, None], n[None, :]
-            ok = (comp[rows][:, None] != comp[None, :]) & (order[rows][:, None] < order[None, :]) & (100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b))
-            ok &= _likely(shared, union, (a <= SKETCH) & (b <= SKETCH))
-            if ok.any():
-                ok &= _shared([earlier[r] for r in rows], earlier) == 0
-            i, j = np.nonzero(ok)
-            out.append(np.unique(np.stack([rows[i], comp[j]]), axis=1))
-        i, c = np.concatenate(out, axis=1)
-        return pd.DataFrame({"rep": rep[i], "comp": names[c]}) if len(i) else None
+        for own, other in pairs:
+            theirs, before = [sketches[j] for j in other], [earlier[j] for j in other]
+            for at in range(0, len(own), 1024):
+                rows = own[at : at + 1024]
+                shared = _shared([sketches[i] for i in rows], theirs)
+                union = _estimates([sketches[i] for i in rows] + theirs, np.concatenate([n[rows], n[other]]), np.arange(len(rows)), np.pad(shared, ((0, 0), (len(rows), 0))))[:, len(rows) :]
+                a, b = n[rows][:, None], n[other][None, :]
+                # by the whole component's size, then its number, so that all lists agree on the direction
+                more = (size[rows][:, None] < size[other][None, :]) | (size[rows][:, None] == size[other][None, :]) & (named[rows][:, None] < named[other][None, :])
+                ok = more & (100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b))
+                ok &= (named[rows][:, None] != named[other][None, :]) & _likely(shared, union, (a <= SKETCH) & (b <= SKETCH))
+                if ok.any():
+                    ok &= _shared([earlier[i] for i in rows], before) == 0
+                i, j = np.nonzero(ok)
+                out.append(np.unique(np.stack([rep[rows[i]], named[other[j]]]), axis=1))
+        r, c = np.concatenate(out, axis=1)
+        return pd.DataFrame({"rep": r, "comp": c}) if len(r) else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Lists arrive in order of their key, and may go on in the next batch."""
-        rest: pd.DataFrame | None = None
+        """Lists, and pairs of blocks of long ones, arrive in order, and may go on in the next batch."""
+        rest: list[pd.DataFrame] = []
         for batch in _ended(batches):
-            rows = rest if batch is None else batch if rest is None else pd.concat([rest, batch])
-            if rows is None or not len(rows):
+            if batch is not None:
+                rest.append(batch)
+                last, first = batch.iloc[-1], rest[0].iloc[0]
+                if all(last[c] == first[c] for c in ("key", "x", "y")):
+                    continue
+            if not rest:
                 continue
-            keys = rows["key"].to_numpy()
-            ends = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-            stop = len(keys) if batch is None else (ends[-1] if len(ends) else 0)
-            columns = {c: rows[c].to_numpy() for c in ("rep", "comp", "size", "n", "sketch")}
+            rows = pd.concat(rest)
+            columns = {c: rows[c].to_numpy() for c in ("key", "x", "y", "side", "rep", "comp", "size", "n", "sketch")}
+            keys = np.stack([columns[c] for c in ("key", "x", "y")])
+            ends = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            stop = len(rows) if batch is None else (ends[-1] if len(ends) else 0)
             bounds = [0, *ends[ends < stop], stop]
             for s, e in zip(bounds, bounds[1:]):
-                if e - s > 1 and (found := asks(int(keys[s]), {c: v[s:e] for c, v in columns.items()})) is not None:
+                if e - s > 1 and (found := asks(int(keys[0, s]), {c: v[s:e] for c, v in columns.items()})) is not None:
                     yield found
-            rest = rows.iloc[stop:]
+            rest = [rows.iloc[stop:]] if stop < len(rows) else []
 
     return run
 
@@ -197,7 +232,8 @@ def _may_link(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Seri
             out.append(False)
             continue
         s = [np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)]
-        shared, union = _estimates(s, np.array([i, j]), np.array([0]))
+        shared = np.array([[len(s[0]), len(np.intersect1d(*s, assume_unique=True))]])
+        union = _estimates(s, np.array([i, j]), np.array([0]), shared)
         out.append(bool(_likely(shared[0, 1], union[0, 1], np.array(max(i, j) <= SKETCH))))
     return pd.Series(out)
 
@@ -259,24 +295,29 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per document row."""
+def _grouped(docs: DataFrame, words: int) -> DataFrame:
+    """row, doc_id, told, n_shingles and comp (the smallest node reachable; null for empty sets), one row per document row."""
     sets = keep(_sets(docs, words), "near-sets")
-    classes = sets.filter("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    first = F.min_by(F.struct("doc_id", "told"), F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    classes = sets.filter("class IS NOT NULL").groupBy("class").agg(F.min("row").alias("rep"), first.alias("of"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = keep(classes, "near-classes")
-    runs = classes.select("rep", F.explode(_runs("sketch", "n")).alias("key"))
+    runs = classes.select("rep", F.coalesce("of.doc_id", F.lit(2**63 - 1)).alias("id"), F.explode(F.array_distinct(_runs("sketch", "n"))).alias("key"))
     length = Window.partitionBy("key")
-    lists = runs.distinct().withColumn("length", F.count("*").over(length)).withColumn("pivot", F.min("rep").over(length)).filter("length > 1")
+    lists = runs.withColumn("length", F.count("*").over(length)).withColumn("pivot", F.min(F.struct("id", "rep")).over(length)["rep"]).filter("length > 1").drop("id")
     lists = keep(lists, "near-lists")
-    # Full sets of all that is in any list, once.
-    ids = lists.select(F.col("rep").alias("doc_id")).distinct()
+    # Full sets of all that is in any list, once; where rows repeat, of one of them.
+    ids = lists.select("rep").distinct().join(classes.select("rep", "of"), "rep").select("rep", F.col("of.doc_id").alias("i"), F.col("of.told").alias("t"))
 
     @F.pandas_udf("binary")
     def whole(texts: pd.Series) -> pd.Series:
         return pd.Series([shingles(t, words).tobytes() for t in texts])
 
-    full = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi").select("doc_id", whole("text").alias("set"))
-    full = keep(full, "near-full")
+    mine = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("told") == F.col("t"))
+    texts = docs.select(*_named()).join(ids, mine)
+    again = sets.groupBy("doc_id", "told").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("doc_id").alias("i"), F.col("told").alias("t"))
+    alone = texts.drop("i", "t").join(again, mine, "left_anti").select("rep", "text")
+    several = texts.drop("i", "t").join(again, mine, "left_semi").groupBy("rep").agg(F.first("text").alias("text"))  # equal texts
+    full = keep(alone.unionByName(several).select("rep", whole("text").alias("set")), "near-full")
     sketches = classes.select("rep", "n", "sketch")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -285,21 +326,26 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
         return exact(pairs.join(x, "a").join(y, "b").filter(_may_link("sa", "sb", "na", "nb")).select("a", "b"))
 
     def exact(likely: DataFrame) -> DataFrame:
-        x, y = full.select(F.col("doc_id").alias("a"), F.col("set").alias("ta")), full.select(F.col("doc_id").alias("b"), F.col("set").alias("tb"))
+        x, y = full.select(F.col("rep").alias("a"), F.col("set").alias("ta")), full.select(F.col("rep").alias("b"), F.col("set").alias("tb"))
         return likely.join(x, "a").join(y, "b").filter(_links("ta", "tb")).select("a", "b")
 
     meets = lists.filter("rep <> pivot").groupBy("rep", "pivot").agg(F.count("*").alias("n"))
     best = meets.groupBy("rep").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot"))
     links = keep(confirmed(best.select(F.col("pivot").alias("a"), F.col("rep").alias("b"))), "near-links")
     labels = components(links)
-    lists = lists.join(sketches.select("rep", "n"), "rep").select("key", "rep", "n")
     comps = sketches.select("rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp"))
     sizes = comps.groupBy("comp").agg(F.count("*").alias("size"))
     comps = keep(comps.join(sizes, "comp"), "near-comps")
-    named = lists.join(comps, "rep")
+    named = lists.select("key", "rep", "length").join(comps, "rep")
     spans = named.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most").select("key")
-    apart = named.join(spans, "key", "left_semi").join(sketches.select("rep", "sketch"), "rep").select("key", "rep", "comp", "size", "n", "sketch")
-    asks = apart.repartition("key").sortWithinPartitions("key").mapInPandas(_across(), "rep long, comp long").distinct()
+    apart = named.join(spans, "key", "left_semi")
+    apart = apart.withColumn("parts", F.when(F.col("length") > LIST, F.ceil(F.col("length") * 2 / LIST)).otherwise(1)).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    # Block x of a list meets block y: each row goes to all pairs of blocks that its own is in.
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
+    apart = apart.select("key", "rep", "comp", "size", "part", other)
+    apart = apart.select("key", "rep", "comp", "size", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), (F.col("part") > F.col("other")).cast("int").alias("side"))
+    apart = apart.join(sketches, "rep").select("key", "x", "y", "side", "rep", "comp", "size", "n", "sketch")
+    asks = apart.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInPandas(_across(), "rep long, comp long").distinct()
     asks = keep(asks.join(comps.select("comp", "size").distinct(), "comp"), "near-asks")
     members = comps.join(asks.select("comp").distinct(), "comp", "left_semi")
     # Small components: pairs, each confirmed alone.
@@ -312,17 +358,39 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     left = many.select("comp", "rep").join(shape, "comp").select("comp", "rep", F.lit(True).alias("asks"), part("columns").alias("y"), all_of("rows").alias("x"))
     right = members.select("comp", "rep").join(shape, "comp").select("comp", "rep", F.lit(False).alias("asks"), part("rows").alias("x"), all_of("columns").alias("y"))
-    meet = left.unionByName(right).join(full.select(F.col("doc_id").alias("rep"), "set"), "rep")
+    meet = left.unionByName(right).join(full, "rep")
     more = keep(few.unionByName(meet.groupBy("comp", "x", "y").applyInPandas(_block, "a long, b long")), "near-links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     named = classes.select("class", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("class", F.coalesce("comp", "rep").alias("comp"))
-    out = sets.select("doc_id", "n_shingles", "class").join(named, "class", "left")
-    component = F.coalesce("comp", "doc_id")
+    return sets.select("row", "doc_id", "told", "n_shingles", "class").join(named, "class", "left").drop("class")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per document row."""
+    grouped = keep(_grouped(docs, words), "near-grouped")
+    least = grouped.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    out = grouped.join(least, "comp", "left")
+    component = F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, words: int = 5) -> DataFrame:
-    """The documents less all but one of each component."""
-    gone = near_duplicates(docs, words).filter("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The documents, of each component one: the one with the smallest id, of its texts and rows the first."""
+    grouped = keep(_grouped(docs, words).filter("comp IS NOT NULL"), "near-grouped")
+    kept = grouped.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"))
+    marked = grouped.join(kept, "comp").select("doc_id", "told", (F.col("row") == F.col("first.row")).alias("stays"))
+    rows = marked.groupBy("doc_id", "told").agg(F.max("stays").alias("stays"), F.count("*").alias("k"))
+    rows = keep(rows.filter("NOT stays OR k > 1"), "near-gone")
+    i, t = F.col("doc_id").alias("i"), F.col("told").alias("t")
+    mine = F.col("__id").eqNullSafe(F.col("i")) & (F.col("__told") == F.col("t"))
+    own = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("doc_id").cast("long").alias("__id"), F.md5(F.coalesce("text", F.lit(""))).alias("__told"))
+    single = own.join(rows.select(i, t), mine, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    twice = rows.filter("stays")
+    if twice.isEmpty():
+        return single
+    # Rows that repeat: one of them, by a digest of the whole row, found before anything is shuffled.
+    several = own.join(twice.select(i, t), mine, "left_semi")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    several = several.groupBy("__id", "__told").agg(F.min_by(whole, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
+    return single.unionByName(several.select("row.*"))
