@@ -6,9 +6,9 @@ of rectangles, and their values in two bits each make one packed integer a frame
 Alignment takes landmarks, the frames whose hash is the least of their neighbourhood.
 Their density follows the recording's length, down to every frame, and they are nested:
 the sparser landmarks of a longer recording are among the denser ones that the same
-frames give in a shorter one.  A landmark's key is its frame and the one ``AHEAD`` frames
-later; single frames are keys only of recordings of under ``SHORT`` frames, for those
-that have no later one.  Equal keys of two recordings vote for an offset; every offset
+frames give in a shorter one.  A landmark's key is its frame and the next one; single
+frames are keys only of recordings of under ``SHORT`` frames, for those that have no
+next one.  Equal keys of two recordings vote for an offset; every offset
 voted for is tested by the share of bits that differ over the whole overlap, which
 counts from ``LEAST`` frames on, or the whole of a shorter recording.  A sound that is
 shorter than the filters forms a class with its equals.
@@ -46,8 +46,8 @@ RATE, FRAME, HOP, PITCHES = 8000, 256, 64, 12
 FILTERS, LONGEST = 16, 16
 #: Frames on each side within which a landmark has the least hash, at most; and landmarks that a recording is to have.
 AROUND, LANDMARKS = 3, 36
-#: Frames from a key's first frame to its second; frames below which single ones are keys too.
-AHEAD, SHORT = 8, 24
+#: Frames from a key's first frame to its second; number of frames below which single ones are keys too.
+AHEAD, SHORT = 1, 24
 #: Frames of the least overlap; share of bits that may differ in it.
 LEAST, ERROR = 15, 0.2
 #: Classes of a star that meet in one task, on each side.
@@ -120,17 +120,17 @@ def landmarks(prints: np.ndarray) -> np.ndarray:
     return np.flatnonzero(least.argmin(axis=1) == side)
 
 
-def prints(recordings: DataFrame) -> DataFrame:
-    """rec_id, class (digest of the fingerprint, or of a sound too short for one), frames (packed integers)."""
+def prints(recordings: DataFrame, is_query: Column) -> DataFrame:
+    """rec_id, asks, class (digest of the fingerprint, or of a sound too short for one), frames (packed integers)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [fingerprint(np.frombuffer(s, dtype=np.uint8).astype(float) - 128) for s in batch["sound"]]
             told = [hashlib.blake2b(f.tobytes() or bytes(s), digest_size=16, person=b"frames" if len(f) else b"sound").digest() for f, s in zip(found, batch["sound"])]
-            yield pd.DataFrame({"rec_id": batch["rec_id"], "class": told, "frames": [f.tobytes() for f in found]})
+            yield pd.DataFrame({"rec_id": batch["rec_id"], "asks": batch["asks"], "class": told, "frames": [f.tobytes() for f in found]})
 
     known = recordings.filter(F.col("rec_id").isNotNull() & (F.length("sound") > 0))
-    return known.select("rec_id", "sound").mapInPandas(run, "rec_id long, class binary, frames binary")
+    return known.select("rec_id", F.coalesce(is_query, F.lit(False)).alias("asks"), "sound").mapInPandas(run, "rec_id long, asks boolean, class binary, frames binary")
 
 
 def keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,13 +218,13 @@ def _star(counted: bool):
 
 
 def classed(recordings: DataFrame, is_query: Column) -> DataFrame:
-    """The prints of ``prints``, with whether the recording asks (true or null)."""
-    return keep(prints(recordings).join(recordings.filter(is_query).select("rec_id", F.lit(True).alias("asks")).distinct(), "rec_id", "left"), "chroma-prints")
+    """The prints of ``prints``, once."""
+    return keep(prints(recordings, is_query), "chroma-prints")
 
 
 def members(own: DataFrame) -> DataFrame:
     """rec_id, class, asks: who is in which class."""
-    return own.groupBy("rec_id", "class").agg(F.coalesce(F.max("asks"), F.lit(False)).alias("asks"))
+    return own.groupBy("rec_id", "class").agg(F.max("asks").alias("asks"))
 
 
 def _classes(own: DataFrame) -> DataFrame:
