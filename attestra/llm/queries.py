@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, chroma, hamming, langid, mixing, neardup, packing, pii, quality, secrets
+from . import chat, chroma, filter_audit, hamming, langid, mixing, neardup, packing, periodic, pii, quality, secrets, toxicity
 from .common import read_table
 
 
@@ -72,6 +72,18 @@ def op10_rate_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_rate_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op12_audit_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op13_find_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.find_runs(read_table(spark, sf_dir, "documents"), vary=True)
+
+
 OP1_SQL = r"""
 WITH sizes AS (
   SELECT doc_id, source, md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS place,
@@ -145,9 +157,41 @@ SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10
 """
 
 
+OP12_SQL = r"""
+WITH texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+known AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+masks AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(k.toxic, 0) AS toxic,
+         (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+         + 4 * (100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 3 * length(t))::INT
+         + 8 * regexp_matches(t, '[#$%&*|]')::INT
+         + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask
+  FROM texts LEFT JOIN known k USING (doc_id)),
+counts AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM masks GROUP BY 1, 2),
+letters AS (SELECT i, substr('ABCDE', i, 1) AS f, (1 << (i - 1)) AS bit FROM range(1, 6) r(i)),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (SELECT filter_order, s::INT AS step, bits[s] AS own, list_sum(bits[1:s]) - bits[s] AS before FROM orders, range(1, 6) r(s)),
+told AS (
+  SELECT part, filter_order, step, own,
+         sum(CASE WHEN mask & (before | own) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+         sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+         sum(CASE WHEN mask & own <> 0 AND mask & before <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+         sum(CASE WHEN mask = own THEN n ELSE 0 END)::BIGINT AS unique_fails,
+         sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+         sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM (SELECT part, mask, n, good, toxic, filter_order, step, own::INT AS own, before::INT AS before FROM counts, steps) GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM told
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op5_near_duplicates": OP5_SQL, "op7_hamming_top_k": OP7_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op5_near_duplicates": OP5_SQL, "op7_hamming_top_k": OP7_SQL, "op12_audit_filters": OP12_SQL}
