@@ -15,9 +15,9 @@ a seeded hash; scoring covers every whole text.
 
 Defined results: null text is the empty text, which is scored like any other; a document
 with several labels is toxic if their mean is above a half; without a toxic example every
-score is p (0 where no label is known), and 1 where all that is known is toxic; of the texts of a repeated learnt id the smallest
-counts; a null doc_id counts as the empty text for its fold; repeated rows give repeated
-rows; extra columns are ignored.
+score is 0, and 1 where all that is known is toxic; of the texts of a repeated learnt id the
+smallest counts; a null doc_id counts as the empty text for its fold; repeated rows give
+repeated rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -159,24 +159,21 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column) -> dict[str, np.n
         model = fit_classifier(np.stack([row(d, own) for d in pos]).astype(np.float64), np.stack([row(d, own) for d in unl]).astype(np.float64), prior)
         return pd.DataFrame({"name": ["marks", "w", "w0"], "value": [own.tobytes(), model["w"].tobytes(), model["w0"].tobytes()]})
 
-    prepared = texts.mapInPandas(prepare, "doc_id long, side int, ids binary, counts binary, words long")
+    prepared = texts.mapInPandas(prepare, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, side int, ids binary, counts binary, words long")
     found = {r["name"]: r["value"] for r in prepared.withColumn("all", F.lit("")).groupBy("all").applyInPandas(train, "name string, value binary").collect()}  # one model
     return {k: np.frombuffer(v, np.uint32 if k == "marks" else np.float64) for k, v in found.items()} or none
 
 
-_known: dict[str, tuple[int, ...]] = {}
-
-
-def margin(text: str | None, model: dict[str, np.ndarray], places: dict[int, int]) -> float:
-    """g of one text: only the words that hold a mark are counted further."""
+def margin(text: str | None, model: dict[str, np.ndarray], places: dict[int, int], known: dict[str, tuple[int, ...]]) -> float:
+    """g of one text; ``known`` keeps the marks of words of this model."""
     words = Counter(WORD.findall((text or "").lower()))
     own = np.zeros(len(model["marks"]), dtype=np.float32)
-    if len(_known) > 500_000:
-        _known.clear()
+    if len(known) > 500_000:
+        known.clear()
     for w, n in words.items():
-        at = _known.get(w)
+        at = known.get(w)
         if at is None:
-            at = _known[w] = tuple(places[t] for t in tokens(w) if t in places)
+            at = known[w] = tuple(places[t] for t in tokens(w) if t in places)
         for i in at:
             own[i] += n
     return float(values(own, sum(words.values())) @ model["w"] + model["w0"][0]) if len(own) else float(model["w0"][0])
@@ -189,9 +186,9 @@ def scorer(docs: DataFrame, model: dict[str, np.ndarray]):
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own, places = shared.value, {int(t): i for i, t in enumerate(shared.value["marks"])}
-        _known.clear()
+        known: dict[str, tuple[int, ...]] = {}
         for texts in batches:
-            g = np.fromiter((margin(t, own, places) for t in texts), dtype=float, count=len(texts))
+            g = np.fromiter((margin(t, own, places, known) for t in texts), dtype=float, count=len(texts))
             yield pd.Series(1 / (1 + np.exp(-np.clip(g, -30, 30))))
 
     return run
