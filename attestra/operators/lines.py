@@ -7,6 +7,8 @@ Claims have path, line, kind, name and what their rule adds.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,7 +33,7 @@ def _is_fence() -> Column:
 
 
 def fenced(rows: DataFrame, marker: str = MARKER) -> DataFrame:
-    """The lines inside fences, with the fence's line, tag and what suppresses it (null: nothing; empty: everything)."""
+    """The lines inside fences, with the fence's line, tag, whether it is closed and what suppresses it (null: nothing; empty: everything)."""
     before = _in_file().rowsBetween(Window.unboundedPreceding, 0)
     comment = rf"<!--\s*\Q{marker}\E\s*(\S*?)\s*-->"
     target = F.when(F.col("line") > 1, F.nullif(F.regexp_extract("text", comment, 0), F.lit("")))
@@ -39,37 +41,55 @@ def fenced(rows: DataFrame, marker: str = MARKER) -> DataFrame:
     rows = (
         rows.withColumn("fence", _is_fence())
         .withColumn("count", F.sum(F.col("fence").cast("int")).over(before))
+        .withColumn("all", F.sum(F.col("fence").cast("int")).over(Window.partitionBy("path")))
         .withColumn("above", F.last(F.when(target.isNotNull(), names), ignorenulls=True).over(_in_file().rowsBetween(-5, -1)))
     )
     start = F.last(F.when(F.col("fence"), F.struct("line", "text", "above")), ignorenulls=True).over(before)
     inside = rows.withColumn("start", start).filter("count % 2 = 1 AND NOT fence")
     tag = F.regexp_extract(F.ltrim("start.text"), r"^```\s*([^\s`]*)", 1)
-    return inside.select("path", "line", "text", F.col("start.line").alias("fence_line"), F.lower(tag).alias("tag"), F.col("start.above").alias("suppress"))
+    return inside.select("path", "line", "text", F.col("start.line").alias("fence_line"), F.lower(tag).alias("tag"), F.col("start.above").alias("suppress"), (F.col("count") < F.col("all")).alias("closed"))
+
+
+DEF = r"(?dm)^def\s+([a-zA-Z_]\w*)\s*\(([^)]*)\)\s*(?:->\s*([^:\n]+))?\s*:?"
+
 
+def bodies(rows: DataFrame, marker: str = MARKER) -> DataFrame:
+    """path, fence_line, tag, suppress, text: what each fence that is closed holds, as one text; a fence that never closes holds nothing."""
+    return fenced(rows, marker).filter("closed").groupBy("path", "fence_line").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"), F.first("tag").alias("tag"), F.first("suppress").alias("suppress"))
 
-DEF = r"^def\s+(\w+)\s*\(([^)]*)\)(?:\s*->\s*([^:]+?))?\s*(?::|$)"
+
+def occurrences(rows: DataFrame, pattern: str, *keys: str) -> DataFrame:
+    """All columns of ``rows`` (unique by the keys), number, own (each match of the pattern in text) and feeds (line feeds before it)."""
+    feeds = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
+    found = F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("own"), F.split("text", pattern, -1).alias("gap"))
+    rows = rows.filter(F.col("text").rlike(pattern)).select("*", F.posexplode(found).alias("number", "o"))
+    before = Window.partitionBy(*keys).orderBy("number")
+    count = F.sum(feeds(F.col("o.gap"))).over(before.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.sum(feeds(F.col("o.own"))).over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("feeds", count.cast("int")).withColumn("own", F.col("o.own")).drop("o").filter("own IS NOT NULL")
 
 
 def fenced_signatures(rows: DataFrame, marker: str = MARKER) -> DataFrame:
-    """Signatures in fences: name, params (text), return_type (null if none), suppressed."""
-    found = fenced(rows, marker).filter(F.col("text").rlike(DEF))
-    group = lambda k: F.regexp_extract("text", DEF, k)
+    """Signatures in fences, over lines: name, params (text up to the first closing parenthesis), return_type (null if none), suppressed, raw_text."""
+    found = occurrences(bodies(rows, marker), DEF, "path", "fence_line")
+    group = lambda k: F.regexp_extract("own", DEF, k)
     suppressed = F.coalesce((F.col("suppress") == "") | (F.col("suppress") == group(1)), F.lit(False))
-    return found.select("path", "line", F.lit("function_signature").alias("kind"), group(1).alias("name"), group(2).alias("params"), F.nullif(group(3), F.lit("")).alias("return_type"), suppressed.alias("suppressed"))
+    return found.select(
+        "path", (F.col("fence_line") + 1 + F.col("feeds")).cast("int").alias("line"), F.lit("function_signature").alias("kind"), group(1).alias("name"), group(2).alias("params"), F.nullif(F.trim(group(3)), F.lit("")).alias("return_type"),
+        suppressed.alias("suppressed"), F.col("own").alias("raw_text"))
 
 
 # --- references: every rule is an array of what it finds in a line ---------------------------
 
-REFERENCE = "array<struct<rule:int,kind:string,name:string,raw_text:string,params:string,default:string,args:string>>"
+REFERENCE = "array<struct<rule:int,kind:string,name:string,raw_text:string,params:string,default:string,args:string,action:string>>"
 FLAG = r"(?<![\w-])(--[A-Za-z][\w-]*|-[A-Za-z])(?![\w-])((?:[=:][^`\s]*)?)"
-TABLE_FLAG = r"^(-{1,2}[a-zA-Z0-9_-]+)(?:\s*=\s*(\S+))?$"
 
 
-def _found(rule: int, kind: str, name: Column, raw: Column | None = None, params: Column | None = None, default: Column | None = None, args: Column | None = None) -> Column:
+def _found(rule: int, kind: str, name: Column, raw: Column | None = None, params: Column | None = None, default: Column | None = None, args: Column | None = None, action: Column | None = None) -> Column:
     text = lambda c: (F.lit(None) if c is None else c).cast("string")
     return F.struct(
         F.lit(rule).alias("rule"), F.lit(kind).alias("kind"), name.alias("name"), (name if raw is None else raw).alias("raw_text"),
-        text(params).alias("params"), text(default).alias("default"), text(args).alias("args"))
+        text(params).alias("params"), text(default).alias("default"), text(args).alias("args"), text(action).alias("action"))
 
 
 def _filled(value: Column) -> Column:
@@ -83,12 +103,22 @@ def _inline() -> Column:
     return F.transform(texts, lambda t: _found(1, "code_example", F.regexp_extract(t, r"^(\w+)", 1), t, F.when(t.rlike(call), F.regexp_extract(t, call, 2))))
 
 
+# Subcommands that tell a command without a prompt.
+SUBCOMMANDS = ("scan", "run", "exec", "check", "version", "help")
+
+
 def _usages() -> Column:
     """A command after a prompt, or with a usual subcommand, at the start of a line."""
     line = F.trim("text")
-    prompt, bare = r"^\$\s+([a-zA-Z_][a-zA-Z0-9_-]*)\s*(.*)$", r"^([a-zA-Z_][a-zA-Z0-9_-]*)\s+(?:scan|run|exec|check|version|help)\s*(.*)$"
-    one = lambda pattern: F.array(_found(2, "cli_usage", F.regexp_extract(line, pattern, 1), line, args=F.regexp_extract(line, pattern, 2)))
-    return F.when(line.rlike(prompt), one(prompt)).when(line.rlike(bare), one(bare)).otherwise(F.array().cast(REFERENCE))
+    prompted = line.rlike(r"^\$\s")
+    rest = F.when(prompted, F.ltrim(F.regexp_replace(line, r"^\$\s+", ""))).otherwise(line)
+    command = F.regexp_extract(rest, r"^([A-Za-z_][\w-]*)", 1)
+    after = lambda text, word: F.regexp_replace(F.substr(text, F.length(word) + 1), r"^\s+", "")
+    tail = after(rest, command)
+    spaced = F.substr(rest, F.length(command) + 1, F.lit(1)).rlike(r"\s")
+    action = F.when(~prompted & spaced, functools.reduce(lambda w, a: w.when(tail.startswith(a), a), SUBCOMMANDS, F))
+    found = F.array(_found(2, "cli_usage", command, line, args=F.when(prompted, tail).otherwise(after(tail, action)), action=action))
+    return F.when((command != "") & (prompted | action.isNotNull()), found).otherwise(F.array().cast(REFERENCE))
 
 
 def _flags() -> Column:
@@ -117,8 +147,9 @@ def _table_flags() -> Column:
 
     def of(cell: Column, own: Column) -> Column:
         elsewhere = F.get(F.filter(F.transform(usual, lambda i: F.when(i != own, _filled(F.get("cells", i)))), lambda d: d.isNotNull() & ~d.startswith("-")), F.lit(0))
-        parts = F.filter(F.transform(F.split(cell, ","), lambda p: F.trim(p)), lambda p: p.rlike(TABLE_FLAG))
-        return F.transform(parts, lambda p: _found(5, "cli_flag_ref", F.regexp_extract(p, TABLE_FLAG, 1), default=F.coalesce(_filled(F.regexp_extract(p, TABLE_FLAG, 2)), elsewhere)))
+        sides = F.transform(F.split(cell, ","), lambda p: F.transform(F.split(p, "=", 2), lambda x: F.trim(x)))
+        flags = F.filter(sides, lambda x: x[0].rlike(r"^-[-\w]+$") & ((F.size(x) == 1) | F.get(x, F.lit(1)).rlike(r"^\S+$")))
+        return F.transform(flags, lambda x: _found(5, "cli_flag_ref", x[0], default=F.coalesce(F.get(x, F.lit(1)), elsewhere)))
 
     found = F.flatten(F.transform("cells", lambda c, i: F.when(c.startswith("-"), of(c, i)).otherwise(F.array().cast(REFERENCE))))
     return F.when(F.col("is_row") & (F.col("line") > F.col("header_line")), _first_of(found)).otherwise(F.array().cast(REFERENCE))
@@ -130,6 +161,7 @@ def _at(header: Column, words: tuple[str, ...]) -> Column:
     return F.get(F.filter(hits, lambda i: i.isNotNull()), F.lit(0))
 
 
+# Words in the headings of columns with names and with defaults.
 NAMED, DEFAULTED = ("variable", "env", "name", "key"), ("default", "dflt", "value")
 
 

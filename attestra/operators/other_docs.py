@@ -7,9 +7,15 @@ that ``split`` leaves in front.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import keep
+from . import blocks as B
+
 
 def _blocks(files: DataFrame, pattern: str) -> DataFrame:
     """path, line, block: every match of the pattern."""
@@ -29,32 +35,65 @@ def _group(pattern: str, k: int) -> Column:
     return F.nullif(F.regexp_extract("block", pattern, k), F.lit(""))
 
 
+SHAPE = r"(?:(?:export|declare|default|const)\s+)*(?:interface\s+([\w$]+)(?:\s*<[^{]*?>)?(?:\s+extends\s+([^{]+?))?|enum\s+([\w$]+)|type\s+([\w$]+)(?:\s*<[^=]*>)?\s*=[^;{}]*)\s*\{$"
+MEMBER = "struct<name:string,type:string,default:string,is_optional:boolean,is_readonly:boolean>"
+
+
+def _member(name: Column, type_: Column | None = None, default: Column | None = None, optional: Column | None = None, readonly: Column | None = None) -> Column:
+    text = lambda c: (F.lit(None) if c is None else F.nullif(F.trim(c), F.lit(""))).cast("string")
+    flag = lambda c: F.lit(False) if c is None else c
+    return F.struct(name.alias("name"), text(type_).alias("type"), text(default).alias("default"), flag(optional).alias("is_optional"), flag(readonly).alias("is_readonly"))
+
+
+def _read(members: Column | str, pattern: str, one: Callable[[Callable[[int], Column]], Column]) -> Column:
+    """The members that match a pattern, made by ``one`` of its groups."""
+    fit = F.filter(members, lambda m: m["text"].rlike(pattern))
+    return F.transform(fit, lambda m: one(lambda k: F.regexp_extract(m["text"], pattern, k))).cast(f"array<{MEMBER}>")
+
+
 def typescript(files: DataFrame) -> DataFrame:
-    """path, line, kind (ts_interface, ts_type, ts_enum), name, members: (name, type, is_optional, is_readonly)."""
-    shape = r"(?:export\s+)?(?:declare\s+)?interface\s+(\w+)(?:<[^>{]*>)?(?:\s+extends\s+([\w\s,<>.]+?))?\s*\{([^}]*)\}"
-    enum = r"(?:export\s+)?(?:declare\s+)?(?:const\s+)?enum\s+(\w+)\s*\{([^}]*)\}"
-    alias = r"(?m)^(?:export\s+)?type\s+(\w+)(?:<[^>=]*>)?\s*=\s*([^;\n]+)"
-    field = r"(readonly\s+)?(\w+)(\?)?\s*:\s*([^;,\n]+)"
-    part = lambda m, k: F.regexp_extract(m, field, k)
-    fields = F.transform(F.regexp_extract_all(_group(shape, 3), F.lit(field), F.lit(0)), lambda m: F.struct(part(m, 2).alias("name"), F.trim(part(m, 4)).alias("type"), (part(m, 3) != "").alias("is_optional"), (part(m, 1) != "").alias("is_readonly")))
-    plain = lambda n: F.struct(n.alias("name"), F.lit(None).cast("string").alias("type"), F.lit(False).alias("is_optional"), F.lit(False).alias("is_readonly"))
-    none = F.array().cast("array<struct<name:string,type:string,is_optional:boolean,is_readonly:boolean>>")
-    names = F.transform(F.regexp_extract_all(_group(enum, 2), F.lit(r"(\w+)\s*(?:=\s*[^,\n]+)?(?:,|\s*$|\n)"), F.lit(1)), plain)
-    out = _blocks(files, shape).select("path", "line", F.lit("ts_interface").alias("kind"), _group(shape, 1).alias("name"), _group(shape, 2).alias("expression"), F.coalesce(fields, none).alias("members"))
-    out = out.unionByName(_blocks(files, enum).select("path", "line", F.lit("ts_enum").alias("kind"), _group(enum, 1).alias("name"), F.lit(None).cast("string").alias("expression"), F.coalesce(names, none).alias("members")))
-    return out.unionByName(_blocks(files, alias).select("path", "line", F.lit("ts_type").alias("kind"), _group(alias, 1).alias("name"), F.substring(F.trim(_group(alias, 2)), 1, 50).alias("expression"), none.alias("members")))
+    """path, line, kind (ts_interface, ts_type, ts_enum), name, members, parent, expression (of a type, its first 50 characters), is_const.
+
+    Members stand directly in the block; the type of a member holds its own members as text.
+    Methods and index signatures are no members.
+    """
+    rows = B.declarations(files, "typescript", SHAPE)
+    part = lambda k: F.nullif(F.regexp_extract("head", SHAPE, k), F.lit(""))
+    kind = F.when(part(1).isNotNull(), "ts_interface").when(part(3).isNotNull(), "ts_enum").otherwise("ts_type")
+    field = r"(?s)^(readonly\s+)?([\w$]+)(\?)?\s*:\s*(.+)$"
+    fields = _read("members", field, lambda g: _member(g(2), F.regexp_replace(g(4), r"\s+", " "), None, g(3) != "", g(1) != ""))
+    values = F.transform("members", lambda m, i: _member(F.regexp_extract(m["text"], r"^([^=\s]+)", 1), F.coalesce(F.nullif(F.regexp_extract(m["text"], r"(?s)=\s*(.+)$", 1), F.lit("")), i.cast("string")))).cast(f"array<{MEMBER}>")
+    whole = F.concat("head", "body", F.lit("};"))
+    out = rows.withColumn("kind", kind).select(
+        "path", "line", "kind", F.coalesce(part(1), part(3), part(4)).alias("name"), F.when(F.col("kind") == "ts_enum", values).otherwise(fields).alias("members"), F.trim(part(2)).alias("parent"),
+        F.when(F.col("kind") == "ts_type", F.substring(F.ltrim(whole), 1, 50)).alias("expression"), F.when(F.col("kind") == "ts_enum", F.col("head").rlike(r"\bconst\s+enum\b")).alias("is_const"))
+    # types without a block
+    alias = r"(?m)^[ \t]*((?:(?:export|declare)\s+)*type\s+([\w$]+)(?:\s*<[^=]*>)?\s*=[^;{}]+;)"
+    plain = _blocks(files, alias)
+    return out.unionByName(plain.select("path", "line", F.lit("ts_type").alias("kind"), _group(alias, 2).alias("name"), F.array().cast(f"array<{MEMBER}>").alias("members"), F.lit(None).cast("string").alias("parent"), F.substring(_group(alias, 1), 1, 50).alias("expression"), F.lit(None).cast("boolean").alias("is_const")))
+
+
+OPERATIONS = ("Query", "Mutation", "Subscription")
 
 
 def graphql(files: DataFrame) -> DataFrame:
-    """path, line, kind, name, type: operation fields, inputs and their fields, enums and their values; plain types are left out."""
-    block = r"(?m)^\s*(?:extend\s+)?(type|input|enum)\s+(\w+)[^{\n]*\{([^}]*)\}"
-    body = F.regexp_replace(F.coalesce(_group(block, 3), F.lit("")), r"#[^\n]*|\"[^\"]*\"", "")
-    member = r"(?m)^\s*(\w+)\s*(\([^)]*\))?\s*(?::\s*([\[\]\w!]+))?"
-    rows = _blocks(files, block).withColumn("what", _group(block, 1)).withColumn("owner", _group(block, 2)).withColumn("m", F.explode(F.regexp_extract_all(body, F.lit(member), F.lit(0))))
-    rows = rows.filter(F.col("owner").isin("Query", "Mutation", "Subscription") | (F.col("what") != "type"))
-    kind = F.when(F.col("what") == "type", "api_endpoint").otherwise("class")
-    name = F.when(F.col("what") == "type", F.regexp_extract("m", member, 1)).otherwise(F.concat("owner", F.lit("."), F.regexp_extract("m", member, 1)))
-    return rows.select("path", "line", kind.alias("kind"), name.alias("name"), F.col("owner").alias("module"), F.nullif(F.regexp_extract("m", member, 3), F.lit("")).alias("type"))
+    """path, line, kind, name, module, type, members, what: a row for each field of the operations, with its arguments; one for each input, with its fields; one for each enum, with its values.  Other types are left out."""
+    head = r"(?:extend\s+)?\b(type|input|enum)\s+(\w+)[^{}]*\{$"
+    rows = B.declarations(files, "graphql", head).withColumn("what", F.regexp_extract("head", head, 1)).withColumn("owner", F.regexp_extract("head", head, 2))
+    described = r'^(?:"""(?s:.*?)"""|"[^"]*")\s*'
+    rows = rows.withColumn("members", F.transform("members", lambda m: F.struct(m["line"].alias("line"), F.regexp_replace(m["text"], described, "").alias("text"))))
+    rows = rows.withColumn("members", F.filter("members", lambda m: m["text"].rlike(r"^\w")))
+    typed = r"(?s)^(\w+)\s*(?:\((.*)\))?\s*:\s*([\[\]\w!\s]+?)\s*(?:=\s*([^@]+?)\s*)?(?:@.*)?$"
+    bare = lambda t: F.rtrim(F.regexp_replace(t, r"\s+", ""), F.lit("!"))
+    argument = r"(\w+)\s*:\s*([\[\]\w!]+)(?:\s*=\s*(\"[^\"]*\"|\[[^\]]*\]|\{[^}]*\}|[^\s,()]+))?"
+    arg = lambda t, k: F.regexp_extract(t, argument, k)
+    arguments = F.transform(F.regexp_extract_all(F.regexp_extract("m.text", typed, 2), F.lit(argument), F.lit(0)), lambda t: _member(arg(t, 1), bare(arg(t, 2)), arg(t, 3))).cast(f"array<{MEMBER}>")
+    operations = rows.filter((F.col("what") == "type") & F.col("owner").isin(*OPERATIONS)).withColumn("m", F.explode("members")).filter(F.col("m.text").rlike(typed))
+    out = operations.select("path", F.col("m.line").alias("line"), F.lit("api_endpoint").alias("kind"), F.regexp_extract("m.text", typed, 1).alias("name"), F.col("owner").alias("module"), F.regexp_replace(F.regexp_extract("m.text", typed, 3), r"\s+", "").alias("type"), arguments.alias("members"), F.lower("owner").alias("what"))
+    fields = _read("members", typed, lambda g: _member(g(1), bare(g(3)), g(4)))
+    values = F.flatten(F.transform("members", lambda m: F.transform(F.regexp_extract_all(F.regexp_replace(m["text"], r"@\w+(?:\([^)]*\))?", ""), F.lit(r"\w+"), F.lit(0)), lambda v: _member(v)))).cast(f"array<{MEMBER}>")
+    owned = rows.filter(F.col("what") != "type").withColumn("members", F.when(F.col("what") == "input", fields).otherwise(values))
+    return out.unionByName(owned.select("path", "line", F.lit("class").alias("kind"), F.col("owner").alias("name"), F.lit("").alias("module"), F.lit(None).cast("string").alias("type"), "members", "what"))
 
 
 def jsdoc(files: DataFrame) -> DataFrame:
@@ -79,9 +118,54 @@ def rst(files: DataFrame) -> DataFrame:
     return out
 
 
+ATTRIBUTE = r'(?s)^"?([\w.\-/]+)"?\s*[=:]\s*(.+)$'
+
+
+def _hcl_value(text: Column) -> Column:
+    """A value as text: strings without quotes, true and false with a capital, other expressions in ``${}``; lists and heredocs as they stand; null is none."""
+    return (
+        F.when(text.rlike(r'(?s)^"[^"]*"$'), F.regexp_extract(text, r'(?s)^"(.*)"$', 1)).when(text == "true", "True").when(text == "false", "False").when(text == "null", F.lit(None).cast("string"))
+        .when(text.rlike(r"(?s)^(?:-?\d[\d.eE+-]*$|\[|\{|<<|\")"), text).otherwise(F.concat(F.lit("${"), text, F.lit("}"))))
+
+
+def attributes(blocks: DataFrame) -> DataFrame:
+    """path, block, key, value of the members of blocks (path, block, members): objects are flattened to dotted keys, level by level; a nested block is one key."""
+    rows = blocks.select("path", "block", F.lit("").alias("prefix"), F.explode("members").alias("m")).select("path", "block", "prefix", F.col("m.text").alias("text"))
+    out = None
+    while True:
+        rows = rows.withColumn("key", F.concat("prefix", F.coalesce(F.nullif(F.regexp_extract("text", ATTRIBUTE, 1), F.lit("")), F.regexp_extract("text", r"^([\w-]+)", 1))))
+        rows = rows.withColumn("value", F.when(F.col("text").rlike(ATTRIBUTE), F.regexp_extract("text", ATTRIBUTE, 2)).otherwise(F.regexp_extract("text", r"(?s)(\{.*)$", 1)))
+        is_object = F.col("text").rlike(ATTRIBUTE) & F.col("value").rlike(r"(?s)^\{.*\}$") & ~F.col("value").rlike(r"^\{\s*for\b")
+        rows = keep(rows.withColumn("is_object", is_object & ~F.col("value").rlike(r"^\{\s*\}$")), "hcl-members")
+        leaves = rows.filter("NOT is_object").select("path", "block", "key", "value")
+        out = leaves if out is None else out.unionByName(leaves)
+        objects = rows.filter("is_object")
+        if objects.isEmpty():
+            return out
+        # an object is a text of its own, told from others by its place
+        inner = objects.select(F.to_json(F.struct("path", "block", "key")).alias("path"), F.regexp_extract("value", r"(?s)^\{(.*)\}$", 1).alias("text"))
+        found = B.members_of(inner.dropDuplicates(["path"]), "hcl").withColumn("of", F.from_json("path", "path string, block int, key string"))
+        rows = found.select("of.path", "of.block", F.concat("of.key", F.lit(".")).alias("prefix"), F.explode("members").alias("m")).select("path", "block", "prefix", F.col("m.text").alias("text"))
+
+
 def terraform(files: DataFrame) -> DataFrame:
-    """path, line, name: var.x, output.x, data.t.n and t.n of the top-level blocks."""
-    head = r'(?m)^(variable|output|data|resource)\s+"([^"]+)"(?:\s+"([^"]+)")?\s*\{'
-    kind = _group(head, 1)
-    prefix = F.when(kind == "variable", "var").when(kind == "resource", F.lit(None)).otherwise(kind)
-    return _blocks(files, head).select("path", "line", F.concat_ws(".", prefix, _group(head, 2), _group(head, 3)).alias("name"))
+    """path, name, metadata (JSON) of variables, outputs, data sources, resources and the resources' attributes, objects in them flattened to dotted keys."""
+    head = r'(?:^|[\s}])(variable|output|data|resource)\s+"([^"]+)"(?:\s+"([^"]+)")?\s*\{$'
+    blocks = keep(B.declarations(files, "hcl", head).filter("level = 0 AND closed"), "hcl-blocks")
+    part = lambda k: F.nullif(F.regexp_extract("head", head, k), F.lit(""))
+    kind, first, second = part(1), part(2), part(3)
+    own = lambda key: F.get(F.filter(F.transform("members", lambda m: F.when(F.regexp_extract(m["text"], ATTRIBUTE, 1) == key, F.regexp_extract(m["text"], ATTRIBUTE, 2))), lambda v: v.isNotNull()), F.lit(0))
+    blocks = blocks.withColumn("kind", kind).withColumn("first", first).withColumn("second", second)
+    value, yes, col = lambda k: _hcl_value(own(k)), F.lit(True), F.col
+    told = {
+        "resource": [col("first").alias("resource_type"), col("second").alias("resource_name"), yes.alias("is_resource")],
+        "variable": [col("first").alias("variable_name"), F.coalesce(F.regexp_replace(own("type"), '"', ""), F.lit("any")).alias("variable_type"), value("default").alias("default"), value("description").alias("description"), yes.alias("is_variable")],
+        "output": [col("first").alias("output_name"), value("value").alias("value"), value("description").alias("description"), yes.alias("is_output")],
+        "data": [col("first").alias("data_type"), col("second").alias("data_name"), yes.alias("is_data")],
+    }
+    meta = functools.reduce(lambda w, k: w.when(col("kind") == k, F.to_json(F.struct(*told[k]))), told, F)
+    prefix = F.when(col("kind") == "variable", "var").when(col("kind") == "resource", F.lit(None)).otherwise(col("kind"))
+    out = blocks.select("path", F.concat_ws(".", prefix, "first", "second").alias("name"), meta.alias("metadata"))
+    resources = blocks.filter("kind = 'resource'")
+    found = attributes(resources).filter("key <> '' AND NOT startswith(key, '_')").dropDuplicates(["path", "block", "key"]).join(resources.select("path", "block", "first", "second"), ["path", "block"])
+    return out.unionByName(found.select("path", F.concat_ws(".", "first", "second", "key").alias("name"), F.to_json(F.struct(col("first").alias("resource_type"), col("second").alias("resource_name"), col("key").alias("attribute"), _hcl_value(col("value")).alias("value"))).alias("metadata")))

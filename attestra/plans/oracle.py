@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import text_queries
 from .queries import EVENTS, SPLIT, VIEWS
 
 _PAGES = "(SELECT k, name, ret FROM facts) p"
@@ -75,7 +76,8 @@ IN_MODULE = {
         *[("api_endpoint", 29, f"{verb} /parts/<k>", "", None, f'{{"methods":["{verb}"],"endpoint":"/parts/<k>","function_name":"view_<k>"}}') for verb in ("GET", "POST")],
         ("api_endpoint", 50, "GET /items/{item_id}", "", None, '{"methods":["GET"],"endpoint":"/items/{item_id}","function_name":"item_<k>"}'),
         ("api_endpoint", 54, "GET /p<s>/x<k>", "", None, '{"methods":["GET"],"endpoint":"/p<s>/x<k>","blueprint":"pages","function_name":"page_<k>"}')],
-    "facts_of_django": [("api_endpoint", 56, "GET users/<int:pk>/<k>", "", None, '{"view_name":"user-<k>","view_function":"views.user_<k>","parameters":["pk"]}')],
+    "facts_of_django": [
+        ("api_endpoint", 56, "GET users/<int:pk>/<k>", "pk|-|-|path", None, '{"view_name":"user-<k>","view_function":"views.user_<k>","parameters":[{"name":"pk","kind":"path"}]}'), ("api_endpoint", 56, "GET more/", "", None, '{"parameters":[]}')],
     "facts_of_tables": [
         ("table_schema", 36, "rows_<k>.id", "", None, '{"table":"rows_<k>","column_type":"Integer","nullable":true,"primary_key":true,"index":false,"is_relationship":false}'),
         ("table_schema", 37, "rows_<k>.other", "", None, '{"table":"rows_<k>","column_type":"Integer","nullable":false,"primary_key":false,"index":false,"foreign_key":"others.id","is_relationship":false}')],
@@ -88,7 +90,7 @@ def sql() -> dict[str, str]:
     modules = {
         name: _per_part("source_file, kind, line_number, name, parameters, return_type, metadata", [(SOURCES.get(name, "src/m<k>.py"), *r) for r in rows]) for name, rows in IN_MODULE.items()
     }
-    return modules | {
+    return modules | text_queries.SQL | {
         "parameter_diff": _WITH + "SELECT ck, fname, subject, category, severity FROM found",
         "category_histogram": _WITH + "SELECT category, count(*)::BIGINT AS n FROM found GROUP BY category",
         "claim_lookup": _WITH + "SELECT h.ck, h.cname, h.fk, c.ck IS NOT NULL AS compare FROM hits h LEFT JOIN compared c ON c.ck = h.ck",

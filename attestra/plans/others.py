@@ -19,23 +19,31 @@ def _text(value: str | None) -> Column:
     return F.lit(value).cast("string")
 
 
-def _facts(rows: DataFrame, extractor: str, kind: Column | str = "config_key", metadata: list[Column | str] = ("value",), params: Column | None = None, source: str | None = None) -> DataFrame:
+def _facts(
+    rows: DataFrame, extractor: str, kind: Column | str = "config_key", metadata: list[Column | str] = ("value",), params: Column | None = None, source: str | None = None, returns: Column | None = None, module: Column | None = None,
+) -> DataFrame:
     return rows.select(
         "name", (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), (F.lit(source) if source else F.col("path")).alias("source_file"), (F.col("line").cast("int") if "line" in rows.columns else F.lit(1)).alias("line_number"),
-        (params if params is not None else F.array().cast(PARAMS)).alias("parameters"), _text(None).alias("return_type"), F.array().cast("array<string>").alias("decorators"), module_of(F.col("path")).alias("module"), _text(None).alias("docstring"),
-        F.to_json(F.struct(*metadata)).alias("metadata"), F.lit(101).alias("rank"), F.lit(extractor).alias("extractor"))
+        (params if params is not None else F.array().cast(PARAMS)).alias("parameters"), (_text(None) if returns is None else returns).alias("return_type"), F.array().cast("array<string>").alias("decorators"), F.coalesce(*([] if module is None else [module]), module_of(F.col("path"))).alias("module"), _text(None).alias("docstring"),
+        (F.col("metadata") if "metadata" in rows.columns else F.to_json(F.struct(*metadata))).alias("metadata"), F.lit(101).alias("rank"), F.lit(extractor).alias("extractor"))
 
 
-def _param(name: Column, type_: Column, optional: Column, readonly: Column) -> Column:
-    return F.struct(name.alias("name"), type_.alias("type_annotation"), _text(None).alias("default"), F.lit("positional").alias("kind"), optional.alias("is_optional"), readonly.alias("is_readonly"))
+def _param(name: Column, type_: Column, optional: Column, readonly: Column, default: Column | None = None, kind: str = "positional") -> Column:
+    return F.struct(name.alias("name"), type_.alias("type_annotation"), (_text(None) if default is None else default).alias("default"), F.lit(kind).alias("kind"), optional.alias("is_optional"), readonly.alias("is_readonly"))
 
 
 def other_facts(files: DataFrame) -> DataFrame:
     """Facts of TypeScript, GraphQL, OpenAPI, pyproject, Dockerfile, Makefile, dotenv and Terraform files (path, text)."""
     of = lambda *ends: files.filter(F.col("path").rlike("(?:" + "|".join(ends) + ")$"))
-    members = F.transform("members", lambda m: _param(m["name"], m["type"], m["is_optional"], m["is_readonly"])).cast(PARAMS)
-    ts = _facts(D.typescript(of(r"\.tsx?")), "TypeScriptExtractor", F.col("kind"), [F.col("kind").alias("ts_kind"), F.col("expression").alias("type_expression")], members)
-    graphql = _facts(D.graphql(of(r"\.graphql", r"\.gql")), "GraphQLExtractor", F.col("kind"), [F.lower("module").alias("operation_type"), "type", F.col("type").endswith("!").alias("is_required"), F.col("type").startswith("[").alias("is_list")])
+    params = lambda kind: F.transform("members", lambda m: _param(m["name"], m["type"], m["is_optional"], m["is_readonly"], m["default"], kind)).cast(PARAMS)
+    names, shown = F.transform("members", lambda m: m["name"]), F.col("kind") == "ts_enum"
+    ts = _facts(D.typescript(of(r"\.tsx?")), "TypeScriptExtractor", F.col("kind"), [
+        F.upper("kind").alias("ts_kind"), F.when(~shown, names).alias("properties"), F.when(shown, names).alias("members"), F.col("parent").alias("extends"), F.col("expression").alias("type_expression"), "is_const"], params("positional"))
+    gql = D.graphql(of(r"\.graphql", r"\.gql"))
+    called, enum = F.col("kind") == "api_endpoint", F.col("what") == "enum"
+    graphql = _facts(gql, "GraphQLExtractor", F.col("kind"), [
+        F.when(called, F.col("what")).alias("operation_type"), F.col("type").endswith("!").alias("is_required"), F.col("type").contains("[").alias("is_list"), F.when(~called, F.col("what")).alias("graphql_kind"), F.when(enum, names).alias("values")],
+        F.when(enum, F.array().cast(PARAMS)).otherwise(params("keyword")), returns=F.rtrim("type", F.lit("!")), module=F.when(called, F.col("module")))
     api = openapi_facts(of(r"\.ya?ml"))
     api = _facts(api, "OpenAPIExtractor", "api_endpoint", [F.split_part("name", F.lit(" "), F.lit(1)).alias("method"), F.split_part("name", F.lit(" "), F.lit(2)).alias("path"), F.col("path_params").alias("path_param_names")])
     project = _facts(pyproject_facts(of(r"pyproject\.toml")), "PyprojectExtractor")
@@ -47,7 +55,7 @@ def other_facts(files: DataFrame) -> DataFrame:
             (L.dotenv, r"\.env[^/]*", "DotenvExtractor", [F.col("name").alias("env_var"), F.lit("dotenv").alias("source"), F.when(F.col("value").isNull(), "empty").when(F.col("value").rlike(r"^[+-]?\d+(\.\d+)?$"), "number").when(F.lower("value").isin("true", "false"), "boolean").otherwise("string").alias("value_type")]),
         )
     ]
-    terraform = _facts(D.terraform(of(r"\.tf")).withColumn("line", F.lit(0)), "TerraformExtractor", metadata=[F.split_part("name", F.lit("."), F.lit(1)).alias("block")], source="<terraform>")
+    terraform = _facts(D.terraform(of(r"\.tf")).withColumn("line", F.lit(0)), "TerraformExtractor", source="<terraform>")
     out = ts
     for rows in (graphql, api, project, *recipes, terraform):
         out = out.unionByName(rows)

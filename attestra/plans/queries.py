@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.tables import keep
 from ..operators import algebra, match, python_facts
 from ..operators import lines as L
-from ..sources.python_ast import python_nodes
+from ..sources.python_ast import balanced, python_nodes
+from . import text_queries
 from .scan import params_of
 
 
@@ -400,7 +402,7 @@ def _modules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _facts_of(rule: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = python_facts.RULES[rule](python_nodes(_modules(spark, sf_dir)))
+        found = python_facts.RULES[rule](keep(python_nodes(balanced(_modules(spark, sf_dir))), "query-nodes"))
         shown = F.array_join(F.transform("parameters", lambda p: F.concat_ws("|", p["name"], F.coalesce(p["type_annotation"], F.lit("-")), F.coalesce(p["default"], F.lit("-")), p["kind"])), ";")
         return found.select("source_file", "line_number", "name", "kind", shown.alias("parameters"), "return_type", "metadata")
 
@@ -408,7 +410,7 @@ def _facts_of(rule: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def docstring_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = python_facts.docstring_claims(python_nodes(_modules(spark, sf_dir)))
+    found = python_facts.docstring_claims(python_nodes(balanced(_modules(spark, sf_dir))))
     return found.select("doc_file", "line_number", "name", "kind", F.array_join(F.transform("parameters", lambda p: p["name"]), ";").alias("parameters"))
 
 
@@ -448,4 +450,4 @@ NAMES = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in NAMES} | {name: _facts_of(rule) for name, rule in FACT_QUERIES.items()}
+    return {f.__name__: f for f in NAMES} | text_queries.queries() | {name: _facts_of(rule) for name, rule in FACT_QUERIES.items()}

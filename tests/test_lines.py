@@ -1,4 +1,5 @@
 from attestra.operators import lines as L
+from attestra.plans.scan import markdown_claims
 from attestra.sources.files import ignored, read_files
 
 
@@ -13,6 +14,22 @@ def test_markdown(spark):
     assert [r.name for r in L.cli_usages(rows).collect()] == ["tool"]
 
 
+def test_fences(spark):
+    """Signatures over lines, cut at the first closing parenthesis, several in a fence; a fence that stays open holds none."""
+    text = "```py\ndef load(\n    path: str,\n    mode='r',\n) -> int:\n    pass\ndef open_(a, f=(1, 2)):\n  def inner(b): pass\n```\n~~~\ndef no(): pass\n~~~\n```\ndef last()\n```\n```\ndef lost(a): pass\n"
+    rows = L.lines(spark.createDataFrame([("d.md", text), ("n.md", None), ("e.md", "")], "path string, text string"))
+    got = {r.name: (r.line, r.params, r.return_type, r.raw_text) for r in L.fenced_signatures(rows).collect()}
+    assert got == {"load": (2, "\n    path: str,\n    mode='r',\n", "int", "def load(\n    path: str,\n    mode='r',\n) -> int:"), "open_": (7, "a, f=(1, 2", None, "def open_(a, f=(1, 2)"), "last": (14, "", None, "def last()\n"[:-1])}
+    params = {r.name: [(p.name, p.type_annotation, p.default) for p in r.parameters] for r in markdown_claims(spark.createDataFrame([("d.md", text)], "path string, text string")).filter("kind = 'function_signature'").collect()}
+    assert params == {"load": [("path", "str", None), ("mode", None, "'r'")], "open_": [("a", None, None), ("f", None, "(1, 2")], "last": []}
+
+
+def test_usages(spark):
+    text = "$ tool --x\ntool check all --y\ncheck only\n$ ./no\n  make  runner x\ntoolrun"
+    rows = L.lines(spark.createDataFrame([("d.md", text)], "path string, text string"))
+    assert {(r.line, r.name, r.args, r.action) for r in L.cli_usages(rows).collect()} == {(1, "tool", "--x", None), (2, "tool", "all --y", "check"), (5, "make", "ner x", "run")}
+
+
 def test_markdown_tables(spark):
     text = "\n".join([
         "| Flag | Default | Note |", "|---|---|---|", "| -v, --verbose=2 | 5 | -x |", "| --port | 80 | `--no` |", "| `--ticked` | 1 | |", "prose", "",

@@ -1,3 +1,5 @@
+import json
+
 from attestra.operators import other_docs as D
 
 
@@ -8,12 +10,59 @@ def files(spark, text):
 def test_typescript(spark):
     got = {r.name: r for r in D.typescript(files(spark, "// x\nexport interface User extends Base {\n  readonly id: number;\n  name?: string;\n}\nenum Color { Red, Green = 2 }\ntype Id = string | number;\n")).collect()}
     assert [(m.name, m.type, m.is_optional, m.is_readonly) for m in got["User"].members] == [("id", "number", False, True), ("name", "string", True, False)]
-    assert got["User"].line == 2 and [m.name for m in got["Color"].members] == ["Red", "Green"] and got["Id"].expression == "string | number"
+    assert (got["User"].line, got["User"].parent) == (2, "Base") and [(m.name, m.type) for m in got["Color"].members] == [("Red", "0"), ("Green", "2")] and got["Id"].expression == "type Id = string | number;"
+
+
+TS = """// interface Fake { x: number }
+const x = "interface B { y: string }", y = `a {
+`;
+export interface A<T> extends Base, Other<T> {
+  /** doc { brace */
+  readonly a: { b: string; inner: { q: number } };
+  c?: number
+  m: Map<string, number>;
+  u:
+    | 'x{'
+    | "y}";
+  f: (n: number, s: string) => void;
+  greet(name: string): string;
+  [key: string]: unknown;
+}
+export type P = { guest: true; name: string };
+declare namespace N { interface In { z: string[] } }
+export const enum E { Up, Down = 5, Left = "L,{" }
+interface Empty {}
+interface Open { a: string
+"""
+
+
+def test_typescript_blocks(spark):
+    """Nested types, brackets in comments, strings and templates, unions over lines, a namespace, and a block that stays open."""
+    got = {r.name: r for r in D.typescript(files(spark, TS)).collect()}
+    shown = {n: [(m.name, m.type, m.is_optional) for m in r.members] for n, r in got.items()}
+    assert shown == {
+        "A": [("a", "{ b: string; inner: { q: number } }", False), ("c", "number", True), ("m", "Map<string, number>", False), ("u", "| 'x{' | \"y}\"", False), ("f", "(n: number, s: string) => void", False)],
+        "P": [("guest", "true", False), ("name", "string", False)], "In": [("z", "string[]", False)], "E": [("Up", "0", False), ("Down", "5", False), ("Left", "\"L,{\"", False)], "Empty": [], "Open": []}
+    assert (got["A"].parent, got["A"].line, got["E"].is_const, got["E"].line, got["P"].expression) == ("Base, Other<T>", 4, True, 18, "export type P = { guest: true; name: string };")
 
 
 def test_graphql(spark):
-    got = {(r.kind, r.name, r.type) for r in D.graphql(files(spark, "type Query {\n  users(first: Int): [User!]!\n}\ntype User { id: ID }\ninput New {\n  name: String!\n}\nenum Role {\n  ADMIN\n}\n")).collect()}
-    assert got == {("api_endpoint", "users", "[User!]!"), ("class", "New.name", "String!"), ("class", "Role.ADMIN", None)}
+    text = "type Query {\n  users(first: Int): [User!]!\n}\ntype User { id: ID }\ninput New {\n  name: String!\n}\nenum Role {\n  ADMIN\n}\n"
+    got = {(r.kind, r.name, r.module, r.type): [(m.name, m.type) for m in r.members] for r in D.graphql(files(spark, text)).collect()}
+    assert got == {("api_endpoint", "users", "Query", "[User!]!"): [("first", "Int")], ("class", "New", "", None): [("name", "String")], ("class", "Role", "", None): [("ADMIN", None)]}
+
+
+def test_graphql_fields(spark):
+    """Arguments over lines, descriptions and comments with braces, directives, an extension; a field is where it begins."""
+    text = '"""Has { braces }"""\nextend type Mutation @auth {\n  "one {"\n  add(id: ID!, f: F = {a: 1},\n      n: Int = 2): User!\n  # no(x: Int): Y\n  drop: [ID!] @deprecated(reason: "}")\n}\n'
+    got = {r.name: (r.line, r.type, r.what, [(m.name, m.type, m.default) for m in r.members]) for r in D.graphql(files(spark, text)).collect()}
+    assert got == {"add": (4, "User!", "mutation", [("id", "ID", None), ("f", "F", "{a: 1}"), ("n", "Int", "2")]), "drop": (7, "[ID!]", "mutation", [])}
+
+
+def test_empty_texts(spark):
+    odd = spark.createDataFrame([("a", None), ("b", ""), ("c", "}}}((\n"), ("d", "interface L { a: string }\n" + "// {\n" * 20000)], "path string, text string")
+    assert [(r.path, r.name, len(r.members)) for r in D.typescript(odd).collect()] == [("d", "L", 1)]
+    assert D.graphql(odd).count() == 0 and D.terraform(odd).count() == 0
 
 
 def test_jsdoc(spark):
@@ -21,8 +70,15 @@ def test_jsdoc(spark):
     assert got == [("parameter_description", "greet", "who", "string"), ("return_description", "greet", None, "void")]
 
 
-def test_rst_and_terraform(spark):
+def test_rst(spark):
     got = {(r.line, r.kind, r.name) for r in D.rst(files(spark, ".. py:function:: greet(who)\n\n   :param str who: name\n   :returns: x\n\nSee :func:`greet`.\n")).collect()}
     assert got == {(1, "function_signature", "greet"), (3, "parameter_description", "who"), (4, "return_description", "returns"), (6, "function_ref", "greet")}
-    tf = 'variable "region" {\n}\nresource "aws_s3" "b" {\n}\noutput "o" {\n}\n'
-    assert {(r.line, r.name) for r in D.terraform(files(spark, tf)).collect()} == {(1, "var.region"), (3, "aws_s3.b"), (5, "output.o")}
+
+
+def test_terraform(spark):
+    text = 'variable "region" {\n  type = string\n  default = "eu"\n}\n# resource "no" "no" {\nresource "aws_s3" "b" {\n  acl = "a{" # }\n  on = true\n  tags = {\n    Name = "x"\n    "Env" : var.env\n    deep = { k = 1, l = [1,\n 2] }\n  }\n  disk { size = 1 }\n  policy = <<EOF\n{ "a": 1 }\nEOF\n  _own = 1\n}\noutput "o" { value = aws_s3.b.id }\ndata "ami" "u" {}\nvariable "open" {\n'
+    got = {r.name: json.loads(r.metadata) for r in D.terraform(files(spark, text)).collect()}
+    assert {n: m.get("value") for n, m in got.items()} == {
+        "var.region": None, "aws_s3.b": None, "aws_s3.b.acl": "a{", "aws_s3.b.on": "True", "aws_s3.b.tags.Name": "x", "aws_s3.b.tags.Env": "${var.env}", "aws_s3.b.tags.deep.k": "1", "aws_s3.b.tags.deep.l": "[1,\n 2]",
+        "aws_s3.b.disk": "{ size = 1 }", "aws_s3.b.policy": '<<EOF\n{ "a": 1 }\nEOF', "output.o": "${aws_s3.b.id}", "data.ami.u": None}
+    assert (got["var.region"]["default"], got["var.region"]["variable_type"], got["aws_s3.b"]["is_resource"]) == ("eu", "string", True)
