@@ -260,10 +260,25 @@ def dockerfile(files: DataFrame) -> DataFrame:
 
 
 def makefile(files: DataFrame) -> DataFrame:
-    """make:target with its prerequisites as value; special targets are left out."""
+    """make:target with its prerequisites as value, description and phony; special targets are left out.
+
+    A description is the run of comments right above a target, unless another target or its
+    recipe stands right above that; phony targets are those of the file's first such list.
+    """
     pattern = r"^([a-zA-Z_-][\w-]*)\s*:(?!=)\s*(.*)$"
-    rows = continued_raw(files).filter(F.col("text").rlike(pattern))
-    return _facts(rows, F.concat(F.lit("make:"), F.regexp_extract("text", pattern, 1)), F.trim(F.regexp_extract("text", pattern, 2)))
+    rows = continued_raw(files).withColumn("comment", F.ltrim("text").startswith("#"))
+    # a run of comments and the line after it share a number
+    run = F.coalesce(F.sum((~F.col("comment")).cast("int")).over(_in_file().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    told = F.when(F.col("comment"), F.struct("line", F.regexp_replace(F.trim("text"), r"^#+\s*", "").alias("text")))
+    runs = rows.withColumn("run", run).groupBy("path", "run").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(told)), lambda c: c["text"]), " ").alias("above"), F.max("line").alias("line"), F.max_by("text", "line").alias("text"))
+    over = F.lag("text").over(Window.partitionBy("path").orderBy("run"))
+    free = over.isNull() | ~(over.rlike(pattern) | over.rlike(r"^(\t|\.PHONY\s*:)"))
+    listed = F.first(F.when(F.ltrim("text").startswith(".PHONY:"), F.split(F.trim(F.regexp_replace("text", r"^\s*\.PHONY:", "")), r"\s+")), ignorenulls=True).over(Window.partitionBy("path").orderBy("run").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    runs = runs.withColumn("free", free).withColumn("listed", listed).filter(F.col("text").rlike(pattern))
+    target = F.regexp_extract("text", pattern, 1)
+    described = F.when(F.col("free") & (F.col("above") != ""), F.col("above")).otherwise(F.concat(F.lit("Makefile target: "), target))
+    return runs.select("path", "line", F.concat(F.lit("make:"), target).alias("name"), F.nullif(F.trim(F.regexp_extract("text", pattern, 2)), F.lit("")).alias("value"), described.alias("description"), F.coalesce(F.array_contains("listed", target), F.lit(False)).alias("phony"))
 
 
 def continued_raw(files: DataFrame) -> DataFrame:

@@ -1,8 +1,6 @@
-r"""Facts and claims of TypeScript, GraphQL, JSDoc, RST and Terraform texts.
+r"""Facts of TypeScript, GraphQL and Terraform texts: selections over blocks by depth; see blocks.
 
-Whole-file patterns: ``regexp_extract_all`` finds the blocks, a second pattern their
-members.  A block's line is one more than the line feeds before it, counted in the text
-that ``split`` leaves in front.
+Types without a block are found by a pattern over the whole file.
 """
 
 from __future__ import annotations
@@ -15,20 +13,12 @@ from pyspark.sql import functions as F
 
 from ..functions.tables import keep
 from . import blocks as B
+from .lines import occurrences
 
 
 def _blocks(files: DataFrame, pattern: str) -> DataFrame:
     """path, line, block: every match of the pattern."""
-    text = F.col("text")
-    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("own"), F.split(text, pattern, -1).alias("gap"))
-    feeds = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
-    empty = F.array().cast("array<struct<line:int,block:string,after:int>>")
-    found = F.aggregate(pairs, empty, lambda acc, p: F.when(p["own"].isNull(), acc).otherwise(F.concat(acc, F.array(F.struct(
-        (F.when(F.size(acc) > 0, F.element_at(acc, -1)["after"]).otherwise(1) + feeds(p["gap"])).alias("line"),
-        p["own"].alias("block"),
-        (F.when(F.size(acc) > 0, F.element_at(acc, -1)["after"]).otherwise(1) + feeds(p["gap"]) + feeds(p["own"])).alias("after"),
-    )))))
-    return files.filter(text.rlike(pattern)).select("path", F.explode(found).alias("b")).select("path", "b.line", "b.block")
+    return occurrences(files.select("path", "text"), pattern, "path").select("path", (F.col("feeds") + 1).alias("line"), F.col("own").alias("block"))
 
 
 def _group(pattern: str, k: int) -> Column:
@@ -96,28 +86,6 @@ def graphql(files: DataFrame) -> DataFrame:
     return out.unionByName(owned.select("path", "line", F.lit("class").alias("kind"), F.col("owner").alias("name"), F.lit("").alias("module"), F.lit(None).cast("string").alias("type"), "members", "what"))
 
 
-def jsdoc(files: DataFrame) -> DataFrame:
-    """path, line, kind, name (of the function), param, type, description: the tags of a block right before a function."""
-    block = r"/\*\*((?:[^*]|\*(?!/))*)\*/\s{0,15}(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function\s*\*?\s*(\w+)|(?:const|let|var)\s+(\w+)\s*=|(?:static\s+)?(\w+)\s*\([^)]*\)\s*\{)"
-    name = F.coalesce(_group(block, 2), _group(block, 3), _group(block, 4))
-    tag = r"@(param|returns?|type|throws|see)\b[ \t]*(?:\{([^}]*)\})?[ \t]*([^\n@*]*)"
-    rows = _blocks(files, block).withColumn("name", name).withColumn("t", F.explode(F.regexp_extract_all(_group(block, 1), F.lit(tag), F.lit(0))))
-    what, rest = F.regexp_extract("t", tag, 1), F.trim(F.regexp_extract("t", tag, 3))
-    kind = F.when(what == "param", "parameter_description").when(what.startswith("return"), "return_description").otherwise("function_signature")
-    return rows.select("path", "line", kind.alias("kind"), "name", F.when(what == "param", F.regexp_extract(rest, r"^\[?(\w+)", 1)).alias("param"), F.nullif(F.regexp_extract("t", tag, 2), F.lit("")).alias("type"), F.when(what == "param", F.regexp_extract(rest, r"^\S+\s+-?\s*(.*)$", 1)).otherwise(rest).alias("description"))
-
-
-def rst(files: DataFrame) -> DataFrame:
-    """path, line, kind, name: directives, field lists and references of reStructuredText."""
-    text = F.col("text")
-    rows = files.select("path", F.posexplode(F.split(text, "\r?\n")).alias("at", "text")).select("path", (F.col("at") + 1).alias("line"), "text")
-    rule = lambda pattern, kind: rows.filter(F.col("text").rlike(pattern)).select("path", "line", F.lit(kind).alias("kind"), F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("name"))
-    out = rule(r"^\s*\.\. py:(?:function|method|class)::\s*([\w.]+)", "function_signature")
-    for pattern, kind in ((r"^\s*:param\s+(?:[\w\[\], .]+\s+)?(\w+):", "parameter_description"), (r"^\s*:type\s+(\w+):", "parameter_description"), (r"^\s*:(returns?):", "return_description"), (r"^\s*\.\. code-block::\s*(\w*)", "code_example"), (r":(?:func|class|meth|mod):`~?([\w.]+)`", "function_ref"), (r"^\s*\.\. automodule::\s*([\w.]+)", "function_ref")):
-        out = out.unionByName(rule(pattern, kind))
-    return out
-
-
 ATTRIBUTE = r'(?s)^"?([\w.\-/]+)"?\s*[=:]\s*(.+)$'
 
 

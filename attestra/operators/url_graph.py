@@ -54,7 +54,10 @@ def edges(rows: DataFrame, paths: DataFrame) -> DataFrame:
 def walks(rows: DataFrame, paths: DataFrame) -> DataFrame:
     """root, path, before: every way from a module to one that it includes, with the path that leads there; each module reaches itself."""
     steps = keep(edges(rows, paths), "url-edges")
-    at = keep(rows.select("path").distinct().select(F.col("path").alias("root"), "path", F.lit("").alias("before"), F.array("path").alias("seen")), "url-walks")
+    alone = rows.select("path").distinct().select(F.col("path").alias("root"), "path", F.lit("").alias("before"))
+    if steps.isEmpty():
+        return alone
+    at = keep(alone.withColumn("seen", F.array("path")), "url-walks")
     out = at
     while True:
         on = at.join(steps, "path").filter(~F.array_contains("seen", F.col("to")))

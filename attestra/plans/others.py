@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import lines as L
 from ..operators import other_docs as D
 from ..operators.python_facts import module_of
-from ..sources.config_files import openapi_facts, pyproject_facts
+from ..operators.jsdoc import jsdoc
+from ..operators.rst import rst
+from ..sources.config_files import openapi_facts, pyproject_facts, yaml_facts
 from .schema import PARAMS
 
 #: Ends of the names of files that a full scan reads besides.
@@ -32,42 +36,67 @@ def _param(name: Column, type_: Column, optional: Column, readonly: Column, defa
     return F.struct(name.alias("name"), type_.alias("type_annotation"), (_text(None) if default is None else default).alias("default"), F.lit(kind).alias("kind"), optional.alias("is_optional"), readonly.alias("is_readonly"))
 
 
-def other_facts(files: DataFrame) -> DataFrame:
-    """Facts of TypeScript, GraphQL, OpenAPI, pyproject, Dockerfile, Makefile, dotenv and Terraform files (path, text)."""
-    of = lambda *ends: files.filter(F.col("path").rlike("(?:" + "|".join(ends) + ")$"))
-    params = lambda kind: F.transform("members", lambda m: _param(m["name"], m["type"], m["is_optional"], m["is_readonly"], m["default"], kind)).cast(PARAMS)
-    names, shown = F.transform("members", lambda m: m["name"]), F.col("kind") == "ts_enum"
-    ts = _facts(D.typescript(of(r"\.tsx?")), "TypeScriptExtractor", F.col("kind"), [
-        F.upper("kind").alias("ts_kind"), F.when(~shown, names).alias("properties"), F.when(shown, names).alias("members"), F.col("parent").alias("extends"), F.col("expression").alias("type_expression"), "is_const"], params("positional"))
-    gql = D.graphql(of(r"\.graphql", r"\.gql"))
+def _typescript(files: DataFrame) -> DataFrame:
+    names, enum = F.transform("members", lambda m: m["name"]), F.col("kind") == "ts_enum"
+    told = [F.upper("kind").alias("ts_kind"), F.when(~enum, names).alias("properties"), F.when(enum, names).alias("members"), F.col("parent").alias("extends"), F.col("expression").alias("type_expression"), "is_const"]
+    return _facts(D.typescript(files), "TypeScriptExtractor", F.col("kind"), told, _members("positional"))
+
+
+def _members(kind: str) -> Column:
+    return F.transform("members", lambda m: _param(m["name"], m["type"], m["is_optional"], m["is_readonly"], m["default"], kind)).cast(PARAMS)
+
+
+def _graphql(files: DataFrame) -> DataFrame:
     called, enum = F.col("kind") == "api_endpoint", F.col("what") == "enum"
-    graphql = _facts(gql, "GraphQLExtractor", F.col("kind"), [
-        F.when(called, F.col("what")).alias("operation_type"), F.col("type").endswith("!").alias("is_required"), F.col("type").contains("[").alias("is_list"), F.when(~called, F.col("what")).alias("graphql_kind"), F.when(enum, names).alias("values")],
-        F.when(enum, F.array().cast(PARAMS)).otherwise(params("keyword")), returns=F.rtrim("type", F.lit("!")), module=F.when(called, F.col("module")))
-    api = openapi_facts(of(r"\.ya?ml"))
-    api = _facts(api, "OpenAPIExtractor", "api_endpoint", [F.split_part("name", F.lit(" "), F.lit(1)).alias("method"), F.split_part("name", F.lit(" "), F.lit(2)).alias("path"), F.col("path_params").alias("path_param_names")])
-    project = _facts(pyproject_facts(of(r"pyproject\.toml")), "PyprojectExtractor")
-    recipes = [
-        _facts(rule(of(end)), name, metadata=[F.col("value"), *more])
-        for rule, end, name, more in (
-            (L.dockerfile, "Dockerfile", "DockerfileExtractor", [F.upper(F.split_part("name", F.lit("."), F.lit(1))).alias("instruction")]),
-            (L.makefile, r"Makefile|\.mk", "MakefileExtractor", [F.substring("name", 6, 1 << 30).alias("target"), F.split("value", r"\s+").alias("prerequisites")]),
-            (L.dotenv, r"\.env[^/]*", "DotenvExtractor", [F.col("name").alias("env_var"), F.lit("dotenv").alias("source"), F.when(F.col("value").isNull(), "empty").when(F.col("value").rlike(r"^[+-]?\d+(\.\d+)?$"), "number").when(F.lower("value").isin("true", "false"), "boolean").otherwise("string").alias("value_type")]),
-        )
-    ]
-    terraform = _facts(D.terraform(of(r"\.tf")).withColumn("line", F.lit(0)), "TerraformExtractor", source="<terraform>")
-    out = ts
-    for rows in (graphql, api, project, *recipes, terraform):
-        out = out.unionByName(rows)
+    told = [
+        F.when(called, F.col("what")).alias("operation_type"), F.col("type").endswith("!").alias("is_required"), F.col("type").contains("[").alias("is_list"), F.when(~called, F.col("what")).alias("graphql_kind"),
+        F.when(enum, F.transform("members", lambda m: m["name"])).alias("values")]
+    return _facts(D.graphql(files), "GraphQLExtractor", F.col("kind"), told, F.when(enum, F.array().cast(PARAMS)).otherwise(_members("keyword")), returns=F.rtrim("type", F.lit("!")), module=F.when(called, F.col("module")))
+
+
+def _terraform(files: DataFrame) -> DataFrame:
+    return _facts(D.terraform(files).withColumn("line", F.lit(0)), "TerraformExtractor", source="<terraform>")
+
+
+def _dockerfile(files: DataFrame) -> DataFrame:
+    return _facts(L.dockerfile(files), "DockerfileExtractor", metadata=["value", F.upper(F.split_part("name", F.lit("."), F.lit(1))).alias("instruction")])
+
+
+def _makefile(files: DataFrame) -> DataFrame:
+    return _facts(L.makefile(files), "MakefileExtractor", metadata=["value", F.substring("name", 6, 1 << 30).alias("target"), "description", F.when(F.col("phony"), True).alias("phony"), F.split("value", r"\s+").alias("prerequisites")])
+
+
+def _dotenv(files: DataFrame) -> DataFrame:
+    kind = F.when(F.col("value").isNull(), "empty").when(F.col("value").rlike(r"^[+-]?\d+(\.\d+)?$"), "number").when(F.lower("value").isin("true", "false"), "boolean").otherwise("string")
+    return _facts(L.dotenv(files), "DotenvExtractor", metadata=["value", F.col("name").alias("env_var"), F.lit("dotenv").alias("source"), kind.alias("value_type")])
+
+
+#: Rules over texts, by the ends of the paths that they read.
+RULES = {r"\.tsx?$": _typescript, r"\.(graphql|gql)$": _graphql, r"\.tf$": _terraform, r"Dockerfile$": _dockerfile, r"(Makefile|\.mk)$": _makefile, r"\.env[^/]*$": _dotenv}
+
+
+def _present(files: DataFrame, patterns: list[str]) -> set[str]:
+    """Which of the patterns any path fits, so that rules without files plan nothing."""
+    found = files.agg(*[F.bool_or(F.col("path").rlike(p)).alias(str(i)) for i, p in enumerate(patterns)]).first()
+    return {p for i, p in enumerate(patterns) if found[i]}
+
+
+def other_facts(files: DataFrame, docs: DataFrame) -> DataFrame:
+    """Facts of TypeScript, GraphQL, Dockerfile, Makefile, dotenv and Terraform files (path, text), and of the documents of configuration files: operations of OpenAPI, items of YAML, the keys of a project."""
+    plain = docs.filter(~F.col("path").endswith(".toml"))
+    out = _facts(pyproject_facts(docs), "PyprojectExtractor").unionByName(openapi_facts(plain)).unionByName(yaml_facts(plain))
+    there = _present(files, list(RULES))
+    for pattern, rule in RULES.items():
+        if pattern in there:
+            out = out.unionByName(rule(files.filter(F.col("path").rlike(pattern))))
     return out
 
 
-def other_claims(files: DataFrame) -> DataFrame:
-    """Claims of JSDoc blocks - a signature with the parameters for each function, what it returns - and of reStructuredText."""
-    js = D.jsdoc(files.filter(F.col("path").rlike(r"\.[jt]sx?$")))
-    place = F.array_sort(F.collect_list(F.when(F.col("kind") == "parameter_description", F.struct("at", "param", "type"))))
-    told = js.withColumn("at", F.monotonically_increasing_id()).groupBy("path", "line", "name").agg(place.alias("params"), F.max(F.when(F.col("kind") == "return_description", F.col("type"))).alias("returns"))
-    params = F.transform("params", lambda p: _param(p["param"], p["type"], F.lit(False), F.lit(False))).cast(PARAMS)
-    signatures = told.select("path", "line", F.lit("function_signature").alias("kind"), "name", params.alias("parameters"), F.col("returns").alias("return_type"), F.lit('{"source":"jsdoc"}').alias("metadata"))
-    rst = D.rst(files.filter(F.col("path").endswith(".rst"))).select("path", "line", "kind", "name", F.array().cast(PARAMS).alias("parameters"), _text(None).alias("return_type"), F.lit('{"source":"rst"}').alias("metadata"))
-    return signatures.unionByName(rst).select(F.col("name").alias("raw_text"), "kind", F.col("path").alias("doc_file"), F.col("line").cast("int").alias("line_number"), "name", "parameters", "return_type", "metadata", F.lit(0).alias("rule"))
+def other_claims(files: DataFrame, params_of: Callable[[Column], Column]) -> DataFrame:
+    """Claims of JSDoc blocks and of reStructuredText."""
+    script, document = r"\.[jt]sx?$", r"\.rst$"
+    there = _present(files, [script, document])
+    told = jsdoc(files.filter(F.col("path").rlike(script)))
+    if document in there:
+        told = told.unionByName(rst(files.filter(F.col("path").rlike(document)), params_of))
+    return told.select("raw_text", "kind", F.col("path").alias("doc_file"), F.col("line").alias("line_number"), "name", "parameters", "return_type", "metadata", "rule")

@@ -438,7 +438,7 @@ def _recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def build_file_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _recipes(spark, sf_dir)
-    found = L.dockerfile(files.filter("path LIKE '%Dockerfile'")).unionByName(L.makefile(files.filter("path LIKE '%Makefile'"))).unionByName(L.dotenv(files.filter("path LIKE '%.env'")))
+    found = L.dockerfile(files.filter("path LIKE '%Dockerfile'")).unionByName(L.makefile(files.filter("path LIKE '%Makefile'")).select("path", "line", "name", "value")).unionByName(L.dotenv(files.filter("path LIKE '%.env'")))
     return found.select("path", F.col("line").cast("int").alias("line"), "name", "value")
 
 

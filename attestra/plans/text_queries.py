@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 from ..functions.tables import keep
 from ..operators import lines as L
 from ..operators import other_docs as D
+from ..operators.jsdoc import jsdoc
 from ..operators.python_facts import django_urls
+from ..operators.rst import rst
+from ..sources.config_files import documents, operations, yaml_facts
 from ..sources.python_ast import balanced, python_nodes
 from .scan import params_of
 
@@ -40,6 +43,10 @@ def _files(items: DataFrame, line: Column, ending: str, before: Column, after: C
     return lines.select("k", _cat("src/o", "@k", ending).alias("path"), F.concat(before, "lines", after).alias("text"))
 
 
+def _shown(params: Column | str) -> Column:
+    return F.array_join(F.transform(params, lambda p: F.concat_ws("|", p["name"], F.coalesce(p["type_annotation"], F.lit("-")), F.coalesce(p["default"], F.lit("-")))), ";")
+
+
 # --- TypeScript ------------------------------------------------------------------------------
 
 
@@ -154,8 +161,7 @@ def _fences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def markdown_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signatures of fences with their lines, parameters and what suppresses them."""
     found = L.fenced_signatures(L.lines(_fences(spark, sf_dir)))
-    shown = F.array_join(F.transform(params_of(F.col("params")), lambda p: F.concat_ws("|", p["name"], F.coalesce(p["type_annotation"], F.lit("-")), F.coalesce(p["default"], F.lit("-")))), ";")
-    return found.select("path", "line", "name", shown.alias("parameters"), "return_type", "suppressed")
+    return found.select("path", "line", "name", _shown(params_of(F.col("params"))).alias("parameters"), "return_type", "suppressed")
 
 
 FENCES_SQL = f"""
@@ -209,8 +215,134 @@ SELECT 'GET ' || before || route AS name, line, view_name, view_function, parame
 """
 
 
-NAMES = (typescript_members, graphql_members, terraform_keys, markdown_fences, url_includes)
-SQL = {"typescript_members": TYPESCRIPT_SQL, "graphql_members": GRAPHQL_SQL, "terraform_keys": TERRAFORM_SQL, "markdown_fences": FENCES_SQL, "url_includes": URLS_SQL}
+# --- reStructuredText ------------------------------------------------------------------------
+
+
+def _rst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A class with a method for each line of the order: fields of one or two lines, an inner note, code and literal blocks, roles."""
+    method = _cat(
+        "\n   .. py:method:: C", "@k", ".m", "@n", "(a", F.when(F.col("q") % 2 == 0, _cat(", b: int = ", "@q")).otherwise(""), ")", F.when(F.col("q") % 3 == 0, " -> str").otherwise(""), "\n\n      :param a: first",
+        F.when(F.col("s") % 2 == 0, _cat("\n         and ", "@s")).otherwise(""), "\n      :type a: ", "@flag", "\n", F.when(F.col("q") % 2 == 0, "      .. note::\n\n         :param b: inner\n").otherwise(""), F.when(F.col("s") % 3 == 0, _cat("      :returns: r", "@q", "\n")).otherwise(""))
+    before = _cat("Title\n=====\n\n:param lost: no owner\n\n.. py:class:: C", "@k", "\n   :module: x\n")
+    after = _cat(
+        "\nExample::\n\n    # note(1)\n    x = 1\n\n    run", F.col("k") % 5, "(2)\n\nout(4)\n\n.. code-block:: python\n\n   def f", F.col("k") % 3, "(a):\n       g(b)\n\nSee :func:`~a.b.C", "@k", "` and :mod:`a.b`.\n\n.. automodule:: pkg.m", "@k", "\n   :members:\n\n   alpha\n   beta", F.col("k") % 2, "\n")
+    return _files(_items(spark, sf_dir), method, ".rst", before, after)
+
+
+def rst_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directives and the fields that they own, blocks, references, modules."""
+    found = rst(_rst(spark, sf_dir), params_of)
+    told = lambda key: F.get_json_object("metadata", f"$.{key}")
+    return found.select("path", "kind", "name", _shown("parameters").alias("parameters"), "return_type", told("description").alias("description"), told("directive").alias("directive"), F.coalesce(told("source"), F.lit("")).alias("source"))
+
+
+RST_SQL = f"""
+WITH {ITEMS}, files AS (SELECT DISTINCT k, 'src/o' || k || '.rst' AS path FROM items), methods AS (SELECT *, 'src/o' || k || '.rst' AS path, 'C' || k || '.m' || n AS name FROM items)
+SELECT path, 'function_signature' AS kind, 'C' || k AS name, '' AS parameters, NULL AS return_type, NULL AS description, NULL AS directive, '' AS source FROM files
+UNION ALL SELECT path, 'function_signature', name, 'a|-|-' || CASE WHEN q % 2 = 0 THEN ';b|int|' || q ELSE '' END, CASE WHEN q % 3 = 0 THEN 'str' END, NULL, NULL, '' FROM methods
+UNION ALL SELECT path, 'parameter_description', 'a', 'a|' || flag || CASE WHEN q % 2 = 0 THEN E'\\n.. note::' ELSE '' END || '|-', NULL, 'first' || CASE WHEN s % 2 = 0 THEN E'\\nand ' || s ELSE '' END, name, '' FROM methods
+UNION ALL SELECT path, 'parameter_description', 'b', 'b|-|-', NULL, 'inner', name, '' FROM methods WHERE q % 2 = 0
+UNION ALL SELECT path, 'return_description', name, '', NULL, 'r' || q, name, '' FROM methods WHERE s % 3 = 0
+UNION ALL SELECT path, 'code_example', 'run' || (k % 5), '', NULL, NULL, NULL, 'literal-block' FROM files
+UNION ALL SELECT path, 'code_example', 'f' || (k % 3), '', NULL, NULL, NULL, 'code-block' FROM files
+UNION ALL SELECT path, 'function_ref', 'C' || k, '', NULL, NULL, NULL, 'cross_ref' FROM files
+UNION ALL SELECT path, 'function_ref', 'a.b', '', NULL, NULL, NULL, 'cross_ref' FROM files
+UNION ALL SELECT path, 'function_ref', unnest(['pkg.m' || k, 'alpha', 'beta' || (k % 2)]), '', NULL, NULL, NULL, 'automodule' FROM files
+"""
+
+
+# --- JSDoc -----------------------------------------------------------------------------------
+
+
+def _jsdoc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions of several forms, with blocks right before them, too far away, without tags, or without a block."""
+    block = F.when(F.col("q") % 4 == 0, _cat("/**\n * @param {", "@flag", "} a - first\n * @returns {void} none\n */\n")).when(F.col("q") % 4 == 1, _cat("/** Bare ", "@q", ". */\n")).when(F.col("q") % 4 == 2, _cat("/** far */\n// ", "@s", " stands between them\n")).otherwise("")
+    form = F.when(F.col("s") % 3 == 0, _cat("const f", "@n", " = (a, b: T = ", "@s", ") => a;\n")).when(F.col("s") % 3 == 1, _cat("async function f", "@n", "(a) { }\n")).otherwise(_cat("const f", "@n", " = function(a) { };\n"))
+    return _files(_items(spark, sf_dir), _cat(block, F.when(F.col("n") % 2 == 0, "export ").otherwise(""), form, "\n"), ".js", F.lit("// start\n"), F.lit(""))
+
+
+def jsdoc_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which block each function has, and what its tags claim."""
+    found = jsdoc(_jsdoc(spark, sf_dir))
+    told = lambda key: F.get_json_object("metadata", f"$.{key}")
+    return found.select("path", "line", "kind", "name", "raw_text", _shown("parameters").alias("parameters"), "return_type", told("category").alias("category"), told("description").alias("description"))
+
+
+JSDOC_SQL = f"""
+WITH {ITEMS},
+texts AS (
+  SELECT *, CASE q % 4 WHEN 0 THEN '/**' || chr(10) || ' * @param {{' || flag || '}} a - first' || chr(10) || ' * @returns {{void}} none' || chr(10) || ' */' WHEN 1 THEN '/** Bare ' || q || '. */' WHEN 2 THEN '/** far */' END AS block,
+         CASE q % 4 WHEN 2 THEN chr(10) || '// ' || s || ' stands between them' || chr(10) WHEN 3 THEN '' ELSE chr(10) END || CASE WHEN n % 2 = 0 THEN 'export ' ELSE '' END AS gap,
+         CASE s % 3 WHEN 0 THEN 'const f' || n || ' = (a, b: T = ' || s || ') => a;' WHEN 1 THEN 'async function f' || n || '(a) {{ }}' ELSE 'const f' || n || ' = function(a) {{ }};' END || chr(10) || chr(10) AS form
+  FROM items),
+placed AS (
+  SELECT *, 9 + coalesce(sum(length(coalesce(block, '') || gap || form)) OVER w, 0) AS begins, 2 + coalesce(sum(length(coalesce(block, '') || gap || form) - length(replace(coalesce(block, '') || gap || form, chr(10), ''))) OVER w, 0) AS line FROM texts
+  WINDOW w AS (PARTITION BY k ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+blocks AS (SELECT k, n, block, line, begins + length(block) AS stop FROM placed WHERE block IS NOT NULL),
+starts AS (
+  SELECT k, n, q, s, flag, 'f' || n AS name, begins + length(coalesce(block, '') || gap) AS place, line + length(coalesce(block, '') || gap) - length(replace(coalesce(block, '') || gap, chr(10), '')) AS own_line, n % 2 = 0 AS exported FROM placed
+  UNION ALL SELECT k, n, q, s, flag, CASE s % 3 WHEN 1 THEN 'f' || n ELSE 'function' END, begins + length(coalesce(block, '') || gap) + CASE s % 3 WHEN 1 THEN 15 ELSE 10 + length('' || n) END, 0, false FROM placed WHERE s % 3 <> 0),
+near AS (SELECT a.*, b.block, b.line, b.stop FROM starts a ASOF LEFT JOIN blocks b ON a.k = b.k AND a.place >= b.stop - 1),
+met AS (SELECT *, 'src/o' || k || '.js' AS path, block IS NOT NULL AND place - (stop - 1) <= 15 AS has, 'a|-|-' || CASE WHEN s % 3 = 0 THEN ';b|T|' || s ELSE '' END AS params FROM near)
+SELECT path, line::INT AS line, 'parameter_description' AS kind, name, '@param ' || flag || ' a - first' AS raw_text, 'a|-|-' AS parameters, NULL AS return_type, NULL AS category, 'first' AS description FROM met WHERE has AND block LIKE '%@param%'
+UNION ALL SELECT path, line::INT, 'return_description', name, '@returns {{void}} none', '', 'void', NULL, 'none' FROM met WHERE has AND block LIKE '%@param%'
+UNION ALL SELECT path, line::INT, 'function_signature', name, trim(block[4:-3]), params, NULL, 'docstring', trim(block[4:-3]) FROM met WHERE has AND block NOT LIKE '%@param%'
+UNION ALL SELECT path, own_line::INT, 'function_signature', name, '', params, NULL, 'no_jsdoc', NULL FROM met WHERE NOT coalesce(has, false) AND exported
+"""
+
+
+# --- OpenAPI and YAML ------------------------------------------------------------------------
+
+
+def _specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Specifications with a path for each line of the order, parameters of the path and of its operations; every fifth file does not parse."""
+    path = _cat("  /p", "@n", "/{id}:\n", F.when(F.col("q") % 2 == 0, _cat("    parameters:\n      - {name: id, in: path, required: true, schema: {type: integer}}\n")).otherwise(""), F.when(F.col("s") % 2 == 0, "    get").otherwise("    post"), ":\n      operationId: op", "@q", "\n",
+                F.when(F.col("q") % 3 == 0, _cat("      summary: \"s: ", "@flag", "\"\n      parameters: [{name: q, in: query, description: d", "@s", "}]\n")).otherwise(""), "    x-note: {get: {a: 1}}\n")
+    before = F.when(F.col("k") % 2 == 0, _cat("openapi: 3.0.", F.col("k") % 4, "\nservers: [{url: \"https://h", F.col("k") % 3, "/v1/\"}]\npaths:\n")).otherwise(_cat("swagger: '2.0'\nbasePath: /b", F.col("k") % 3, "/\npaths:\n"))
+    return _files(_items(spark, sf_dir), path, ".yaml", before, F.when(F.col("k") % 5 == 0, "bad: [1\n").otherwise(""))
+
+
+def openapi_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operations with what they say and the parameters of their paths and their own."""
+    found = operations(documents(balanced(_specs(spark, sf_dir))))
+    shown = F.array_join(F.transform("given", lambda p: F.concat_ws("|", p["name"], p["in"], p["description"], p["required"].cast("string"))), ";")
+    return found.select("path", "name", "method", "operation_id", "summary", shown.alias("parameters"), F.array_join("path_param_names", ";").alias("path_params"), "openapi_version")
+
+
+OPENAPI_SQL = f"""
+WITH {ITEMS}
+SELECT 'src/o' || k || '.yaml' AS path, upper(m) || ' ' || CASE WHEN k % 2 = 0 THEN 'https://h' || (k % 3) || '/v1' ELSE '/b' || (k % 3) END || '/p' || n || '/{{id}}' AS name, upper(m) AS method, 'op' || q AS operation_id, CASE WHEN q % 3 = 0 THEN 's: ' || flag ELSE '' END AS summary,
+       concat_ws(';', CASE WHEN q % 2 = 0 THEN 'id|path||true' END, CASE WHEN q % 3 = 0 THEN 'q|query|d' || s || '|false' END) AS parameters, 'id' AS path_params, CASE WHEN k % 2 = 0 THEN '3.0.' || (k % 4) ELSE '2.0' END AS openapi_version
+FROM (SELECT *, CASE WHEN s % 2 = 0 THEN 'get' ELSE 'post' END AS m FROM items) WHERE k % 5 <> 0
+"""
+
+
+def yaml_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier as a YAML file of one of four kinds, with lists by number."""
+    k = F.col("s_suppkey")
+    head = F.when(k % 4 == 0, "services:\n  db: {image: x}\nkind: y\n").when(k % 4 == 1, _cat("stages: [a, ", k, "]\n")).when(k % 4 == 2, "apiVersion: v1\n").otherwise("")
+    text = _cat(head, "size: ", "@s_nationkey", "\nnested: {list: [{a: 1.5}, null, [true]]}\n")
+    files = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(_cat("conf/", k, ".yml").alias("path"), text.alias("text"))
+    told = lambda key: F.get_json_object("metadata", f"$.{key}")
+    return yaml_facts(documents(balanced(files))).select(F.col("source_file").alias("path"), "name", told("value").alias("value"), told("value_type").alias("value_type"), told("yaml_kind").alias("yaml_kind"))
+
+
+YAML_SQL = """
+WITH s AS (SELECT *, 'conf/' || s_suppkey || '.yml' AS path, ['docker-compose', 'gitlab-ci', 'kubernetes', 'generic'][s_suppkey % 4 + 1] AS yaml_kind FROM supplier),
+own AS (
+  SELECT 0 AS r, 'services.db.image' AS name, '''x''' AS value, 'str' AS value_type UNION ALL SELECT 0, 'kind', '''y''', 'str' UNION ALL SELECT 1, 'stages.0', '''a''', 'str' UNION ALL SELECT 2, 'apiVersion', '''v1''', 'str')
+SELECT path, name, value, value_type, yaml_kind FROM s JOIN own ON r = s_suppkey % 4
+UNION ALL SELECT path, 'stages.1', s_suppkey::VARCHAR, 'int', yaml_kind FROM s WHERE s_suppkey % 4 = 1
+UNION ALL SELECT path, 'size', s_nationkey::VARCHAR, 'int', yaml_kind FROM s
+UNION ALL SELECT path, n, v, t, yaml_kind FROM s, (VALUES ('nested.list.0.a', '1.5', 'float'), ('nested.list.1', 'None', 'null'), ('nested.list.2', '[True]', 'list')) x(n, v, t)
+"""
+
+
+NAMES = (typescript_members, graphql_members, terraform_keys, markdown_fences, url_includes, rst_claims, jsdoc_claims, openapi_operations, yaml_items)
+SQL = {
+    "typescript_members": TYPESCRIPT_SQL, "graphql_members": GRAPHQL_SQL, "terraform_keys": TERRAFORM_SQL, "markdown_fences": FENCES_SQL, "url_includes": URLS_SQL, "rst_claims": RST_SQL, "jsdoc_claims": JSDOC_SQL, "openapi_operations": OPENAPI_SQL,
+    "yaml_items": YAML_SQL,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

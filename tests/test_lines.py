@@ -88,3 +88,10 @@ def test_watch_sees_every_change(spark, tmp_path):
     (root / "a.py").unlink()
     run()
     assert [s[0] for s in seen] == [["added"], ["added"], ["deleted"]] and [s[1] for s in seen] == [1, 2, 1]
+
+
+def test_makefile_descriptions(spark):
+    text = ".PHONY: build test\n.PHONY: late\n# builds\n## it all\nbuild: a b\n\tgo\n# after the recipe\ntest:\n\n# far\n\nlate:\nX = 1\n# own\nfree: build\n"
+    got = {r.name: (r.line, r.value, r.description, r.phony) for r in L.makefile(spark.createDataFrame([("Makefile", text), ("n.mk", None)], "path string, text string")).collect()}
+    assert got == {
+        "make:build": (5, "a b", "Makefile target: build", True), "make:test": (8, None, "Makefile target: test", True), "make:late": (12, None, "Makefile target: late", False), "make:free": (15, "build", "own", False)}

@@ -1,6 +1,10 @@
 import json
 
 from attestra.operators import other_docs as D
+from attestra.operators.jsdoc import jsdoc
+from attestra.operators.rst import rst
+from attestra.plans.scan import params_of
+from attestra.sources.config_files import config_errors, config_facts, documents, openapi_facts, yaml_facts
 
 
 def files(spark, text):
@@ -66,13 +70,133 @@ def test_empty_texts(spark):
 
 
 def test_jsdoc(spark):
-    got = sorted((r.kind, r.name, r.param, r.type) for r in D.jsdoc(files(spark, "/**\n * Greets.\n * @param {string} who - name\n * @returns {void} nothing\n */\nexport function greet(who) {}\n")).collect())
-    assert got == [("parameter_description", "greet", "who", "string"), ("return_description", "greet", None, "void")]
+    text = """/**
+ * Greets.
+ * @param {string} who - name
+ * @param {number} [n=2] - count
+ * @returns {void} nothing
+ * @throws {Error} bad
+ */
+export function greet(who, n = 2) {}
+
+/** Just text. */
+const add = (a: number, b: string = "x") => a;
+
+/** far */
+// this is a long comment line
+function lost(a) {}
+
+export const g = function(x) { return x };
+export async function noDoc(...rest) {}
+class C {
+  /** @name other
+   * @type {Map} m */
+  run({ a, b: T }) { }
+}
+/** near */ function f() {
+}
+"""
+    got = sorted((r.line, r.kind, r.name, r.raw_text, [(p.name, p.type_annotation, p.default) for p in r.parameters], r.return_type) for r in jsdoc(files(spark, text)).collect())
+    sig, both = "function_signature", [("who", None, None), ("n", None, "2")]
+    assert got == sorted([
+        (1, "parameter_description", "greet", "@param string who - name", both[:1], None), (1, "parameter_description", "greet", "@param number n - count", both[1:], None), (1, "return_description", "greet", "@returns {void} nothing", [], "void"),
+        (1, sig, "greet", "@throws {Error} bad", both, None), (10, sig, "add", "Just text.", [("a", "number", None), ("b", "string", '"x"')], None), (17, sig, "g", "", [("x", None, None)], None), (18, sig, "noDoc", "", [("...rest", None, None)], None),
+        (20, sig, "other", "@type {Map} m", [("a", None, None), ("b", "T", None)], "Map"), (24, sig, "f", "near", [], None), (24, sig, "f", "near", [], None)])
+    assert jsdoc(spark.createDataFrame([("a", None), ("b", ""), ("c", "/** open")], "path string, text string")).count() == 0
+
+
+RST = """Title
+=====
+
+:param lost: nobody's
+
+.. py:function:: greet(who, n: int = 2) -> str
+
+   Says it.
+
+   :param who: name of
+     somebody
+   :type who: str
+   :param str n: count
+
+   .. note::
+
+      :param deep: inner
+   :returns: text
+
+.. py:class:: K
+
+   .. py:method:: K.m(a)
+
+      :param a: first
+
+Example::
+
+    # no(1)
+    x = 1
+    run(2)
+
+out(4)
+
+.. code-block:: python
+
+   def f(a):
+       g(b)
+
+See :func:`~a.b.greet` and :mod:`a.b`.
+
+.. automodule:: pkg.mod
+   :members:
+
+   alpha
+"""
 
 
 def test_rst(spark):
-    got = {(r.line, r.kind, r.name) for r in D.rst(files(spark, ".. py:function:: greet(who)\n\n   :param str who: name\n   :returns: x\n\nSee :func:`greet`.\n")).collect()}
-    assert got == {(1, "function_signature", "greet"), (3, "parameter_description", "who"), (4, "return_description", "returns"), (6, "function_ref", "greet")}
+    """Fields belong to the innermost directive, blocks end where their indentation does."""
+    got = {(r.line, r.kind, r.name, tuple((p.name, p.type_annotation) for p in r.parameters), json.loads(r.metadata).get("directive")) for r in rst(files(spark, RST), params_of).collect()}
+    assert got == {
+        (6, "function_signature", "greet", (("who", None), ("n", "int")), None), (10, "parameter_description", "who", (("who", "str"),), "greet"), (13, "parameter_description", "n", (("n", None),), "greet"),
+        (17, "parameter_description", "deep", (("deep", None),), "greet"), (18, "return_description", "greet", (), "greet"), (20, "function_signature", "K", (), None), (22, "function_signature", "K.m", (("a", None),), None),
+        (24, "parameter_description", "a", (("a", None),), "K.m"), (26, "code_example", "run", (), None), (34, "code_example", "f", (), None), (39, "function_ref", "greet", (), None), (39, "function_ref", "a.b", (), None),
+        (41, "function_ref", "pkg.mod", (), None), (41, "function_ref", "alpha", (), None)}
+    texts = {r.name: json.loads(r.metadata)["description"] for r in rst(files(spark, RST), params_of).filter("kind = 'parameter_description'").collect()}
+    assert texts["who"] == "name of\nsomebody" and texts["a"] == "first"
+    assert rst(spark.createDataFrame([("a", None), ("b", ""), ("c", "\n \n")], "path string, text string"), params_of).count() == 0
+
+
+SPEC = """openapi: "3.0.1"
+servers: [{url: "https://x/v1/"}]
+paths:
+  /users/{id}:
+    parameters:
+      - {name: id, in: path, required: true, schema: {type: integer}}
+    get:
+      operationId: getUser
+      parameters: [{name: q, in: query}, nope]
+    delete: {parameters: nope}
+    x-ext: {get: {}}
+  /b.c/get.x:
+    post: {description: d}
+    put: nope
+  /bad: 3
+"""
+
+
+def test_config_documents(spark):
+    """Operations keep what they say; kinds of YAML; what does not parse is a row."""
+    texts = [("a.yaml", SPEC), ("b.yml", "swagger: '2.0'\nbasePath: /api/\npaths: {/x: {get: {}}}\n"), ("c.yml", "services:\nl: [1, {b: [2]}]"), ("d.yml", "a: [1\n"), ("e.yml", None), ("q.yml", "paths: []"), ("f.toml", "x = 1979-05-27\n"), ("g.toml", "x =")]
+    docs = documents(spark.createDataFrame(texts, "path string, text string")).cache()
+    got = {r.name: json.loads(r.metadata) for r in openapi_facts(docs).collect()}
+    assert set(got) == {"GET https://x/v1/users/{id}", "DELETE https://x/v1/users/{id}", "POST https://x/v1/b.c/get.x", "GET /api/x"}
+    user = got["GET https://x/v1/users/{id}"]
+    assert user["operation_id"] == "getUser" and user["path_param_names"] == ["id"] and user["openapi_version"] == "3.0.1" and got["GET /api/x"]["openapi_version"] == "2.0"
+    assert user["parameters"] == [{"name": "id", "in": "path", "description": "", "required": True, "schema": {"type": "integer"}}, {"name": "q", "in": "query", "description": "", "required": False, "schema": {}}]
+    assert [p["name"] for p in got["DELETE https://x/v1/users/{id}"]["parameters"]] == ["id"] and got["POST https://x/v1/b.c/get.x"]["description"] == "d"
+    items = {(r.name, json.loads(r.metadata)["value"], json.loads(r.metadata)["yaml_kind"]) for r in yaml_facts(docs).filter("source_file = 'c.yml'").collect()}
+    assert items == {("services", "None", "docker-compose"), ("l.0", "1", "docker-compose"), ("l.1.b.0", "2", "docker-compose")}
+    assert {r.name for r in config_facts(docs).filter("source_file IN ('c.yml', 'f.toml')").collect()} == {"services", "l", "x"}
+    assert sorted(r.path for r in config_errors(docs).collect()) == ["d.yml", "g.toml"]
 
 
 def test_terraform(spark):

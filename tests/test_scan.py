@@ -137,9 +137,9 @@ def test_other_files_are_facts_and_claims(spark, tmp_path):
         (tmp_path / name).write_text(text)
     report = scan(spark, str(tmp_path), full=True)
     facts = {(r.name, r.kind, r.line_number) for r in report.facts.collect()}
-    assert {("User", "ts_interface", 1), ("users", "api_endpoint", 1), ("from.b", "config_key", 1), ("env.X", "config_key", 2), ("make:build", "config_key", 1), ("KEY", "config_key", 1), ("var.region", "config_key", 0), ("project.name", "config_key", 1)} <= facts
+    assert {("User", "ts_interface", 1), ("users", "api_endpoint", 2), ("from.b", "config_key", 1), ("env.X", "config_key", 2), ("make:build", "config_key", 1), ("KEY", "config_key", 1), ("var.region", "config_key", 0), ("project.name", "config_key", 1)} <= facts
     claims = {(r.name, r.kind, tuple(p.name for p in r.parameters), r.return_type) for r in report.claims.collect()}
-    assert {("greet", "function_signature", ("who",), "void"), ("greet", "function_signature", (), None)} <= claims
+    assert {("greet", "parameter_description", ("who",), None), ("greet", "return_description", (), "void"), ("greet", "function_signature", ("who",), None)} <= claims
     assert report.findings.count() > 0
 
 
