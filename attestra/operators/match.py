@@ -135,6 +135,13 @@ def findings(facts: DataFrame, hits: DataFrame) -> DataFrame:
     open_facts = facts.filter(F.col("fact.kind") != "cli_flag").select("fact", param_key("fact.parameters").alias("key"))
     moved = renames(open_facts, residue.filter(~F.col("claim.kind").isin("cli_flag_ref", "cli_usage")), first)
     moved = keep(residue.join(moved, F.col("claim.seq") == F.col("claim_seq"), "left").select("claim", "fact", "how", "ratio"), "match-moved")
+    leftover = leftovers(moved)
+    names = exact.select(F.col("fact.name").alias("name")).union(moved.filter("fact IS NOT NULL").select("fact.name")).distinct()
+    return differences(hits).unionByName(leftover).unionByName(undocumented(facts, names, hits))
+
+
+def leftovers(moved: DataFrame) -> DataFrame:
+    """Findings of the claims without a hit: perhaps renamed (fact, how, ratio), or missing."""
     doc, code = F.concat(F.lit("'"), F.col("claim.name"), F.lit("'")), F.concat(F.lit("'"), F.col("fact.name"), F.lit("'"))
     percent = F.format_string("%.1f", F.col("ratio") * 100)
     fuzzy = _finding("fuzzy_renamed", "warning", F.concat(doc, F.lit(" (docs) may match "), code, F.lit(" (code) — "), percent, F.lit("% confidence")), F.concat(F.lit("Consider renaming "), code, F.lit(" to "), doc, F.lit(" or update docs")), F.col("ratio"))
@@ -142,9 +149,7 @@ def findings(facts: DataFrame, hits: DataFrame) -> DataFrame:
     absent = _finding("documented_but_missing", "error", F.concat(doc, F.lit(" is documented but not found in code")), F.concat(F.lit("Add implementation for "), doc, F.lit(" or update docs")), F.lit(0.0), _signals(0.0, F.lit(0.0), 0.0))
     silent = (F.col("claim.kind") == "cli_usage") | ((F.col("claim.kind") == "cli_flag_ref") & F.col("claim.name").isin("--help", "--version"))
     left = F.when(F.col("how") == "fuzzy", fuzzy).when(F.col("how") == "renamed", renamed).when(~silent, absent)
-    leftover = moved.withColumn("f", left).filter("f IS NOT NULL").select((F.lit(1 << 61) + F.col("claim.seq")).alias("seq"), "fact", "claim", "f.*")
-    names = exact.select(F.col("fact.name").alias("name")).union(moved.filter("fact IS NOT NULL").select("fact.name")).distinct()
-    return differences(hits).unionByName(leftover).unionByName(undocumented(facts, names, hits))
+    return moved.withColumn("f", left).filter("f IS NOT NULL").select((F.lit(1 << 61) + F.col("claim.seq")).alias("seq"), "fact", "claim", "f.*")
 
 
 def undocumented(facts: DataFrame, names: DataFrame, hits: DataFrame) -> DataFrame:

@@ -115,15 +115,20 @@ def test_several_paths_and_state(spark, tmp_path):
         (tmp_path / name / "m.py").write_text(body)
         (tmp_path / name / "d.md").write_text("Call `f(y)` and `gone()`.\n")
     state = f"file://{tmp_path}/state"
-    report = scan_all(spark, [str(tmp_path / "a"), str(tmp_path / "b"), str(tmp_path / "a")], state=state)
+    report = scan_all(spark, [str(tmp_path / "a"), str(tmp_path / "b")], state=state)
     found = sorted((r.category, r.fact.name if r.fact else None, r.claim.name if r.claim else None, r.subject) for r in report.findings.collect())
-    assert report.facts.count() == 5 and report.claims.count() == 6
+    assert report.facts.count() == 3 and report.claims.count() == 4
     # of equal findings one stays: both parameters of f lie under other categories
     assert [x for x in found if x[0] in ("missing_param", "extra_param")] == [("extra_param", "f", "f", "y"), ("missing_param", "f", "f", "x")]
     assert sum(x[:3] == ("documented_but_missing", None, "gone") for x in found) <= 1 and sum(x[0] == "undocumented" and x[1] == "g" for x in found) <= 1
-    (tmp_path / "b" / "m.py").write_text("def h2(): pass\n")
+    assert [r.seq for r in report.findings.collect()] and len({r.seq for r in report.findings.collect()}) == report.findings.count()
+    (tmp_path / "b" / "m.py").write_text("def h2(): pass\ndef gone(): pass\n")
     again = scan_all(spark, [str(tmp_path / "b")], state=state)
-    assert {r.name for r in again.facts.collect()} == {"h2"}
+    assert {r.name for r in again.facts.collect()} == {"h2", "gone"}
+    shown = lambda found: sorted((r.category, r.fact.name if r.fact else "", r.claim.name if r.claim else "") for r in found.collect())
+    assert shown(again.findings) == [("documented_but_missing", "", "f"), ("undocumented", "h2", "")]
+    # nothing is as recent as tomorrow: all is scanned
+    assert {r.name for r in scan_all(spark, [str(tmp_path / "b")], state=state, since="2999-01-01").facts.collect()} == {"h2", "gone"}
 
 
 def test_other_files_are_facts_and_claims(spark, tmp_path):
