@@ -51,24 +51,37 @@ def short_flags(facts: DataFrame) -> DataFrame:
     return flags.groupBy(F.col("fact.short_flag").alias("short")).agg(F.min_by("fact", F.col("fact.seq")).alias("fact"))
 
 
+#: Which fact counts for a claim: of its whole name, else of its short flag, else of its last segment.
+NAME, SHORT, LAST = 0, 1, 2
+
+
+def _bearers(facts: DataFrame) -> DataFrame:
+    """by, key, seq: the fact that each name (the last), short flag (the first) and last segment (the only) stands for."""
+    flag = (F.col("fact.kind") == "cli_flag") & F.col("fact.short_flag").isNotNull()
+    rows = facts.select(F.col("fact.seq").alias("seq"), _keys(F.col("fact.name"), F.when(flag, F.col("fact.short_flag")), last_segment("fact.name"))).select("seq", "k.*").filter("key IS NOT NULL")
+    per = rows.groupBy("by", "key").agg(F.count("*").alias("n"), F.min("seq").alias("low"), F.max("seq").alias("high"))
+    return per.filter((F.col("by") != LAST) | (F.col("n") == 1)).select("by", "key", F.when(F.col("by") == NAME, F.col("high")).otherwise(F.col("low")).alias("fact_seq"))
+
+
+def _keys(name: Column, short: Column, last: Column) -> Column:
+    return F.explode(F.array(*[F.struct(F.lit(by).alias("by"), key.alias("key")) for by, key in ((NAME, name), (SHORT, short), (LAST, last))])).alias("k")
+
+
 def lookup(facts: DataFrame, claims: DataFrame) -> DataFrame:
-    """claim, fact (null: no hit), compare (whether the parameters are to be compared)."""
-    q, u, s = qualified(facts), unqualified(facts), short_flags(facts)
-    rows = (
-        claims.withColumn("last", last_segment("claim.name"))
-        .withColumn("short", F.when((F.col("claim.kind") == "cli_flag_ref") & F.col("claim.name").startswith("-"), F.col("claim.name")))
-        .join(q.select(F.col("name").alias("claim_name"), F.col("fact").alias("q")), F.col("claim.name") == F.col("claim_name"), "left")
-        .join(u.select("last", F.col("fact").alias("u")), "last", "left")
-        .join(s.select("short", F.col("fact").alias("s")), "short", "left")
-    )
-    kind = F.col("claim.kind")
-    config = (kind == "config_ref") & (F.col("q.kind") == "config_key")
-    flag = F.coalesce(F.col("q"), F.col("s"))
-    is_flag = (kind == "cli_flag_ref") & (flag["kind"] == "cli_flag")
-    fact = F.when(config, F.col("q")).when(is_flag, flag).otherwise(F.coalesce("q", "u"))
-    rows = rows.select("claim", fact.alias("fact"), F.coalesce(config | is_flag, F.lit(False)).alias("short_circuit"))
+    """claim, fact (null: no hit), compare (whether the parameters are to be compared).
+
+    All three kinds of keys are aggregated and joined at once, with nothing but the order of
+    facts and claims; the rows themselves are joined where it is known which fact was hit.
+    """
+    kind, name = F.col("claim.kind"), F.col("claim.name")
+    short = F.when((kind == "cli_flag_ref") & name.startswith("-"), name)
+    asked = claims.select(F.col("claim.seq").alias("claim_seq"), _keys(name, short, last_segment("claim.name"))).select("claim_seq", "k.*").filter("key IS NOT NULL")
+    # the kind of key stands above the order's bits, so that the least number tells both
+    best = F.min(F.shiftleft(F.col("by").cast("long"), 61) + F.col("fact_seq"))
+    hits = asked.join(_bearers(facts), ["by", "key"]).groupBy("claim_seq").agg(best.alias("best")).select("claim_seq", F.col("best").bitwiseAND(F.lit((1 << 61) - 1)).alias("fact_seq"))
+    rows = claims.join(hits, F.col("claim.seq") == F.col("claim_seq"), "left").join(facts.select("fact", F.col("fact.seq").alias("_seq")), F.col("fact_seq") == F.col("_seq"), "left")
     settled = ((F.col("fact.kind") == "cli_flag") & (kind == "cli_flag_ref")) | ((F.col("fact.kind") == "config_key") & (kind == "config_ref"))
-    return rows.select("claim", "fact", (F.col("fact").isNotNull() & ~F.col("short_circuit") & ~settled).alias("compare"))
+    return rows.select("claim", "fact", (F.col("fact").isNotNull() & ~F.coalesce(settled, F.lit(False))).alias("compare"))
 
 
 def _finding(category: str, severity: str, message: Column, suggestion: Column, confidence: Column, signals: Column | None = None, subject: Column | None = None) -> Column:

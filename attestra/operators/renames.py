@@ -21,9 +21,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.columns import py_round
 from ..functions.similarity import name_ratio, normalize_name, ratio
 from ..functions.tables import keep
 
@@ -101,41 +101,86 @@ def renames(facts: DataFrame, claims: DataFrame, first: DataFrame) -> DataFrame:
     has = named.filter("NOT own").unionByName(named.filter("own").withColumn("place", longest).filter("place <= 2").drop("place")).drop("own")
     full = named.filter("own AND since IS NULL").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", F.lit(True).alias("full"))
     asks = asks.join(full, "key", "left").filter((F.size("near") > 0) | F.col("full").isNull()).drop("full")
+    # a group of which every set keeps two facts for good can have no only fact: similar pairs alone decide there, in rounds
+    tight = named.select("grp", "key").distinct().join(full, "key", "left_anti").select("grp").distinct()
+    asks = asks.join(tight.withColumn("tight", F.lit(True)), "grp", "left")
+    open_ = asks.filter("tight IS NULL").select(F.col("seq").alias("claim_seq"), F.explode("near").alias("e")).select("claim_seq", "e.fact_seq", "e.ratio")
+    open_ = open_.join(named.select(F.col("seq").alias("fact_seq"), "name", "since"), "fact_seq").filter("since IS NULL OR since >= claim_seq").drop("since")
+    free = in_rounds(open_)
+    asks = asks.filter("tight").drop("tight")
     has = has.join(asks.select("grp").distinct(), "grp", "left_semi")
-
-    def settle(rows: pd.DataFrame) -> pd.DataFrame:
-        f, c = rows[rows["what"] == "fact"].sort_values("seq"), rows[rows["what"] == "claim"].sort_values("seq")
-        by_seq = dict(zip(f["seq"], zip(f["name"], f["since"])))
-        by_key: dict[str, list[int]] = {}
-        for seq, key in zip(f["seq"], f["key"]):
-            by_key.setdefault(key, []).append(seq)
-        taken: set[str] = set()
-        out = []
-
-        def free(seq: int, at: int) -> bool:
-            name, since = by_seq[seq]
-            return name not in taken and not since < at
-
-        for at, name, kind, key, near in zip(c["seq"], c["name"], c["kind"], c["key"], c["near"]):
-            open_ = [(-round(e["ratio"] * 100, 1), e["fact_seq"]) for e in near if free(e["fact_seq"], at)]
-            if open_:
-                percent, seq = min(open_)
-                out.append((at, seq, "fuzzy", -percent / 100.0))
-            elif kind != "config_ref":
-                alone = []
-                for seq in by_key.get(key, []):
-                    if free(seq, at):
-                        alone.append(seq)
-                        if len(alone) > 1:
-                            break
-                if len(alone) != 1 or (own := ratio(by_seq[alone[0]][0], name)) < RENAMED:
-                    continue
-                seq = alone[0]
-                out.append((at, seq, "renamed", own))
-            else:
+    rows = keep(asks.unionByName(has), "rename-rows")
+    count = max(1, -(-rows.count() // TOGETHER))
+    picked = rows.groupBy(F.pmod(F.xxhash64("grp"), F.lit(count)).alias("together")).applyInPandas(_settle, PICKED)
+    return picked.unionByName(free).join(facts.select("fact", F.col("fact.seq").alias("fact_seq")), "fact_seq").select("claim_seq", "fact", "how", "ratio")
+
+
+PICKED = "claim_seq long, fact_seq long, how string, ratio double"
+#: Rows of small groups that are settled by one call; a group is never split.
+TOGETHER = 20000
+
+
+def _settle(rows: pd.DataFrame) -> pd.DataFrame:
+    """The claims of some groups, each group by itself and in order."""
+    groups_: dict = {}
+    for what, seq, name, kind, key, near, since, grp in zip(*(rows[c] for c in ("what", "seq", "name", "kind", "key", "near", "since", "grp"))):
+        groups_.setdefault(grp, ([], []))[what == "claim"].append((seq, name, kind, key, near, since))
+    out = []
+    for f, c in groups_.values():
+        out += _settle_group(sorted(f, key=lambda r: r[0]), sorted(c, key=lambda r: r[0]))
+    return pd.DataFrame(out, columns=["claim_seq", "fact_seq", "how", "ratio"]).astype({"claim_seq": "int64", "fact_seq": "int64", "ratio": "float64"})
+
+
+def _settle_group(facts: list[tuple], claims: list[tuple]) -> list[tuple]:
+    by_seq = {seq: (name, since) for seq, name, _, _, _, since in facts}
+    by_key: dict[str, list[int]] = {}
+    for seq, _, _, key, _, _ in facts:
+        by_key.setdefault(key, []).append(seq)
+    taken: set[str] = set()
+    out = []
+
+    def free(seq: int, at: int) -> bool:
+        name, since = by_seq[seq]
+        return name not in taken and not since < at
+
+    for at, name, kind, key, near, _ in claims:
+        open_ = [(-round(e["ratio"] * 100, 1), e["fact_seq"]) for e in near if free(e["fact_seq"], at)]
+        if open_:
+            percent, seq = min(open_)
+            out.append((at, seq, "fuzzy", -percent / 100.0))
+        elif kind != "config_ref":
+            alone = []
+            for seq in by_key.get(key, []):
+                if free(seq, at):
+                    alone.append(seq)
+                    if len(alone) > 1:
+                        break
+            if len(alone) != 1 or (own := ratio(by_seq[alone[0]][0], name)) < RENAMED:
                 continue
-            taken.add(by_seq[seq][0])
-        return pd.DataFrame(out, columns=["claim_seq", "fact_seq", "how", "ratio"]).astype({"claim_seq": "int64", "fact_seq": "int64"})
-
-    picked = asks.unionByName(has).groupBy("grp").applyInPandas(settle, T.StructType.fromDDL("claim_seq long, fact_seq long, how string, ratio double"))
-    return picked.join(facts.select("fact", F.col("fact.seq").alias("fact_seq")), "fact_seq").select("claim_seq", "fact", "how", "ratio")
+            seq = alone[0]
+            out.append((at, seq, "renamed", own))
+        else:
+            continue
+        taken.add(by_seq[seq][0])
+    return out
+
+
+def in_rounds(edges: DataFrame) -> DataFrame:
+    """claim_seq, fact_seq, how, ratio where only similar pairs decide: edges (claim_seq, fact_seq, name, ratio) of facts that are free when the claim asks.
+
+    A claim's order is its priority.  In a round every claim that is the first to ask for the
+    name of its best fact takes it, for nobody before it can; a taken name is lost to all
+    others that ask for it, as they come later.  There are as many rounds as claims wait for
+    each other in a chain.
+    """
+    out = None
+    while True:
+        edges = keep(edges, "rename-round")
+        if out is not None and edges.isEmpty():
+            return out
+        first = edges.groupBy("name").agg(F.min("claim_seq").alias("first"))
+        best = edges.groupBy("claim_seq").agg(F.min(F.struct((-py_round(F.col("ratio") * 100, 1)).alias("order"), "fact_seq", "name")).alias("b")).select("claim_seq", "b.*")
+        settled = keep(best.join(first, "name").filter("first = claim_seq"), "rename-settled")
+        told = settled.select("claim_seq", "fact_seq", F.lit("fuzzy").alias("how"), (-F.col("order") / 100.0).alias("ratio"))
+        out = told if out is None else out.unionByName(told)
+        edges = edges.join(settled.select("claim_seq"), "claim_seq", "left_anti").join(settled.select("name"), "name", "left_anti")
