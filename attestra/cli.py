@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from .operators import algebra
 from .operators import lines as L
 from .operators.python_facts import RULES
+from .operators.registry import TEXT_RULES
 from .plans.scan import Report, scan_all
 from .plans.schema import CATEGORIES
 from .sources import git, settings, sinks
@@ -34,7 +36,7 @@ def _parser() -> argparse.ArgumentParser:
         c.add_argument("-o", "--output")
         c.add_argument("--config")
         c.add_argument("-s", "--severity", default="info")
-        c.add_argument("--min-confidence", type=float, default=0.0)
+        c.add_argument("--min-confidence", type=float, help="the settings' threshold unless given")
         c.add_argument("--exclude-category", action="append", default=[])
         c.add_argument("--fail-on")
         c.add_argument("--strict", action="store_true", help="warnings fail too")
@@ -50,6 +52,7 @@ def _parser() -> argparse.ArgumentParser:
         c.add_argument("--update-baseline", action="store_true")
         c.add_argument("--baseline-path", default=BASELINE)
         c.add_argument("--watch", action="store_true")
+        c.add_argument("--once", action="store_true", help="with --watch: look once and end")
         c.add_argument("-q", "--quiet", action="store_true")
     i = commands.add_parser("init")
     i.add_argument("path", nargs="?", default=".")
@@ -60,15 +63,22 @@ def _parser() -> argparse.ArgumentParser:
     return parser
 
 
-def report_of(spark: SparkSession, args: argparse.Namespace, config: settings.Settings) -> Report:
+def options_of(spark: SparkSession, args: argparse.Namespace, config: settings.Settings) -> dict:
+    """The options of a scan; with --diff each path has the changes of its own repository."""
     options = {"only": args.extractor or config.enabled or (), "without": (*args.without_extractor, *config.disabled), "ignore": config.ignore_patterns, "include_js": args.include_js, "full": args.full, "since": args.since, "state": args.state}
-    if args.diff:
-        base = git.merge_base(args.paths[0], args.diff) or args.diff
-        options["changed"] = git.changed_files(spark, args.paths[0], base)
-        if options["changed"] is None:
-            raise SystemExit(f"git knows no {args.diff}")
-        options["changed_lines"] = git.changed_lines(spark, args.paths[0], base) if args.diff_lines else None
-    return scan_all(spark, args.paths, **options)
+
+    def changes(path: str) -> dict:
+        base = git.merge_base(path, args.diff) or args.diff
+        changed = git.changed_files(spark, path, base)
+        if changed is None:
+            raise SystemExit(f"{path}: git knows no {args.diff}")
+        return {"changed": changed, "changed_lines": git.changed_lines(spark, path, base) if args.diff_lines else None}
+
+    return options | {"own": changes if args.diff else None}
+
+
+def report_of(spark: SparkSession, args: argparse.Namespace, config: settings.Settings) -> Report:
+    return scan_all(spark, args.paths, **options_of(spark, args, config))
 
 
 def chosen(spark: SparkSession, report: Report, args: argparse.Namespace) -> DataFrame | None:
@@ -98,7 +108,7 @@ def told(report: Report, found: DataFrame, args: argparse.Namespace, form: str):
 def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
     if args.command == "list-extractors":
-        print("\n".join(RULES))
+        print("\n".join([*RULES, *TEXT_RULES]))
         return 0
     if args.command == "explain":
         print("\n".join(f"{c}: {LABELS[c]}" for c in ([args.category] if args.category else [c for c in CATEGORIES if c in LABELS])))
@@ -107,13 +117,17 @@ def main(argv: list[str] | None = None) -> int:
         print(settings.init(args.path, args.force))
         return 0
     spark, config = SparkSession.builder.getOrCreate(), settings.load(args.config, args.paths[0])
+    if args.min_confidence is None:
+        args.min_confidence = config.threshold
     if args.watch:
         from .streaming.watch import watch
 
         def again(report: Report, _: DataFrame) -> None:
-            sys.stdout.writelines(told(report, report.findings, args, args.format or "console"))
+            found = chosen(spark, report, args)
+            sys.stdout.writelines(["no baseline\n"] if found is None else told(report, found, args, args.format or "console"))
+            sys.stdout.flush()
 
-        watch(spark, args.paths[0], again, f"{args.state or BASELINE}-watch").awaitTermination()
+        watch(spark, args.paths, again, f"{args.state or BASELINE}-watch", once=args.once, **options_of(spark, args, config)).awaitTermination()
         return 0
     report = report_of(spark, args, config)
     found = chosen(spark, report, args)
@@ -125,7 +139,8 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "baseline-save":
         return 0
     if args.command == "baseline-export":
-        sinks.write_csv(found, args.output or f"{args.baseline_path}.csv")
+        as_json = args.format == "json"
+        (sinks.write_json if as_json else sinks.write_csv)(found, args.output or f"{args.baseline_path}.{'json' if as_json else 'csv'}")
         return 0
     if args.command == "summary":
         h, t = algebra.health(report.claims, sinks.flat(found)).first(), algebra.totals(found).first()
@@ -133,7 +148,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     form = args.format or ("patch" if args.command == "fix" else "json" if config.output_format == "json" else "console")
     if args.command in ("scan", "fix") and not args.quiet:
-        with open(args.output, "w") if args.output else sys.stdout as out:
+        with open(args.output, "w") if args.output else contextlib.nullcontext(sys.stdout) as out:
             out.writelines(told(report, found, args, form))
     if args.command == "fix":
         return 0

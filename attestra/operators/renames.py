@@ -82,6 +82,9 @@ def groups(facts: DataFrame) -> DataFrame:
 
 def renames(facts: DataFrame, claims: DataFrame, first: DataFrame) -> DataFrame:
     """claim_seq, fact, how (fuzzy or renamed), ratio."""
+    claims = keep(claims, "rename-asks")
+    if claims.isEmpty():
+        return facts.sparkSession.createDataFrame([], PICKED).join(facts.select("fact", F.col("fact.seq").alias("fact_seq")), "fact_seq").select("claim_seq", "fact", "how", "ratio")
     edges = keep(similar_pairs(facts, claims), "rename-edges")
     grp = groups(facts)
     best = edges.groupBy("claim_seq").agg(F.collect_list(F.struct("fact_seq", "ratio")).alias("near"))

@@ -38,6 +38,11 @@ def write_csv(findings: DataFrame, path: str) -> None:
     flat(findings).select(*EXPORT).na.fill("").write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_json(findings: DataFrame, path: str) -> None:
+    """The export's columns, one object a line; nulls are empty texts as in the other form."""
+    flat(findings).select(*EXPORT).withColumns({c: F.col(c).cast("string") for c in ("fact_line", "claim_line")}).na.fill("").write.mode("overwrite").json(path)
+
+
 def save_baseline(findings: DataFrame, path: str) -> None:
     flat(findings).withColumn("created_at", F.current_timestamp()).write.mode("overwrite").parquet(path)
 

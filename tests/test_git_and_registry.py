@@ -40,3 +40,49 @@ def test_registry():
             registry.register("Own")(lambda n: n)
     finally:
         RULES.pop("Own", None)
+
+
+def test_text_rules(spark, tmp_path):
+    """A rule over another kind of file takes part in a scan; what it raises is a row."""
+    from attestra.plans.scan import scan
+
+    def tables(path, text):
+        for i, line in enumerate(text.split("\n"), 1):
+            if line.startswith("CREATE TABLE "):
+                yield {"name": line.split()[2], "kind": "table_schema", "line": i, "metadata": {"dialect": "any"}}
+            elif line.startswith("BAD"):
+                raise RuntimeError("bad line")
+
+    (tmp_path / "a.sql").write_text("-- x\nCREATE TABLE users (id int)\n")
+    (tmp_path / "b.sql").write_text("CREATE TABLE t (x int)\nBAD\n")
+    (tmp_path / "d.md").write_text("See `users`.\n")
+    try:
+        registry.register_text("SqlTables", ".sql")(tables)
+        with pytest.raises(ValueError):
+            registry.register_text("SqlTables", ".ddl")(tables)
+        report = scan(spark, str(tmp_path))
+        assert sorted((r.name, r.kind, r.line_number, r.extractor) for r in report.facts.collect()) == [("t", "table_schema", 1, "SqlTables"), ("users", "table_schema", 2, "SqlTables")]
+        assert [(r.path.rsplit("/", 1)[1], r.error) for r in report.errors.collect()] == [("b.sql", "RuntimeError: bad line")]
+        assert [(r.category, r.fact.name) for r in report.findings.collect()] == [("undocumented", "t")]
+        assert registry.text_suffixes(without=("SqlTables",)) == () and registry.text_suffixes() == (".sql",)
+    finally:
+        registry.TEXT_RULES.pop("SqlTables", None)
+
+
+def test_tree_by_rounds(spark, tmp_path, monkeypatch):
+    """A listing in many rounds equals a walk; excluded folders and ignored files are left out, rules take back."""
+    import os
+
+    from attestra.sources import files
+
+    for name in ("a.py", ".hidden.py", "_p/b.py", "_p/q/c.md", "_p/q/r/s/d.py", ".git/e.py", "node_modules/f.py", "skip/g.py", "skip/keep.py", "h.txt", "gen/x.py"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    (tmp_path / ".docsignore").write_text("skip/*\n!skip/keep.py\n# no\n")
+    want = sorted(["a.py", ".hidden.py", "_p/b.py", "_p/q/c.md", "_p/q/r/s/d.py", "skip/keep.py"])
+    monkeypatch.setattr(files, "WALK", 2)
+    assert sorted(r.rel_path for r in files.list_tree(spark, str(tmp_path), globs=("gen/*",)).collect()) == want
+    read = {r.rel_path: (r.text, r.size) for r in files.read_files(spark, str(tmp_path), ignore=("gen/*",)).collect()}
+    assert read == {w: (w, len(w)) for w in want}
+    assert [r.rel_path for r in files.list_tree(spark, str(tmp_path / "a.py")).collect()] == ["a.py"] and files.list_tree(spark, str(tmp_path / ".git")).count() == 0
+    assert os.path.basename(files.read_files(spark, str(tmp_path / "a.py")).first().path) == "a.py"
