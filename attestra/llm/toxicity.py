@@ -7,7 +7,8 @@ toxic documents apart from unlabelled text.  A linear classifier g is fitted to
 
 over confirmed toxic documents P and unlabelled documents U, where p is the share of toxic
 documents.  The second term estimates the risk on clean text without any clean example;
-where a batch makes it negative, the step goes against it (Kiryo et al. 2017).  p is the
+where a batch makes it negative, the step goes against it (Kiryo et al. 2017).  At last g is
+moved to where the same risk, with sides counted instead of l, is least.  p is the
 share among all labels of the rows that may be learnt; clean labels serve for nothing else.
 
 P and U are samples of at most ``POSITIVES`` and ``UNLABELLED`` documents, by a threshold on
@@ -118,11 +119,26 @@ def fit_classifier(pos: np.ndarray, unl: np.ndarray, prior: float) -> dict[str,
             t += 1
             m, q = 0.9 * m + 0.1 * grad, 0.999 * q + 0.001 * grad**2
             w = w - RATE * (m / (1 - 0.9**t)) / (np.sqrt(q / (1 - 0.999**t)) + 1e-8)
+            w[:-1] = np.maximum(w[:-1], 0.0)  # a mark of toxic texts never speaks for a clean one
         if epoch >= EPOCHS // 2:
             mean += w / (EPOCHS - EPOCHS // 2)
+    mean[-1] -= cut(pos @ mean, unl @ mean, prior)
     return {"w": mean[:-1] / scale, "w0": mean[-1:]}
 
 
+def cut(pos: np.ndarray, unl: np.ndarray, prior: float) -> float:
+    """Where to cut g: the least non-negative risk that counts wrong sides, in the widest gap where several are least."""
+    g = np.unique(np.concatenate([pos, unl, [0.0]]))
+    middle, wide = (g[1:] + g[:-1]) / 2, np.diff(g)
+    if not len(middle):
+        return 0.0
+    lost = np.searchsorted(np.sort(pos), middle) / len(pos)
+    above = 1 - np.searchsorted(np.sort(unl), middle) / len(unl)
+    risk = prior * lost + np.maximum(0, above - prior * (1 - lost))
+    best = np.flatnonzero(risk <= risk.min() + 1e-12)
+    return float(middle[best[np.argmax(wide[best])]])
+
+
 def fit(docs: DataFrame, labels: DataFrame, learnable: Column) -> dict[str, np.ndarray]:
     """Learn ``toxic`` from the rows for which ``learnable`` holds: confirmed examples, unlabelled texts and the share of toxic ones."""
     known = labels.filter(learnable & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
