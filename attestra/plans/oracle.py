@@ -55,7 +55,7 @@ IN_MODULE = {
     "facts_of_click": [("cli_flag", 43, "--level-<k>", "", None, '{"short_flag":"-l","is_flag":false,"required":true,"help_text":"x","multiple":false}')],
     "facts_of_typer": [
         ("cli_flag", 59, "--name", "", None, '{"is_flag":false,"required":true,"python_name":"name"}'),
-        ("cli_flag", 59, "--size-<k>", "", None, '{"is_flag":false,"help_text":"how","required":false,"python_name":"size","short_flag":"-s"}')],
+        ("cli_flag", 59, "--size-<k>", "", None, '{"is_flag":true,"help_text":"how","required":false,"python_name":"size","short_flag":"-s"}')],
     "facts_of_dataclasses": [
         ("config_key", 19, "Part<k>.name", "", None, '{"class_name":"Part<k>","field_name":"name","field_type":"str"}'),
         ("config_key", 20, "Part<k>.size", "", None, '{"class_name":"Part<k>","field_name":"size","field_type":"int","default":"<s>"}')],
