@@ -19,9 +19,25 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder, within the shared one, of all tables that this session keeps."""
+    name = spark.conf.get("spark.attestra.run", None)
+    if not name:
+        name = f"attestra-{uuid.uuid4().hex}"
+        spark.conf.set("spark.attestra.run", name)
+    return f"{shared_dir(spark)}/{name}"
+
+
+def forget(spark: SparkSession) -> None:
+    """Removes the tables kept so far; call it when all results that read them are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    spark.conf.unset("spark.attestra.run")
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
