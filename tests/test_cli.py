@@ -20,5 +20,5 @@ def test_commands(spark, tmp_path, capsys, monkeypatch):
     told = sorted(r.category for r in spark.read.json(f"{tmp_path}/out").collect())
     assert told == ["documented_but_missing", "wrong_default"]
     (tree / "d.md").write_text("`save()`\n")
-    assert main(["scan", str(tree), "--watch", "--once", "--format", "json-lines", "--severity", "error"]) == 0
+    assert main(["scan", str(tree), "--watch", "--once", "--state", f"file://{tmp_path}/state", "--format", "json-lines", "--severity", "error"]) == 0
     assert capsys.readouterr().out == ""
