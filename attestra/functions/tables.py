@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Files of a small table, at least.
+FILES = 24
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, or a folder of our own where it is unset and all runs on this machine (tests)."""
@@ -35,6 +38,14 @@ def forget(spark: SparkSession) -> None:
     spark.conf.unset("spark.attestra.run")
 
 
+def keep_small(df: DataFrame, name: str) -> DataFrame:
+    """``keep`` for narrow tables, in at most a few files for each core, however many partitions the shuffle has.
+
+    On a local file system every file that a task opens has its JVM start ``chmod``.
+    """
+    return keep(df.coalesce(max(FILES, 4 * df.sparkSession.sparkContext.defaultParallelism)), name)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, keep
+from .common import WORD, keep, keep_small
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
@@ -145,7 +145,7 @@ def _plan(sizes: DataFrame, weights: Sequence[int], max_repeat: int, seed: str,
     # Blocks per source and documents per block both grow with the square root of the rows.
     bits = min(24, math.ceil(math.log2(max(sizes.count(), 1)) / 2) + 1)
     sizes = sizes.withColumn("block", _block(bits))
-    per_block = keep(sizes.groupBy("source", "block").agg(F.sum("size").alias("words")), "mix-blocks")
+    per_block = keep_small(sizes.groupBy("source", "block").agg(F.sum("size").alias("words")), "mix-blocks")
     targets = source_targets(per_block.select("source", F.col("words").alias("size")), weights, max_repeat)
     in_order = Window.partitionBy("source").orderBy("block")
     so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
@@ -162,7 +162,7 @@ def _plan(sizes: DataFrame, weights: Sequence[int], max_repeat: int, seed: str,
         .withColumn("extra", F.col("before") < F.col("rest"))
         .withColumn("ends", F.col("extra") & (F.col("before") + F.col("words") > F.col("rest")))
     )
-    blocks = keep(blocks, "mix-quotas")
+    blocks = keep_small(blocks, "mix-quotas")
     # Only the block in which the prefix ends, one for each source, needs the order of its documents.
     ending = blocks.filter("ends").select(F.col("source").alias("s"), F.col("block").alias("b"), "before", "rest")
     of_end = sizes.join(F.broadcast(ending), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
@@ -189,7 +189,7 @@ def _plan(sizes: DataFrame, weights: Sequence[int], max_repeat: int, seed: str,
     where = where.join(cutoffs.select("s", F.col("b").alias("end"), "cutoff"), F.col("b.source").eqNullSafe(F.col("s")) & (F.col("b.block") == F.col("end")), "left")
     cutoff = F.when(F.col("ends"), F.coalesce("cutoff", F.lit("")))
     where = where.select("b.source", "b.block", "source_size", "target", "passes", "extra", cutoff.alias("cutoff"), F.coalesce("h.homes", F.array()).alias("homes"))
-    return keep(where, "mix-plan"), bits
+    return keep_small(where, "mix-plan"), bits
 
 
 def _dealt(rows: DataFrame, plan: DataFrame, bits: int) -> DataFrame:

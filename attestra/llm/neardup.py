@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import keep
+from .common import keep, keep_small, only, worker_cache
 
 SKETCH, RUN = 48, 3
 #: Similarity in hundredths.
@@ -59,7 +59,10 @@ FEW, BLOCK = 8, 1000
 #: Classes of a list up to which it is compared in one task; longer ones go in blocks of half as many.
 LIST = 4000
 
-_words: dict[bytes, int] = {}
+#: Words whose hashes a Python worker remembers.
+WORDS = 200_000
+
+_words: dict[bytes, int] = worker_cache()
 _U = np.uint64
 
 
@@ -72,7 +75,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def _hash(word: bytes) -> int:
     value = _words.get(word)
     if value is None:
-        if len(_words) > 500_000:
+        if len(_words) > WORDS:
             _words.clear()
         value = _words[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
     return value
@@ -80,6 +83,7 @@ def _hash(word: bytes) -> int:
 
 def shingles(text: str | None, words: int) -> np.ndarray:
     """The sorted hashes of the text's distinct shingles."""
+    only(_words)
     told = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: ASCII letters and white space only
     if not told:
         return np.zeros(0, dtype=np.uint64)
@@ -282,14 +286,14 @@ def _block(group: pd.DataFrame) -> pd.DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """node, comp (the smallest node reachable) for the nodes of ``links`` (a, b): least labels and pointer jumping."""
-    edges = keep(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-edges")
-    labels = keep(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("comp")), "near-labels")
+    edges = keep_small(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-edges")
+    labels = keep_small(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("comp")), "near-labels")
     while True:
         around = edges.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         nearer = labels.join(around, "node").select("node", "comp", F.least("comp", "near").alias("next"))
         jump = nearer.select(F.col("node").alias("next"), F.col("next").alias("far"))
         moved = nearer.join(jump, "next", "left").select("node", "comp", F.least("next", F.coalesce("far", "next")).alias("next"))
-        moved = keep(moved, "near-labels")
+        moved = keep_small(moved, "near-labels")
         labels = moved.select("node", F.col("next").alias("comp"))
         if moved.filter("next <> comp").isEmpty():
             return labels
@@ -335,7 +339,7 @@ def _grouped(docs: DataFrame, words: int) -> DataFrame:
     labels = components(links)
     comps = sketches.select("rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp"))
     sizes = comps.groupBy("comp").agg(F.count("*").alias("size"))
-    comps = keep(comps.join(sizes, "comp"), "near-comps")
+    comps = keep_small(comps.join(sizes, "comp"), "near-comps")
     named = lists.select("key", "rep", "length").join(comps, "rep")
     spans = named.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most").select("key")
     apart = named.join(spans, "key", "left_semi")
@@ -346,7 +350,7 @@ def _grouped(docs: DataFrame, words: int) -> DataFrame:
     apart = apart.select("key", "rep", "comp", "size", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), (F.col("part") > F.col("other")).cast("int").alias("side"))
     apart = apart.join(sketches, "rep").select("key", "x", "y", "side", "rep", "comp", "size", "n", "sketch")
     asks = apart.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInPandas(_across(), "rep long, comp long").distinct()
-    asks = keep(asks.join(comps.select("comp", "size").distinct(), "comp"), "near-asks")
+    asks = keep_small(asks.join(comps.select("comp", "size").distinct(), "comp"), "near-asks")
     members = comps.join(asks.select("comp").distinct(), "comp", "left_semi")
     # Small components: pairs, each confirmed alone.
     few = asks.filter(F.col("size") <= FEW).select("comp", F.col("rep").alias("y")).join(members.select("comp", F.col("rep").alias("x")), "comp")
@@ -381,7 +385,7 @@ def deduplicated(docs: DataFrame, words: int = 5) -> DataFrame:
     kept = grouped.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"))
     marked = grouped.join(kept, "comp").select("doc_id", "told", (F.col("row") == F.col("first.row")).alias("stays"))
     rows = marked.groupBy("doc_id", "told").agg(F.max("stays").alias("stays"), F.count("*").alias("k"))
-    rows = keep(rows.filter("NOT stays OR k > 1"), "near-gone")
+    rows = keep_small(rows.filter("NOT stays OR k > 1"), "near-gone")
     i, t = F.col("doc_id").alias("i"), F.col("told").alias("t")
     mine = F.col("__id").eqNullSafe(F.col("i")) & (F.col("__told") == F.col("t"))
     own = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("doc_id").cast("long").alias("__id"), F.md5(F.coalesce("text", F.lit(""))).alias("__told"))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import keep
+from .common import keep, keep_small, only, worker_cache
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -40,7 +40,7 @@ TOKENIZER = "byte_bpe_50k.json"
 #: Rounds of multiplicative weights; with the capacity it bounds the number of columns.
 ROUNDS = 24
 #: Words whose ids a Python worker remembers.
-WORDS = 800_000
+WORDS = 250_000
 #: Texts whose new words are encoded together.
 TOGETHER = 250
 #: The last letter up to which all Unicode tables agree on what is a letter; characters that not all call white space.
@@ -148,19 +148,26 @@ def _joined(words: list[str]) -> list[str]:
     return parts
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder] = worker_cache()
+
+
+def _encoder(path: str) -> Encoder:
+    """The worker's own, from task to task: a function within another would be sent with an empty dict of its own."""
+    only(_encoders)
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) of every document's pieces."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if tokenizer_path not in _encoders:
-            _encoders[tokenizer_path] = Encoder(tokenizer_path)
+        encoder = _encoder(tokenizer_path)
         end = np.array([SEPARATOR], dtype="<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc_id, ids in zip(batch["doc_id"].tolist(), _encoders[tokenizer_path].batch(batch["text"].fillna("").tolist())):
+            for doc_id, ids in zip(batch["doc_id"].tolist(), encoder.batch(batch["text"].fillna("").tolist())):
                 ids += end
                 n = len(ids) // 4
                 at, stop = 0, (n - 1) % capacity + 1
@@ -308,7 +315,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_id
     buckets = 1 << max(0, math.ceil(math.log2(max(cut.count(), 1)) / 2))
     cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(buckets)))
     per = cut.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    per = keep(per, "pack-counts")
+    per = keep_small(per, "pack-counts")
     counts = {r["length"]: r["n"] for r in per.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     table = docs.sparkSession.sparkContext.broadcast(slots(solve(counts, capacity)))
     so_far = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -30,13 +30,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, only, worker_cache
 
 BUCKETS, RANK, SAMPLE = 1024, 8, 6000
 EPOCHS, BATCH, RATE, DECAY, SEED = 30, 256, 0.02, 1e-4, 11
 THRESHOLD = 0.3
 
-_bucket: dict[str, int] = {}
+#: Words whose buckets a Python worker remembers.
+WORDS = 200_000
+
+_bucket: dict[str, int] = worker_cache()
 
 
 def _capitals(text: str) -> int:
@@ -67,9 +70,10 @@ WIDTH = BUCKETS + len(structure("", 0, Counter()))
 
 
 def features(text: str | None, n_chars: float | None) -> np.ndarray:
+    only(_bucket)
     text = text or ""
     words = Counter(text.lower().split())
-    if len(_bucket) > 500_000:
+    if len(_bucket) > WORDS:
         _bucket.clear()
     x = np.zeros(WIDTH, dtype=np.float32)
     at = np.fromiter((_bucket[w] if w in _bucket else _bucket.setdefault(w, zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS) for w in words), dtype=np.int64, count=len(words))
