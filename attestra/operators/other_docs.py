@@ -11,18 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tables import keep
 from . import blocks as B
-from .lines import occurrences
-
-
-def _blocks(files: DataFrame, pattern: str) -> DataFrame:
-    """path, line, block: every match of the pattern."""
-    return occurrences(files.select("path", "text"), pattern, "path").select("path", (F.col("feeds") + 1).alias("line"), F.col("own").alias("block"))
-
-
-def _group(pattern: str, k: int) -> Column:
-    return F.nullif(F.regexp_extract("block", pattern, k), F.lit(""))
 
 
 SHAPE = r"(?:(?:export|declare|default|const)\s+)*(?:interface\s+([\w$]+)(?:\s*<[^{]*?>)?(?:\s+extends\s+([^{]+?))?|enum\s+([\w$]+)|type\s+([\w$]+)(?:\s*<[^=]*>)?\s*=[^;{}]*)\s*\{$"
@@ -47,7 +36,8 @@ def typescript(files: DataFrame) -> DataFrame:
     Members stand directly in the block; the type of a member holds its own members as text.
     Methods and index signatures are no members.
     """
-    rows = B.declarations(files, "typescript", SHAPE)
+    alias = r"(?m)^[ \t]*((?:(?:export|declare)\s+)*type\s+([\w$]+)(?:\s*<[^=]*>)?\s*=[^;{}]+;)"
+    rows = B.declarations(files, "typescript", SHAPE, body=True, plain=alias)
     part = lambda k: F.nullif(F.regexp_extract("head", SHAPE, k), F.lit(""))
     kind = F.when(part(1).isNotNull(), "ts_interface").when(part(3).isNotNull(), "ts_enum").otherwise("ts_type")
     field = r"(?s)^(readonly\s+)?([\w$]+)(\?)?\s*:\s*(.+)$"
@@ -55,12 +45,14 @@ def typescript(files: DataFrame) -> DataFrame:
     values = F.transform("members", lambda m, i: _member(F.regexp_extract(m["text"], r"^([^=\s]+)", 1), F.coalesce(F.nullif(F.regexp_extract(m["text"], r"(?s)=\s*(.+)$", 1), F.lit("")), i.cast("string")))).cast(f"array<{MEMBER}>")
     whole = F.concat("head", "body", F.lit("};"))
     out = rows.withColumn("kind", kind).select(
-        "path", "line", "kind", F.coalesce(part(1), part(3), part(4)).alias("name"), F.when(F.col("kind") == "ts_enum", values).otherwise(fields).alias("members"), F.trim(part(2)).alias("parent"),
+        "path", "line", "block", "head", "kind", F.coalesce(part(1), part(3), part(4)).alias("name"), F.when(F.col("kind") == "ts_enum", values).otherwise(fields).alias("members"), F.trim(part(2)).alias("parent"),
         F.when(F.col("kind") == "ts_type", F.substring(F.ltrim(whole), 1, 50)).alias("expression"), F.when(F.col("kind") == "ts_enum", F.col("head").rlike(r"\bconst\s+enum\b")).alias("is_const"))
     # types without a block
-    alias = r"(?m)^[ \t]*((?:(?:export|declare)\s+)*type\s+([\w$]+)(?:\s*<[^=]*>)?\s*=[^;{}]+;)"
-    plain = _blocks(files, alias)
-    return out.unionByName(plain.select("path", "line", F.lit("ts_type").alias("kind"), _group(alias, 2).alias("name"), F.array().cast(f"array<{MEMBER}>").alias("members"), F.lit(None).cast("string").alias("parent"), F.substring(_group(alias, 1), 1, 50).alias("expression"), F.lit(None).cast("boolean").alias("is_const")))
+    is_plain = F.col("block").isNull()
+    own = lambda k: F.nullif(F.regexp_extract("head", alias, k), F.lit(""))
+    return out.select(
+        "path", "line", F.when(is_plain, "ts_type").otherwise(F.col("kind")).alias("kind"), F.when(is_plain, own(2)).otherwise(F.col("name")).alias("name"), F.when(is_plain, F.array().cast(f"array<{MEMBER}>")).otherwise(F.col("members")).alias("members"),
+        F.when(~is_plain, F.col("parent")).alias("parent"), F.when(is_plain, F.substring(own(1), 1, 50)).otherwise(F.col("expression")).alias("expression"), F.when(~is_plain, F.col("is_const")).alias("is_const"))
 
 
 OPERATIONS = ("Query", "Mutation", "Subscription")
@@ -77,16 +69,16 @@ def graphql(files: DataFrame) -> DataFrame:
     bare = lambda t: F.rtrim(F.regexp_replace(t, r"\s+", ""), F.lit("!"))
     argument = r"(\w+)\s*:\s*([\[\]\w!]+)(?:\s*=\s*(\"[^\"]*\"|\[[^\]]*\]|\{[^}]*\}|[^\s,()]+))?"
     arg = lambda t, k: F.regexp_extract(t, argument, k)
-    arguments = F.transform(F.regexp_extract_all(F.regexp_extract("m.text", typed, 2), F.lit(argument), F.lit(0)), lambda t: _member(arg(t, 1), bare(arg(t, 2)), arg(t, 3))).cast(f"array<{MEMBER}>")
-    operations = rows.filter((F.col("what") == "type") & F.col("owner").isin(*OPERATIONS)).withColumn("m", F.explode("members")).filter(F.col("m.text").rlike(typed))
-    out = operations.select("path", F.col("m.line").alias("line"), F.lit("api_endpoint").alias("kind"), F.regexp_extract("m.text", typed, 1).alias("name"), F.col("owner").alias("module"), F.regexp_replace(F.regexp_extract("m.text", typed, 3), r"\s+", "").alias("type"), arguments.alias("members"), F.lower("owner").alias("what"))
+    # a file is read once: what a block tells stands in one array
+    row = lambda line, kind, name, module, type_, members, what: F.struct(line.alias("line"), F.lit(kind).alias("kind"), name.alias("name"), module.alias("module"), type_.alias("type"), members.alias("members"), what.alias("what"))
+    part = lambda m, k: F.regexp_extract(m["text"], typed, k)
+    arguments = lambda m: F.transform(F.regexp_extract_all(part(m, 2), F.lit(argument), F.lit(0)), lambda t: _member(arg(t, 1), bare(arg(t, 2)), arg(t, 3))).cast(f"array<{MEMBER}>")
+    operations = F.transform(F.filter("members", lambda m: m["text"].rlike(typed)), lambda m: row(m["line"], "api_endpoint", part(m, 1), F.col("owner"), F.regexp_replace(part(m, 3), r"\s+", ""), arguments(m), F.lower("owner")))
     fields = _read("members", typed, lambda g: _member(g(1), bare(g(3)), g(4)))
     values = F.flatten(F.transform("members", lambda m: F.transform(F.regexp_extract_all(F.regexp_replace(m["text"], r"@\w+(?:\([^)]*\))?", ""), F.lit(r"\w+"), F.lit(0)), lambda v: _member(v)))).cast(f"array<{MEMBER}>")
-    owned = rows.filter(F.col("what") != "type").withColumn("members", F.when(F.col("what") == "input", fields).otherwise(values))
-    return out.unionByName(owned.select("path", "line", F.lit("class").alias("kind"), F.col("owner").alias("name"), F.lit("").alias("module"), F.lit(None).cast("string").alias("type"), "members", "what"))
-
-
-ATTRIBUTE = r'(?s)^"?([\w.\-/]+)"?\s*[=:]\s*(.+)$'
+    owned = F.array(row(F.col("line"), "class", F.col("owner"), F.lit(""), F.lit(None).cast("string"), F.when(F.col("what") == "input", fields).otherwise(values), F.col("what")))
+    told = F.when(F.col("what") != "type", owned).when(F.col("owner").isin(*OPERATIONS), operations)
+    return rows.select("path", F.explode(told).alias("x")).select("path", "x.*")
 
 
 def _hcl_value(text: Column) -> Column:
@@ -96,33 +88,13 @@ def _hcl_value(text: Column) -> Column:
         .when(text.rlike(r"(?s)^(?:-?\d[\d.eE+-]*$|\[|\{|<<|\")"), text).otherwise(F.concat(F.lit("${"), text, F.lit("}"))))
 
 
-def attributes(blocks: DataFrame) -> DataFrame:
-    """path, block, key, value of the members of blocks (path, block, members): objects are flattened to dotted keys, level by level; a nested block is one key."""
-    rows = blocks.select("path", "block", F.lit("").alias("prefix"), F.explode("members").alias("m")).select("path", "block", "prefix", F.col("m.text").alias("text"))
-    out = None
-    while True:
-        rows = rows.withColumn("key", F.concat("prefix", F.coalesce(F.nullif(F.regexp_extract("text", ATTRIBUTE, 1), F.lit("")), F.regexp_extract("text", r"^([\w-]+)", 1))))
-        rows = rows.withColumn("value", F.when(F.col("text").rlike(ATTRIBUTE), F.regexp_extract("text", ATTRIBUTE, 2)).otherwise(F.regexp_extract("text", r"(?s)(\{.*)$", 1)))
-        is_object = F.col("text").rlike(ATTRIBUTE) & F.col("value").rlike(r"(?s)^\{.*\}$") & ~F.col("value").rlike(r"^\{\s*for\b")
-        rows = keep(rows.withColumn("is_object", is_object & ~F.col("value").rlike(r"^\{\s*\}$")), "hcl-members")
-        leaves = rows.filter("NOT is_object").select("path", "block", "key", "value")
-        out = leaves if out is None else out.unionByName(leaves)
-        objects = rows.filter("is_object")
-        if objects.isEmpty():
-            return out
-        # an object is a text of its own, told from others by its place
-        inner = objects.select(F.to_json(F.struct("path", "block", "key")).alias("path"), F.regexp_extract("value", r"(?s)^\{(.*)\}$", 1).alias("text"))
-        found = B.members_of(inner.dropDuplicates(["path"]), "hcl").withColumn("of", F.from_json("path", "path string, block int, key string"))
-        rows = found.select("of.path", "of.block", F.concat("of.key", F.lit(".")).alias("prefix"), F.explode("members").alias("m")).select("path", "block", "prefix", F.col("m.text").alias("text"))
-
-
 def terraform(files: DataFrame) -> DataFrame:
     """path, name, metadata (JSON) of variables, outputs, data sources, resources and the resources' attributes, objects in them flattened to dotted keys."""
     head = r'(?:^|[\s}])(variable|output|data|resource)\s+"([^"]+)"(?:\s+"([^"]+)")?\s*\{$'
-    blocks = keep(B.declarations(files, "hcl", head).filter("level = 0 AND closed"), "hcl-blocks")
+    blocks = B.declarations(files, "hcl", head, pairs="resource").filter("level = 0 AND closed")
     part = lambda k: F.nullif(F.regexp_extract("head", head, k), F.lit(""))
     kind, first, second = part(1), part(2), part(3)
-    own = lambda key: F.get(F.filter(F.transform("members", lambda m: F.when(F.regexp_extract(m["text"], ATTRIBUTE, 1) == key, F.regexp_extract(m["text"], ATTRIBUTE, 2))), lambda v: v.isNotNull()), F.lit(0))
+    own = lambda key: F.get(F.filter(F.transform("members", lambda m: F.when(F.regexp_extract(m["text"], B.ATTRIBUTE, 1) == key, F.regexp_extract(m["text"], B.ATTRIBUTE, 2))), lambda v: v.isNotNull()), F.lit(0))
     blocks = blocks.withColumn("kind", kind).withColumn("first", first).withColumn("second", second)
     value, yes, col = lambda k: _hcl_value(own(k)), F.lit(True), F.col
     told = {
@@ -133,7 +105,8 @@ def terraform(files: DataFrame) -> DataFrame:
     }
     meta = functools.reduce(lambda w, k: w.when(col("kind") == k, F.to_json(F.struct(*told[k]))), told, F)
     prefix = F.when(col("kind") == "variable", "var").when(col("kind") == "resource", F.lit(None)).otherwise(col("kind"))
-    out = blocks.select("path", F.concat_ws(".", prefix, "first", "second").alias("name"), meta.alias("metadata"))
-    resources = blocks.filter("kind = 'resource'")
-    found = attributes(resources).filter("key <> '' AND NOT startswith(key, '_')").dropDuplicates(["path", "block", "key"]).join(resources.select("path", "block", "first", "second"), ["path", "block"])
-    return out.unionByName(found.select("path", F.concat_ws(".", "first", "second", "key").alias("name"), F.to_json(F.struct(col("first").alias("resource_type"), col("second").alias("resource_name"), col("key").alias("attribute"), _hcl_value(col("value")).alias("value"))).alias("metadata")))
+    # a block and its attributes are told where they stand, so that a file is read once
+    whole = F.struct(F.concat_ws(".", prefix, "first", "second").alias("name"), meta.alias("metadata"))
+    told_ = lambda p: F.struct(F.concat_ws(".", "first", "second", p["key"]).alias("name"), F.to_json(F.struct(col("first").alias("resource_type"), col("second").alias("resource_name"), p["key"].alias("attribute"), _hcl_value(p["value"]).alias("value"))).alias("metadata"))
+    attributes = F.transform(F.filter("pairs", lambda p: (p["key"] != "") & ~p["key"].startswith("_")), told_)
+    return blocks.select("path", F.explode(F.concat(F.array(whole), attributes)).alias("x")).select("path", "x.name", "x.metadata")

@@ -206,3 +206,11 @@ def test_terraform(spark):
         "var.region": None, "aws_s3.b": None, "aws_s3.b.acl": "a{", "aws_s3.b.on": "True", "aws_s3.b.tags.Name": "x", "aws_s3.b.tags.Env": "${var.env}", "aws_s3.b.tags.deep.k": "1", "aws_s3.b.tags.deep.l": "[1,\n 2]",
         "aws_s3.b.disk": "{ size = 1 }", "aws_s3.b.policy": '<<EOF\n{ "a": 1 }\nEOF', "output.o": "${aws_s3.b.id}", "data.ami.u": None}
     assert (got["var.region"]["default"], got["var.region"]["variable_type"], got["aws_s3.b"]["is_resource"]) == ("eu", "string", True)
+
+
+def test_blocks_are_read_where_their_file_is(spark):
+    """No token is shuffled, and a file is read once."""
+    some = spark.createDataFrame([("a", "type Query { a: B }")], "path string, text string")
+    for rule in (D.typescript, D.graphql, D.terraform):
+        plan = rule(some)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("MapInArrow") == 1
