@@ -214,3 +214,10 @@ def test_blocks_are_read_where_their_file_is(spark):
     for rule in (D.typescript, D.graphql, D.terraform):
         plan = rule(some)._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_terraform_objects(spark):
+    """Objects in objects by dotted keys, of a key that comes twice the first, a nested block as one key, an object that is computed as it stands."""
+    text = 'resource "a" "b" {\n  x = { y = { z = 1, w = "s" }\n e = {} }\n  x = 2\n  x = 3\n  disk {\n    size = 1 # }\n  }\n  all = { for k in v : k => 1 }\n}\n'
+    got = [(r.name, json.loads(r.metadata).get("value")) for r in D.terraform(files(spark, text)).collect()]
+    assert got[0] == ("a.b", None) and sorted(got[1:]) == [("a.b.all", "{ for k in v : k => 1 }"), ("a.b.disk", "{\n    size = 1 \n  }"), ("a.b.x", "2"), ("a.b.x.e", "{}"), ("a.b.x.y.w", "s"), ("a.b.x.y.z", "1")]
