@@ -48,25 +48,61 @@ def _tokens(name: Column, order: str) -> Column:
     return F.transform(F.slice(F.array_sort(marked), 1, F.greatest(keep.cast("int"), F.lit(1))), lambda t: F.concat(t["char"], t["nth"]))
 
 
+def _counted(name: Column) -> Column:
+    """All characters of a name, each with its count so far."""
+    chars = F.filter(F.split(name, ""), lambda c: c != "")
+    return F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, 1, i + 1), lambda d: d == c)).cast("string")))
+
+
+def _shape(name: Column) -> Column:
+    """The characters of a name in order, digits all as one: names of one shape have as many characters in common with a name, or fewer, as their shape has."""
+    return F.array_join(F.array_sort(F.split(F.translate(name, "123456789", "000000000"), "")), "")
+
+
+def _near_in_length(x: str, y: str) -> Column:
+    return F.least(F.length(x), F.length(y)) * (2 - SIMILAR) >= F.greatest(F.length(x), F.length(y)) * SIMILAR - 1e-9
+
+
+def similar_shapes(facts: DataFrame, claims: DataFrame) -> DataFrame:
+    """key, fact_shape, claim_shape: shapes (key, shape) of the facts and claims of a key whose names can be similar.
+
+    A ratio is at most twice the common characters over both lengths, and names have no more
+    of them in common than their shapes.  Where names differ by numbers alone, shapes are few.
+    """
+    f, c = keep(facts.select("key", F.col("shape").alias("x")).distinct(), "rename-shapes"), keep(claims.select("key", F.col("shape").alias("y")).distinct(), "rename-shapes")
+    order = _rarest_first(f.select("x").union(c.select("y")))
+    pairs = f.withColumn("t", F.explode(_tokens(F.col("x"), order))).join(c.withColumn("t", F.explode(_tokens(F.col("y"), order))), ["key", "t"]).filter(_near_in_length("x", "y"))
+    pairs = pairs.select("key", F.col("x").alias("fact_shape"), F.col("y").alias("claim_shape")).distinct()
+    common = F.size(F.array_intersect(_counted(F.col("fact_shape")), _counted(F.col("claim_shape"))))
+    return pairs.filter(2 * common >= SIMILAR * (F.length("fact_shape") + F.length("claim_shape")) - 1e-9)
+
+
 def similar_pairs(facts: DataFrame, claims: DataFrame) -> DataFrame:
     """claim_seq, fact_seq, ratio of all pairs with equal keys and a ratio of at least 0.7."""
-    f = facts.select("key", F.col("fact.seq").alias("fact_seq"), normalize_name("fact.name").alias("x"))
+    f = facts.join(claims.select("key").distinct(), "key", "left_semi").select("key", F.col("fact.seq").alias("fact_seq"), normalize_name("fact.name").alias("x"))
     c = claims.select("key", F.col("claim.seq").alias("claim_seq"), normalize_name("claim.name").alias("y"))
-    f, c = keep(f, "rename-facts"), keep(c, "rename-claims")
+    f, c = keep(f.withColumn("shape", _shape(F.col("x"))), "rename-facts"), keep(c.withColumn("shape", _shape(F.col("y"))), "rename-claims")
+    shapes = keep(similar_shapes(f, c), "rename-shapes")
+    # only names of shapes that can be similar meet; each pair of shapes is a group of its own
+    f = f.join(shapes.withColumnRenamed("fact_shape", "shape"), ["key", "shape"]).withColumnRenamed("shape", "fact_shape")
+    c = c.withColumnRenamed("shape", "claim_shape").join(shapes.select("key", "claim_shape").distinct(), ["key", "claim_shape"], "left_semi")
+    f = keep(f, "rename-facts")
     order = _rarest_first(f.select("x").union(c.select("y")))
     f, c = f.withColumn("t", F.explode(_tokens(F.col("x"), order))), c.withColumn("t", F.explode(_tokens(F.col("y"), order)))
-    pairs = f.join(c, ["key", "t"]).filter(
-        F.least(F.length("x"), F.length("y")) * (2 - SIMILAR) >= F.greatest(F.length("x"), F.length("y")) * SIMILAR - 1e-9
-    )
+    pairs = f.join(c, ["key", "claim_shape", "t"]).filter(_near_in_length("x", "y"))
     pairs = pairs.select("claim_seq", "fact_seq", "x", "y").distinct()
     return pairs.withColumn("ratio", name_ratio("x", "y")).filter(F.col("ratio") >= SIMILAR).select("claim_seq", "fact_seq", "ratio")
 
 
+def spread_names(facts: DataFrame) -> DataFrame:
+    """name: the names that facts of several parameter sets have."""
+    return facts.groupBy(F.col("fact.name").alias("name")).agg((F.min("key") < F.max("key")).alias("spread")).filter("spread").select("name")
+
+
 def groups(facts: DataFrame) -> DataFrame:
     """key, grp: parameter sets that share fact names, by least labels; most sets are alone."""
-    pairs = facts.select("key", F.col("fact.name").alias("name")).distinct()
-    spread = pairs.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name")
-    links = pairs.join(spread, "name", "left_semi")
+    pairs = facts.select("key", F.col("fact.name").alias("name"))
+    links = pairs.join(spread_names(facts), "name", "left_semi").distinct()
     labels = pairs.select("key", F.col("key").alias("grp")).distinct()
     if links.isEmpty():
         return labels
@@ -98,7 +134,7 @@ def renames(facts: DataFrame, claims: DataFrame, first: DataFrame) -> DataFrame:
     )
 
     touched = edges.select(F.col("fact_seq").alias("seq"), F.lit(True).alias("touched")).distinct()
-    spread = facts.select("key", F.col("fact.name").alias("name")).distinct().groupBy("name").agg(F.count("*").alias("sets")).filter("sets > 1").select("name", F.lit(True).alias("spread"))
+    spread = spread_names(facts).select("name", F.lit(True).alias("spread"))
     named = keep(named.join(touched, "seq", "left").join(spread, "name", "left").withColumn("own", F.col("touched").isNull() & F.col("spread").isNull()).drop("touched", "spread"), "rename-named")
     longest = F.row_number().over(Window.partitionBy("key").orderBy(F.desc_nulls_first("since"), "seq"))
     has = named.filter("NOT own").unionByName(named.filter("own").withColumn("place", longest).filter("place <= 2").drop("place")).drop("own")

@@ -29,8 +29,9 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _params(spark: SparkSession, sf_dir: str, drop: int, shift: bool) -> DataFrame:
-    items = _read(spark, sf_dir, "lineitem").filter(F.col("l_partkey") % drop != 0)
-    per = items.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("t"), F.max(F.col("l_quantity").cast("int")).alias("d"), F.max("l_suppkey").alias("s"))
+    items = _read(spark, sf_dir, "lineitem").filter(F.col("l_partkey") % drop != 0).select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("t"), F.col("l_quantity").cast("int").alias("d"), F.col("l_suppkey").alias("s"))
+    # dealt by the order alone, so that its parameters need no further shuffle
+    per = text_queries.dealt(items, "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.max("t").alias("t"), F.max("d").alias("d"), F.max("s").alias("s"))
     kind = F.when((F.col("s") % 11 == 0) & F.lit(shift), F.concat("t", F.lit("x"))).otherwise(F.col("t"))
     default = F.when((F.col("s") % 5 == 0) & F.lit(shift), (F.col("d") + 1).cast("string")).when(F.col("s") % 3 == 0, F.lit(None)).otherwise(F.col("d").cast("string"))
     param = F.struct(

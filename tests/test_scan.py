@@ -191,3 +191,22 @@ def test_rounding(spark):
     for digits in (1, 3):
         got = [r.y for r in table.select(py_round(F.col("x"), digits).alias("y")).collect()]
         assert got == [round(v, digits) for v in values], digits
+
+
+def test_names_that_differ_by_numbers_do_not_meet(spark):
+    """Of names whose shapes have too little in common no pair is made; those that are similar are all found, whatever their digits."""
+    from difflib import SequenceMatcher
+
+    from attestra.functions.similarity import normalized
+    from attestra.operators import renames
+
+    facts = [("k", i, f"m{i % 7}.f{100000 + 7919 * i % 900000}") for i in range(300)] + [("k", 1000, "load_file_1"), ("k", 1001, "loadFile2"), ("j", 1002, "load_file_3"), ("k", 1003, "")]
+    claims = [("k", i, f"gone{100000 + 104729 * i % 900000}") for i in range(300)] + [("k", 1000, "load_files_9"), ("j", 1001, "load_fil_77"), ("k", 1002, facts[5][2] + "0"), ("k", 1003, "")]
+    f = spark.createDataFrame([(k, (seq, name)) for k, seq, name in facts], "key string, fact struct<seq:long,name:string>")
+    c = spark.createDataFrame([(k, (seq, name)) for k, seq, name in claims], "key string, claim struct<seq:long,name:string>")
+    got = {(r.claim_seq, r.fact_seq) for r in renames.similar_pairs(f, c).collect()}
+    alike = lambda a, b: SequenceMatcher(None, normalized(a), normalized(b)).ratio() >= 0.7
+    assert got == {(q, p) for k, p, a in facts for j, q, b in claims if k == j and a and alike(a, b)} and (1000, 1000) in got
+    shaped = lambda rows, side: rows.select("key", renames._shape(renames.normalize_name(f"{side}.name")).alias("shape"))
+    met = renames.similar_shapes(shaped(f, "fact"), shaped(c, "claim")).collect()
+    assert not [r for r in met if "g" in r.claim_shape and "n" in r.claim_shape] and len(met) < 10
