@@ -221,3 +221,32 @@ def test_terraform_objects(spark):
     text = 'resource "a" "b" {\n  x = { y = { z = 1, w = "s" }\n e = {} }\n  x = 2\n  x = 3\n  disk {\n    size = 1 # }\n  }\n  all = { for k in v : k => 1 }\n}\n'
     got = [(r.name, json.loads(r.metadata).get("value")) for r in D.terraform(files(spark, text)).collect()]
     assert got[0] == ("a.b", None) and sorted(got[1:]) == [("a.b.all", "{ for k in v : k => 1 }"), ("a.b.disk", "{\n    size = 1 \n  }"), ("a.b.x", "2"), ("a.b.x.e", "{}"), ("a.b.x.y.w", "s"), ("a.b.x.y.z", "1")]
+
+
+def test_yaml_by_either_parser():
+    """The parser in C, where it is there, reads what the one in Python reads; what it reads in its own way it does not get; errors are those of Python where they are asked for."""
+    import pytest
+    import yaml
+
+    from attestra.sources.config_files import _yaml
+
+    for text in ("a: {b: [1, null, 2.5], c: 2001-01-01}\n---\n- x: &y [yes, ~]\n- *y\n", "\n\n\ufeff", "é: \"\\u0041\"\n", "? k\n: v\n", ""):
+        assert _yaml("f", text, True) == _yaml("f", text, False) == list(yaml.safe_load_all(text))
+    for text in ("~\t", ">-#c", "bad: [1\n"):
+        with pytest.raises(yaml.YAMLError) as told:
+            _yaml("f", text, True)
+        with pytest.raises(yaml.YAMLError) as own:
+            list(yaml.safe_load_all(text))
+        assert str(told.value) == str(own.value)
+        with pytest.raises(yaml.YAMLError):
+            _yaml("f", text, False)
+
+
+def test_specifications_are_parsed_in_c(spark, monkeypatch):
+    """Where it is there, the parser in Python sees no file that the one in C reads."""
+    import yaml
+
+    from attestra.sources import config_files
+
+    monkeypatch.setattr(yaml, "safe_load_all", lambda text: 1 / 0)
+    assert not hasattr(yaml, "CSafeLoader") or config_files._yaml("f", "openapi: 3.0.1\npaths: {}\n", True) == [{"openapi": "3.0.1", "paths": {}}]
