@@ -250,3 +250,12 @@ def test_specifications_are_parsed_in_c(spark, monkeypatch):
 
     monkeypatch.setattr(yaml, "safe_load_all", lambda text: 1 / 0)
     assert not hasattr(yaml, "CSafeLoader") or config_files._yaml("f", "openapi: 3.0.1\npaths: {}\n", True) == [{"openapi": "3.0.1", "paths": {}}]
+
+
+def test_rst_is_read_where_its_file_is(spark):
+    """No line is shuffled; what hangs below a line is found whatever lies between, and a page of many levels is one pass."""
+    plan = rst(files(spark, "x"), params_of)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    deep = ".. py:function:: f(a)\n" + "".join(" " * i + "x\n" for i in range(1, 400)) + " " * 401 + ":param a: far\n\n.. py:function:: 9\n\n   :param b: nobody's\n"
+    got = [(r.kind, r.name, json.loads(r.metadata).get("directive")) for r in rst(files(spark, deep), params_of).collect()]
+    assert sorted(got) == [("function_signature", "f", None), ("parameter_description", "a", "f")]
