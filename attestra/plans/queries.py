@@ -16,7 +16,7 @@ from ..functions import columns as C
 from ..functions.tables import keep
 from ..operators import algebra, match, python_facts
 from ..operators import lines as L
-from ..sources.python_ast import balanced, python_nodes
+from ..sources.python_ast import python_nodes
 from . import text_queries
 from .scan import params_of
 
@@ -395,15 +395,20 @@ def run_<k>(size: int = typer.Option(<s>, "--size-<k>", "-s", help="how"), name:
 """
 
 
+#: Modules that a task parses, about.
+MODULES = 20000
+
+
 def _modules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each part as a Python module."""
+    """Each part as a Python module; parts are dealt before they become texts."""
+    parts = text_queries.dealt(_read(spark, sf_dir, "part").select("p_partkey", "p_size"), share=MODULES)
     text = F.replace(F.replace(F.lit(MODULE), F.lit("<k>"), F.col("p_partkey").cast("string")), F.lit("<s>"), F.col("p_size").cast("string"))
-    return _read(spark, sf_dir, "part").select(F.concat(F.lit("src/m"), "p_partkey", F.lit(".py")).alias("path"), text.alias("text"))
+    return parts.select(F.concat(F.lit("src/m"), "p_partkey", F.lit(".py")).alias("path"), text.alias("text"))
 
 
 def _facts_of(rule: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = python_facts.RULES[rule](keep(python_nodes(balanced(_modules(spark, sf_dir))), "query-nodes"))
+        found = python_facts.RULES[rule](keep(python_nodes(_modules(spark, sf_dir), python_facts.READS.get(rule)), "query-nodes"))
         shown = F.array_join(F.transform("parameters", lambda p: F.concat_ws("|", p["name"], F.coalesce(p["type_annotation"], F.lit("-")), F.coalesce(p["default"], F.lit("-")), p["kind"])), ";")
         return found.select("source_file", "line_number", "name", "kind", shown.alias("parameters"), "return_type", "metadata")
 
@@ -411,7 +416,7 @@ def _facts_of(rule: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def docstring_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = python_facts.docstring_claims(python_nodes(balanced(_modules(spark, sf_dir))))
+    found = python_facts.docstring_claims(python_nodes(_modules(spark, sf_dir)))
     return found.select("doc_file", "line_number", "name", "kind", F.array_join(F.transform("parameters", lambda p: p["name"]), ";").alias("parameters"))
 
 
