@@ -396,7 +396,7 @@ def run_<k>(size: int = typer.Option(<s>, "--size-<k>", "-s", help="how"), name:
 
 
 #: Modules that a task parses, about.
-MODULES = 20000
+MODULES = 5000
 
 
 def _modules(spark: SparkSession, sf_dir: str) -> DataFrame:
